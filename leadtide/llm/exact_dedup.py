@@ -40,7 +40,8 @@ def exact_dedup(
     rows = materialise(keyed.select("doc_id", "h", "text_sha256", salt))
 
     def salted(groups: DataFrame) -> DataFrame:
-        return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        # As many rows as there are copies: never a broadcast, however small its estimate.
+        return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
     # Partial counts per salt first, so that a hot hash is a few rows by the time it meets.
     groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), stays("doc_id").alias("keep_id"))

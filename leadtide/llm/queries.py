@@ -6,11 +6,32 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe_tree import bpe_round_trip
 from .common import read
 from .exact_dedup import exact_dedup
+from .language_id import language_id
+from .packing import best_fit_packing
 from .token_counts import token_counts
+from .topk import top_k
+from .warc import warc_round_trip
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read(spark, sf_dir, "documents"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +48,31 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
+    "op3_language_id": op3_language_id,
+    "op5_topk": op5_topk,
+    "op6_packing": op6_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             d AS (SELECT page_id, html, min(page_id) OVER (PARTITION BY html) AS first_id, strlen(html) AS n FROM p),
+             r AS (SELECT *, n >= 100 AND first_id <> page_id AS again FROM d)
+        SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN first_id END AS refers_to
+        FROM r""",
+    "op5_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+                   FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op9_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
