@@ -205,7 +205,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")
     ranked = rows.withColumn("rank", F.row_number().over(order).cast("long") - 1)
-    names = [*pieces.columns, "sequence_id", "offset"]
+    given = pieces.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets, runs = sent.value
@@ -213,7 +213,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             n = batch.column("length").to_numpy()
             rank = batch.column("rank").to_numpy() + offsets[n, batch.column("salt").to_numpy()]
             at = np.searchsorted(runs["key"], (n << 44) | rank, side="right") - 1
-            yield pa.record_batch([*(batch.column(c) for c in pieces.columns), pa.array(runs["sequence"][at] + rank - runs["first"][at]), pa.array(runs["offset"][at])], names)
+            yield pa.record_batch([*(batch.column(c) for c in given), pa.array(runs["sequence"][at] + rank - runs["first"][at]), pa.array(runs["offset"][at])], [*given, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
