@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,13 +29,65 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/leadtide-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables of an operator in the shared folder; those that no later step reads are dropped early."""
+
+    kept: list[str] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[int, str] = {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = shared_dir(self.spark)
+        with shuffles_freed(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        Scratch.kept.append(path)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            delete(self.spark, self.paths.pop(id(df)))
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go as soon as the query that made them ends, where Spark can do so."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, "true")
+    except Exception:  # noqa: BLE001  a session that doesn't know the setting
+        before = None
+        yield
+        return
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before or "false")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in Scratch.kept:
+        Scratch.kept.remove(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete what operators wrote before, when nothing will read their results again."""
+    for path in list(Scratch.kept):
+        delete(spark, path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write to the shared folder as Parquet and read it again: later steps neither repeat the work
     nor depend on executors that may be lost."""
     spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(spark).write(df)
 
 
 def parallelism(df: DataFrame) -> int:
