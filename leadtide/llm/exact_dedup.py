@@ -73,3 +73,24 @@ def exact_dedup(
         (F.col("doc_id").eqNullSafe(keep_id)).alias("kept"),
         F.lower(F.hex("text_sha256")).alias("text_sha256"),
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one for each text.
+
+    Of rows that repeat an id and a text one stays. A null text equals the empty one.
+    """
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    found = exact_dedup(docs, id_col, text_col, keep)
+    # A row without an id never stays beside one with an id, so ids and digests name the rows that go.
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+    again = found.filter("kept AND group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("__n"))
+    again = again.filter("__n > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest"))
+    kept = docs.join(gone.hint("merge"), same, "left_anti")
+    if not again.limit(1).count():
+        return kept
+    one = kept.join(again.hint("merge"), same, "left_semi")
+    columns = docs.columns
+    first = one.groupBy(F.col(id_col).alias("__id"), digest.alias("__digest")).agg(F.min_by(F.struct(*(F.col(c) for c in columns)), F.xxhash64(*columns)).alias("__row"))
+    return kept.join(again.hint("merge"), same, "left_anti").unionByName(first.select("__row.*"))

@@ -336,3 +336,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     n: words of an n-gram; num / den: the least Jaccard similarity of a link.
     """
     return JaccardJoin(docs, n, num, den, id_col, text_col, list_cost).run()
+
+
+def without_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is the smallest of its component.
+
+    Rows that share an id stay or go together.
+    """
+    found = jaccard_components(docs, n, num, den, id_col, text_col)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
+    return docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")

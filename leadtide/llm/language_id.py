@@ -94,46 +94,74 @@ def train(docs: DataFrame, label_col: str, id_col: str, text_col: str, sizes: tu
     return labels, np.vstack([logs, priors]).astype(np.float32)
 
 
-def predict(docs: DataFrame, labels: list[str], logs: np.ndarray, id_col: str, text_col: str, sizes: tuple[int, ...], buckets: int) -> DataFrame:
-    """id, lang_pred, score: the most probable label and its share of the probability."""
-    model = docs.sparkSession.sparkContext.broadcast((labels, np.ascontiguousarray(logs.T)))
+def scorer(model, sizes: tuple[int, ...], buckets: int):
+    """A function from texts to (labels, scores), for use inside a task."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, by_label = model.value
         priors = by_label[:, buckets].astype(np.float64)
+        sums = np.zeros((len(texts), len(names)))
+        # Short texts go together: n-grams over the border of two texts are not made.
+        hashed, owner = [], []
+        for i, text in enumerate(texts):
+            if text is None or not LETTER.search(text) or not names:
+                continue
+            for piece in pieces(text, sizes):
+                hashed.append(grams(piece, sizes, buckets))
+                owner.append(i)
+        filled = [(h, i) for h, i in zip(hashed, owner, strict=True) if len(h)]
+        if filled:
+            flat = np.concatenate([h for h, _ in filled])
+            starts = np.cumsum([0, *(len(h) for h, _ in filled[:-1])])
+            where = np.array([i for _, i in filled])
+            for c in range(len(names)):
+                np.add.at(sums[:, c], where, np.add.reduceat(by_label[c].take(flat), starts, dtype=np.float64))
+        und = np.ones(len(texts), bool)
+        und[owner] = False
+        sums += priors
+        if names:
+            best = sums.argmax(1)
+            share = 1 / np.exp(np.maximum(sums - sums.max(1, keepdims=True), -700)).sum(1)
+        pred = ["und" if u else names[best[i]] for i, u in enumerate(und)]
+        return pred, np.where(und, 0.0, share if names else 0.0)
+
+    return score
+
+
+def broadcast_model(docs: DataFrame, labels: list[str], logs: np.ndarray):
+    return docs.sparkSession.sparkContext.broadcast((labels, np.ascontiguousarray(logs.T)))
+
+
+def predict(docs: DataFrame, labels: list[str], logs: np.ndarray, id_col: str, text_col: str, sizes: tuple[int, ...], buckets: int) -> DataFrame:
+    """id, lang_pred, score: the most probable label and its share of the probability."""
+    score = scorer(broadcast_model(docs, labels, logs), sizes, buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 1 << 20):
-            texts = batch.column("text").to_pylist()
-            sums = np.zeros((len(texts), len(names)))
-            # Short texts go together: n-grams over the border of two texts are not made.
-            hashed, owner = [], []
-            for i, text in enumerate(texts):
-                if text is None or not LETTER.search(text) or not names:
-                    continue
-                for piece in pieces(text, sizes):
-                    hashed.append(grams(piece, sizes, buckets))
-                    owner.append(i)
-            filled = [(h, i) for h, i in zip(hashed, owner, strict=True) if len(h)]
-            if filled:
-                flat = np.concatenate([h for h, _ in filled])
-                starts = np.cumsum([0, *(len(h) for h, _ in filled[:-1])])
-                where = np.array([i for _, i in filled])
-                for c in range(len(names)):
-                    np.add.at(sums[:, c], where, np.add.reduceat(by_label[c].take(flat), starts, dtype=np.float64))
-            und = np.ones(len(texts), bool)
-            und[owner] = False
-            sums += priors
-            if names:
-                best = sums.argmax(1)
-                share = 1 / np.exp(np.maximum(sums - sums.max(1, keepdims=True), -700)).sum(1)
-            pred = ["und" if u else names[best[i]] for i, u in enumerate(und)]
-            share = np.where(und, 0.0, share if names else 0.0)
+            pred, share = score(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("id"), pa.array(pred, pa.string()), pa.array(share, pa.float64())], ["id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sizes: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 15, train_docs: int = 20_000) -> DataFrame:
     """id, held_out, lang_pred, score for each row; learns from labelled rows that are not held out."""
     labels, logs = train(docs.filter(~held_out(id_col)), label_col, id_col, text_col, sizes, buckets, train_docs)
     return predict(docs, labels, logs, id_col, text_col, sizes, buckets).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
+
+
+def known_language(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sizes: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 15, train_docs: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is known with at least ``least_score``.
+
+    Rows pass through the scoring function whole, so no join is needed to apply the decision.
+    """
+    labels, logs = train(docs.filter(~held_out(id_col)), label_col, id_col, text_col, sizes, buckets, train_docs)
+    score = scorer(broadcast_model(docs, labels, logs), sizes, buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, text_col, 1 << 20):
+            pred, share = score(batch.column(text_col).to_pylist())
+            yield batch.filter(pa.array([p != "und" and s >= least_score for p, s in zip(pred, share, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

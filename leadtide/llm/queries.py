@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .bpe_tree import bpe_round_trip
 from .common import read
 from .exact_dedup import exact_dedup
+from .html_text import html_text
+from .jaccard_join import jaccard_components
 from .language_id import language_id
 from .packing import best_fit_packing
 from .suffix_dedup import suffix_dedup
@@ -19,6 +21,10 @@ from .topk import top_k
 from .warc import warc_round_trip
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(read(spark, sf_dir, "pages"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -27,6 +33,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -53,8 +63,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_warc": op2_warc,
     "op3_language_id": op3_language_id,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_topk": op5_topk,
     "op6_packing": op6_packing,
     "op7_byte_bpe": op7_byte_bpe,

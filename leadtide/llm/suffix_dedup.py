@@ -293,15 +293,27 @@ def removed_spans(docs: DataFrame, text_col: str = "text", least: int = 200) ->
     return texts, spans.groupBy("cls").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
+def whole_signs(data: bytes, start: int, end: int) -> tuple[int, int]:
+    """The span without the UTF-8 signs that it covers in part."""
+    while start < end and data[start] & 0xC0 == 0x80:
+        start += 1
+    while start < end < len(data) and data[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
+
+
 def cleaned(docs: DataFrame, text_col: str = "text", least: int = 200, with_text: bool = False) -> DataFrame:
-    """cls, n_bytes, n_removed, n_spans, kept_sha256 and with with_text the bytes left: a row a class."""
+    """cls, n_bytes, n_removed, n_spans, kept_sha256 and with with_text what is left: a row a class.
+
+    The text left keeps signs that a span covers in part; null where nothing was removed.
+    """
     texts, spans = removed_spans(docs, text_col, least)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "data"):
             out: dict[str, tuple[list, pa.DataType]] = {"cls": ([], pa.binary()), "n_bytes": ([], pa.int64()), "n_removed": ([], pa.int64()), "n_spans": ([], pa.int64()), "kept_sha256": ([], pa.string())}
             if with_text:
-                out["left"] = ([], pa.binary())
+                out["left"] = ([], pa.string())
             for cls, data, copies, found in zip(*(batch.column(k).to_pylist() for k in ("cls", "data", "copies", "spans")), strict=True):
                 runs: list[list[int]] = []
                 if copies > 1 and len(data) >= least:
@@ -317,11 +329,18 @@ def cleaned(docs: DataFrame, text_col: str = "text", least: int = 200, with_text
                     kept.append(data[at:start])
                     at = end
                 kept = b"".join([*kept, data[at:]])
-                for k, v in zip(out, (cls, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept), strict=False):
+                left = None
+                if with_text and runs:
+                    signs, at = [], 0
+                    for start, end in (whole_signs(data, *x) for x in runs):
+                        signs.append(data[at:start])
+                        at = end
+                    left = b"".join([*signs, data[at:]]).decode("utf-8", "replace")
+                for k, v in zip(out, (cls, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), left), strict=False):
                     out[k][0].append(v)
             yield _frame(out)
 
-    schema = "cls binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", left binary" * with_text
+    schema = "cls binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", left string" * with_text
     return texts.join(spans, "cls", "left").select("cls", "data", "copies", "spans").mapInArrow(apply, schema)
 
 
@@ -339,3 +358,17 @@ def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "cls"]), F.lit(SALTS)).cast("int")
     spread = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", salt).join(spread.hint("merge"), ["cls", "salt"]).drop("salt")
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", least: int = 200) -> DataFrame:
+    """``docs`` with texts less their repeated passages; rows of which nothing is left go.
+
+    length_col: a column with the text's length in signs, which follows the new text.
+    """
+    left = materialise(cleaned(docs, text_col, least, with_text=True).filter("left IS NOT NULL").select(F.col("cls").alias("__cls"), F.col("left").alias("__left")))
+    cls = F.substring(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)), 1, 16)
+    joined = docs.join(left.hint("merge"), cls == F.col("__cls"), "left").filter("__left IS NULL OR __left <> ''")
+    text = F.coalesce("__left", text_col)
+    length = {length_col: F.when(F.col("__left").isNotNull(), F.length("__left")).otherwise(F.col(length_col))} if length_col in docs.columns else {}
+    columns = [length.get(c, F.col(c)).cast(docs.schema[c].dataType).alias(c) if c != text_col else text.alias(c) for c in docs.columns]
+    return joined.select(*columns)
