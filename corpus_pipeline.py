@@ -1,20 +1,56 @@
-"""The corpus pipeline: stages over `documents`, each the input of the next."""
+"""The corpus pipeline: stages over `documents`, each the input of the next.
+
+Language identification drops documents without a known language; exact dedup keeps one document of
+equal texts; the n-gram Jaccard join keeps one of each group of near copies (five words, similarity 0.8);
+suffix-array dedup takes passages of 200 bytes and more that stand anywhere else out of the texts; what
+is left is packed into sequences of 4096 tokens.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leadtide.llm.common import materialise, read
-from leadtide.llm.exact_dedup import exact_dedup
+from leadtide.llm.exact_dedup import without_copies
+from leadtide.llm.jaccard_join import without_near_copies
+from leadtide.llm.language_id import known_language
+from leadtide.llm.packing import best_fit_packing
+from leadtide.llm.suffix_dedup import without_repeats
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; texts that are null or have no letter go."""
+    return known_language(docs)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id stays."""
+    return without_copies(docs, keep="min")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return without_near_copies(docs, n=5, num=80, den=100)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages of 200 bytes or more leave the texts; documents of which nothing is left go."""
+    return without_repeats(docs, least=200)
 
 
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays, that with the smallest doc_id."""
-    kept = exact_dedup(docs, keep="min").filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of a document in sequences of 4096 tokens."""
+    return best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
-STAGES = [("exact_dedup", drop_copies)]
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("jaccard_join", near_stage),
+    ("suffix_dedup", repeats_stage),
+    ("best_fit_packing", packing_stage),
+]
 ORACLE_SQL = None
 
 
