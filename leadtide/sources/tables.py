@@ -61,6 +61,12 @@ class Log:
         self.all = events(spark, sf_dir)
         self.cities = cities(spark, sf_dir)
 
+    def at(self, cutoff) -> Log:
+        """The same log at another cutoff."""
+        other = Log.__new__(Log)
+        other.spark, other.cfg, other.all, other.cities = self.spark, self.cfg.at(cutoff), self.all, self.cities
+        return other
+
     @property
     def history(self) -> DataFrame:
         return self.all.filter(F.col("checkin") <= F.lit(self.cfg.cutoff))
