@@ -6,12 +6,18 @@ one class. Two classes link when ``den`` * intersection >= ``num`` * union.
 Light sets: for every partner size the overlap that a link needs is a number c; all subsets of size c
 are enumerated (as a sum of hashes less those left out). Sets that share one link for certain.
 
-Heavy sets: inverted lists, scanned for candidates. Lists of single n-grams grow with common phrases, so
-a list belongs to a group of n-grams: hash space is cut into parts, the same for all sets of a size
-class, and the n-grams of a set within a part make one key. A difference spoils one part, a pair that
-links has D differences at most, so among the first D + 1 non-empty parts of either set one is the
-same in both. Those are a set's keys: one for every nine n-grams or so at a threshold of 0.9, and
-phrases that many documents share don't make keys equal.
+Heavy sets: inverted lists, scanned for candidates. Hash space is cut into parts, the same for all sets
+of a size class, and the n-grams of a set within a part make one key. A difference spoils one part of a
+set, and a pair that links has D differences at most, so D of a set's keys at most are not in the other
+set. Under any order of all keys, then, the first D + 1 keys of both sets have one in common. Keys are
+ordered by how many sets have them, the rarest first: a set with more than D keys of its own can link
+with nothing, and phrases that many documents share come last. Lists hold what is left of the first
+D + 1 keys.
+
+How often a key occurs is counted on packed columns: a task sorts the keys of its sets, settles those
+that repeat within it, and deals the others by hash; whoever gets them reports only keys and sets
+where a key repeats. A key costs about eight bytes in the shuffle, and a key of very many sets once per
+packed chunk.
 
 The boundary: the largest size up to which enumerating costs no more rows than lists would, a list row
 counting ``LIST_COST`` rows for what it takes to test its candidates.
@@ -37,14 +43,16 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_bytes
+from .common import Scratch, by_bytes, parallelism
 
 #: Rows of light keys that one row of a list is worth.
 LIST_COST = 6
 SALTS = 32
+#: Keys and sets of a packed chunk; a set's place in it has 16 bits.
+CHUNK_KEYS, CHUNK_SETS = 1_500_000, 60_000
 #: Rounds of one leader a list before all untested pairs of different components are tested.
 LEADER_ROUNDS = 2
 
@@ -134,10 +142,11 @@ class Plan:
         high = (self.den * n // self.num).bit_length() - 1
         return list(range(low, high + 1))
 
-    def list_keys(self, hashes: np.ndarray) -> np.ndarray:
+    def list_keys(self, hashes: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
+        """For each size class: its number, a set's keys in it, and how many of the rarest count."""
         n = len(hashes)
         if self.den * n // self.num <= self.light:
-            return np.zeros(0, np.int64)
+            return []
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(mix(hashes + _ODD), out=sums[1:])
         need = self.differences(n) + 1
@@ -148,14 +157,13 @@ class Plan:
             cuts = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
             edge = np.concatenate([[0], np.searchsorted(hashes, cuts), [n]])
             full = np.flatnonzero(edge[1:] > edge[:-1])
-            key = mix(mix(sums[edge[full + 1]] - sums[edge[full]]) + np.uint64((c << 32) + 1) * _ODD + full.astype(np.uint64))
+            tag = np.uint64(((c << 32) + 1) * int(_ODD) & _MASK)
+            key = mix(mix(sums[edge[full + 1]] - sums[edge[full]]) + tag + full.astype(np.uint64))
             if len(full) < need:
                 # So few parts hold anything that two such sets might only agree on empty ones.
                 key = np.append(key, mix(np.array([(c << 40) + 5], np.uint64)))
-            else:
-                key = key[:need]
-            out.append(key)
-        return np.concatenate(out).view(np.int64)
+            out.append((c, key, min(need, len(key))))
+        return out
 
     def light_keys(self, hashes: np.ndarray) -> np.ndarray:
         n = len(hashes)
@@ -171,6 +179,101 @@ class Plan:
         return mix(np.array(out, np.uint64)).view(np.int64)
 
 
+def unit(sid: int, c: int) -> int:
+    """An id for a set within a size class."""
+    return ((sid ^ (c + 1) * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 + c) & _MASK
+
+
+def split_key(keys: np.ndarray, deals: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a key is dealt, and the 40 bits that tell it from others there. Keys that agree in both
+    count as one, which makes candidates more, never fewer."""
+    return (keys >> np.uint64(32)) * np.uint64(deals) >> np.uint64(32), keys & np.uint64((1 << 40) - 1)
+
+
+def whole_key(keys: np.ndarray, deals: int) -> np.ndarray:
+    at, rest = split_key(keys, deals)
+    return (at << np.uint64(40) | rest).view(np.int64)
+
+
+PACKED = "p int, high binary, low binary, owner binary, units binary, again_high binary, again_low binary, again_n binary, known_units binary, known_n binary"
+
+
+def pack_keys(keys: np.ndarray, units: np.ndarray, deals: int) -> pa.RecordBatch:
+    """One row for each deal of the keys of a chunk of sets; PACKED says with what.
+
+    Keys of one set are packed with it (high and low bits, place of the set in units). Keys of several
+    sets are packed once, with their number, and their sets' counts are known here.
+    """
+    at, rest = split_key(keys, deals)
+    order = np.lexsort((units, rest, at))
+    at, rest, units = at[order], rest[order], units[order]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (at[1:] != at[:-1]) | (rest[1:] != rest[:-1])
+    once = fresh.copy()
+    once[1:] |= units[1:] != units[:-1]
+    at, rest, units, fresh = at[once], rest[once], units[once], fresh[once]
+    first = np.flatnonzero(fresh)
+    count = np.diff(np.append(first, len(at)))
+    alone = np.repeat(count == 1, count)
+    known, known_n = np.unique(units[~alone], return_counts=True)
+    known_at = known % np.uint64(deals)
+    known_order = np.argsort(known_at, kind="stable")
+    known, known_n, known_at = known[known_order], known_n[known_order], known_at[known_order]
+    s_at, s_rest, s_units = at[alone], rest[alone], units[alone]
+    a_at, a_rest, a_n = at[first[count > 1]], rest[first[count > 1]], count[count > 1]
+    steps = np.arange(deals + 1, dtype=np.uint64)
+    s_edge, a_edge, k_edge = (np.searchsorted(x, steps) for x in (s_at, a_at, known_at))
+    rows: dict[str, list] = {f.split()[0]: [] for f in PACKED.split(", ")}
+    for p in range(deals):
+        s, a, k = (slice(e[p], e[p + 1]) for e in (s_edge, a_edge, k_edge))
+        if s.start == s.stop and a.start == a.stop and k.start == k.stop:
+            continue
+        own, owner = np.unique(s_units[s], return_inverse=True)
+        values = (p, (s_rest[s] >> np.uint64(8)).astype(np.uint32), s_rest[s].astype(np.uint8), owner.astype(np.uint16), own, (a_rest[a] >> np.uint64(8)).astype(np.uint32), a_rest[a].astype(np.uint8), a_n[a].astype(np.uint32), known[k], known_n[k].astype(np.uint32))
+        for name, v in zip(rows, values, strict=True):
+            rows[name].append(v if name == "p" else v.tobytes())
+    return pa.record_batch([pa.array(v, pa.int32() if n == "p" else pa.binary()) for n, v in rows.items()], list(rows))
+
+
+def count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind 0: a set's unit and how many of its keys other sets have too; kind 1: such a key and its count."""
+    key, own, n, known, known_n = [], [], [], [], []
+    for batch in batches:
+        for row in batch.to_pylist():
+            base = np.uint64(row["p"] << 40)
+            read = lambda high, low, row=row, base=base: np.frombuffer(row[high], np.uint32).astype(np.uint64) << np.uint64(8) | np.frombuffer(row[low], np.uint8) | base
+            k = read("high", "low")
+            key.append(k)
+            own.append(np.frombuffer(row["units"], np.uint64)[np.frombuffer(row["owner"], np.uint16)])
+            n.append(np.ones(len(k), np.int64))
+            k = read("again_high", "again_low")
+            key.append(k)
+            own.append(np.zeros(len(k), np.uint64))
+            n.append(np.frombuffer(row["again_n"], np.uint32).astype(np.int64))
+            known.append(np.frombuffer(row["known_units"], np.uint64))
+            known_n.append(np.frombuffer(row["known_n"], np.uint32).astype(np.int64))
+    if not key:
+        return
+    key, own, n, known, known_n = (np.concatenate(x) for x in (key, own, n, known, known_n))
+    order = np.lexsort((own, key))
+    key, own, n = key[order], own[order], n[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    once = fresh.copy()
+    once[1:] |= own[1:] != own[:-1]
+    first = np.flatnonzero(fresh)
+    if len(first):
+        sets = np.add.reduceat(once.astype(np.int64), first)
+        total = np.add.reduceat(n, first)
+        many = (sets > 1) | (total > np.add.reduceat((own != 0).astype(np.int64), first))
+        yield pa.record_batch([pa.array(np.ones(int(many.sum()), np.int32)), pa.array(key[first[many]].view(np.int64)), pa.array(total[many])], ["kind", "id", "n"])
+        shared = np.repeat(many, np.diff(np.append(first, len(key)))) & once & (own != 0)
+        known, known_n = np.concatenate([known, own[shared]]), np.concatenate([known_n, np.ones(int(shared.sum()), np.int64)])
+    if len(known):
+        units, at = np.unique(known, return_inverse=True)
+        yield pa.record_batch([pa.array(np.zeros(len(units), np.int32)), pa.array(units.view(np.int64)), pa.array(np.bincount(at, weights=known_n).astype(np.int64))], ["kind", "id", "n"])
+
+
 def set_ids(hashes: np.ndarray, seed: int) -> tuple[int, int]:
     """An id for a set, 0 for the empty one, and 64 more bits that tell whether two sets share an id."""
     if not len(hashes):
@@ -206,6 +309,8 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, list_cost: int = LIST_COST) -> None:
         self.plan, self.n = Plan(num, den, list_cost), n
         self.scratch = Scratch(docs.sparkSession)
+        #: Keys are dealt in so many packages; several go to a task, so tasks get about as many.
+        self.deals = min(8 * parallelism(docs), 1 << 22)
         self.kind = docs.schema[id_col].dataType.simpleString()
         texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
         self.texts = texts.withColumn("rk", F.xxhash64("doc_id", F.sha2("data", 256)))
@@ -216,37 +321,108 @@ class JaccardJoin:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in by_bytes(batches, "data"):
-                sid, more, size, lists, light = [], [], [], [], []
+                sid, more, size, light = [], [], [], []
                 for data in batch.column("data"):
                     hashes = shingles(data.as_buffer(), n)
                     own, rest = set_ids(hashes, seed)
                     sid.append(own)
                     more.append(rest)
                     size.append(len(hashes))
-                    lists.append(plan.list_keys(hashes))
                     light.append(plan.light_keys(hashes))
                 column = lambda keys: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
-                yield pa.record_batch([batch.column("doc_id"), batch.column("rk"), pa.array(sid, pa.int64()), pa.array(more, pa.int64()), pa.array(size, pa.int64()), column(lists), column(light)], ["doc_id", "rk", "sid", "more", "n", "lists", "light"])
+                yield pa.record_batch([batch.column("doc_id"), batch.column("rk"), pa.array(sid, pa.int64()), pa.array(more, pa.int64()), pa.array(size, pa.int64()), column(light)], ["doc_id", "rk", "sid", "more", "n", "light"])
 
-        made = self.scratch.write(self.texts.mapInArrow(run, f"doc_id {self.kind}, rk long, sid long, more long, n long, lists array<long>, light array<long>"))
+        self.seed = seed
+        made = self.scratch.write(self.texts.mapInArrow(run, f"doc_id {self.kind}, rk long, sid long, more long, n long, light array<long>"))
         once = made.filter("n > 0").groupBy("sid").agg(
-            F.min("rk").alias("rk"), F.min("n").alias("n"), F.min("more").alias("more"), F.max("more").alias("more2"), F.first("lists").alias("lists"), F.first("light").alias("light")
+            F.min("rk").alias("rk"), F.min("n").alias("n"), F.min("more").alias("more"), F.max("more").alias("more2"), F.first("light").alias("light")
         )
         once = self.scratch.write(once)
         if once.filter("more <> more2").limit(1).count():
             return self.sets(seed + 1)  # different sets got one id; other ids then
         return made.select("doc_id", "sid", F.col("n").alias("n_shingles")), once
 
-    def contents(self, sids: DataFrame) -> DataFrame:
-        """sid, set: the hashes of these sets, made from the text of one row of each."""
-        n = self.n
+    def shared_keys(self) -> tuple[DataFrame, DataFrame]:
+        """(unit, n_shared) of sets with keys that others have too, and (key, n_sets) of those keys."""
+        plan, n, seed = self.plan, self.n, self.seed
+        deals = self.deals
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys: list[np.ndarray] = []
+            units: list[int] = []
+            size = 0
             for batch in by_bytes(batches, "data"):
-                yield pa.record_batch([batch.column("sid"), pa.array([shingles(x.as_buffer(), n).tobytes() for x in batch.column("data")], pa.binary())], ["sid", "set"])
+                for data in batch.column("data"):
+                    hashes = shingles(data.as_buffer(), n)
+                    sid = set_ids(hashes, seed)[0]
+                    for c, own, _ in plan.list_keys(hashes):
+                        keys.append(own)
+                        units.append(unit(sid, c))
+                        size += len(own)
+                    if size >= CHUNK_KEYS or len(units) >= CHUNK_SETS:
+                        yield pack_keys(np.concatenate(keys), np.repeat(np.array(units, np.uint64), list(map(len, keys))), deals)
+                        keys, units, size = [], [], 0
+            if units:
+                yield pack_keys(np.concatenate(keys), np.repeat(np.array(units, np.uint64), list(map(len, keys))), deals)
+
+        packed = self.texts.select("data").mapInArrow(run, PACKED)
+        found = packed.repartition(parallelism(self.texts), "p").mapInArrow(count_keys, "kind int, id long, n long")
+        found = self.scratch.write(found)
+        units = found.filter("kind = 0").groupBy(F.col("id").alias("unit")).agg(F.sum("n").alias("n_shared"))
+        return units, found.filter("kind = 1").select(F.col("id").alias("key"), F.col("n").alias("n_sets"))
+
+    def lists(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The inverted lists (key, sid, n) of at least two sets, and the contents of the sets in them."""
+        plan, n, deals = self.plan, self.n, self.deals
+        units, keys = self.shared_keys()
+
+        def spare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Of every set of a size its units, for sizes only: no text is needed."""
+            for batch in batches:
+                out = [(s, m, unit(s, c)) for s, m in zip(batch.column("sid").to_pylist(), batch.column("n").to_pylist(), strict=True) if plan.den * m // plan.num > plan.light for c in plan.classes(m)]
+                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array(np.array([x[2] for x in out], np.uint64).view(np.int64))], ["sid", "unit"])
+
+        of = sets.select("sid", "n").mapInArrow(spare, "sid long, unit long")
+        open_units = self.scratch.write(of.join(units.hint("merge"), "unit").groupBy("sid").agg(F.collect_list(F.struct("unit", "n_shared")).alias("open")))
 
-        found = self.texts.select("rk", "data").join(sids.select("sid", "rk"), "rk").select("sid", "data").mapInArrow(run, "sid long, set binary")
-        return self.scratch.write(found.groupBy("sid").agg(F.first("set").alias("set")))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Sets that have fewer keys of their own than rule out all links."""
+            for batch in by_bytes(batches, "data"):
+                rows = []
+                for sid, data, known in zip(batch.column("sid").to_pylist(), batch.column("data"), batch.column("open").to_pylist(), strict=True):
+                    hashes = shingles(data.as_buffer(), n)
+                    shared = {x["unit"] & _MASK: x["n_shared"] for x in known}
+                    takes = [(c, need - len(own) + min(len(own), shared.get(unit(sid, c), 0))) for c, own, need in plan.list_keys(hashes)]
+                    takes = [x for x in takes if x[1] > 0]
+                    if takes:
+                        rows.append((sid, hashes.tobytes(), [{"c": c, "take": take} for c, take in takes]))
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.struct([("c", pa.int32()), ("take", pa.int64())])))], ["sid", "set", "takes"])
+
+        chosen = open_units.join(sets.select("sid", "rk").hint("merge"), "sid")
+        found = self.texts.select("rk", "data").join(chosen.hint("merge"), "rk").select("sid", "data", "open").mapInArrow(run, "sid long, set binary, takes array<struct<c:int,take:long>>")
+        active = self.scratch.write(found.groupBy("sid").agg(F.first("set").alias("set"), F.first("takes").alias("takes")))
+
+        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in by_bytes(batches, "set", 1 << 20):
+                out: dict[str, list] = {"key": [], "sid": [], "n": [], "c": [], "take": []}
+                for sid, data, takes in zip(batch.column("sid").to_pylist(), batch.column("set"), batch.column("takes").to_pylist(), strict=True):
+                    hashes = np.frombuffer(data.as_buffer(), np.uint64)
+                    wanted = {x["c"]: x["take"] for x in takes}
+                    for c, own, _ in plan.list_keys(hashes):
+                        if c in wanted:
+                            own = np.unique(whole_key(own, deals))
+                            for name, v in (("key", own), ("sid", np.full(len(own), sid)), ("n", np.full(len(own), len(hashes))), ("c", np.full(len(own), c)), ("take", np.full(len(own), wanted[c]))):
+                                out[name].append(v)
+                yield pa.record_batch([pa.array(np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)) for v in out.values()], list(out))
+
+        rows = active.mapInArrow(explode, "key long, sid long, n long, c long, take long")
+        order = Window.partitionBy("sid", "c").orderBy("n_sets", "key")
+        rows = rows.join(keys.hint("merge"), "key").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("take"))
+        rows = self.scratch.write(rows.select("key", "sid", "n"))
+        two = self.scratch.write(rows.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a < z").select("key"))
+        lists = self.scratch.write(rows.join(two.hint("merge"), "key"))
+        self.scratch.drop(rows, two)
+        return lists, active.select("sid", "set")
 
     def test(self, pairs: DataFrame, contents: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that link."""
@@ -278,10 +454,7 @@ class JaccardJoin:
         first = scratch.write(light.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a < z").select("key", "a"))
         links = scratch.write(light.join(first.hint("merge"), "key").filter("a <> sid").select("a", F.col("sid").alias("b")).distinct())
 
-        rows = sets.select("sid", "n", F.explode("lists").alias("key"))
-        first = scratch.write(rows.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a < z").select("key"))
-        lists = scratch.write(rows.join(first.hint("merge"), "key").select("key", "sid", "n"))
-        contents = self.contents(lists.select("sid").distinct().join(sets.select("sid", "rk").hint("merge"), "sid"))
+        lists, contents = self.lists(sets)
         tested = None
         for turn in range(LEADER_ROUNDS + 1):
             if turn:
