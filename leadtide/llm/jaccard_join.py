@@ -170,13 +170,16 @@ class Plan:
         if n > self.light:
             return np.zeros(0, np.int64)
         own = [int(x) for x in mix(hashes + _ODD)]
-        total, out = sum(own), []
+        total, out, same = sum(own), [], []
         for m in self.partners(n):
             if m <= self.light:
                 c = self.overlap(n, m)
                 tag = (min(n, m) << 20) + max(n, m) + (c << 40)
-                out += [((total - sum(left)) * 2 + 1) * (2 * tag + 1) & _MASK for left in combinations(own, n - c)]
-        return mix(np.array(out, np.uint64)).view(np.int64)
+                new = [((total - sum(left)) * 2 + 1) * (2 * tag + 1) & _MASK for left in combinations(own, n - c)]
+                out += new
+                same += [m == n] * len(new)
+        # The last bit tells keys for sets of one size from those for two sizes.
+        return (mix(np.array(out, np.uint64)) & np.uint64(_MASK - 1) | np.array(same, np.uint64)).view(np.int64)
 
 
 def unit(sid: int, c: int) -> int:
@@ -450,9 +453,13 @@ class JaccardJoin:
     def links(self, sets: DataFrame) -> DataFrame:
         """Links (a, b) between sets that make up all components."""
         scratch = self.scratch
-        light = sets.select("sid", F.explode("light").alias("key"))
-        first = scratch.write(light.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a < z").select("key", "a"))
-        links = scratch.write(light.join(first.hint("merge"), "key").filter("a <> sid").select("a", F.col("sid").alias("b")).distinct())
+        light = sets.select("sid", "n", F.explode("light").alias("key"))
+        first = light.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min_by("sid", F.struct("n", "sid")).alias("a"), F.min_by("sid", F.struct(-F.col("n"), "sid")).alias("b"), F.max("sid").alias("z"))
+        # Sets of one size that share a key for two sizes don't link by it, each links with the other size.
+        first = scratch.write(first.filter("(key & 1 = 1 AND a < z) OR low < high"))
+        other = F.when(F.col("n") == F.col("high"), F.col("a")).otherwise(F.col("b"))
+        found = light.join(first.hint("merge"), "key").select("sid", other.alias("other")).filter("sid <> other")
+        links = scratch.write(found.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct())
 
         lists, contents = self.lists(sets)
         tested = None
