@@ -17,6 +17,7 @@ from leadtide.config import Config
 from leadtide.sources.tables import Log
 
 PAIR = ["city_code", "checkin"]
+FOLD_PAIR = ["fold_cutoff", *PAIR]
 
 
 def history_before(events: DataFrame, cutoff: date) -> DataFrame:
@@ -40,19 +41,25 @@ def complete_grid(cities: DataFrame, start: date, end: date) -> DataFrame:
     return cities.withColumn("checkin", F.explode(F.sequence(F.lit(start), F.lit(end))))
 
 
+def target_grid(log: Log) -> DataFrame:
+    """fold_cutoff, city_code, province_code, checkin, horizon of every pair of the target windows."""
+    grid = log.cities.select("city_code", "province_code").withColumn("fold_cutoff", F.explode(log.cutoffs))
+    days = F.sequence(F.date_add("fold_cutoff", 1), F.date_add("fold_cutoff", log.cfg.target_days))
+    return grid.withColumn("checkin", F.explode(days)).withColumn("horizon", F.datediff("checkin", "fold_cutoff"))
+
+
 def forecast_grid(log: Log) -> DataFrame:
-    """city_code, province_code, checkin, horizon, observed: the pairs of the target window."""
-    cfg = log.cfg
-    grid = complete_grid(log.cities.select("city_code", "province_code"), cfg.target_start, cfg.target_end)
-    seen = observed_at(log.all, cfg.cutoff, cfg.target_start, cfg.target_end)
-    return grid.join(seen, PAIR, "left").select("city_code", "province_code", "checkin", F.datediff("checkin", F.lit(cfg.cutoff)).alias("horizon"), F.coalesce("observed", F.lit(0).cast("long")).alias("observed"))
+    """The target grid with `observed`, the demand seen by the cutoff."""
+    seen = log.evaluation.groupBy(*FOLD_PAIR).agg(F.sum("search_count").alias("observed"))
+    return target_grid(log).join(seen, FOLD_PAIR, "left").withColumn("observed", F.coalesce("observed", F.lit(0).cast("long")))
 
 
 def fold_frame(log: Log) -> DataFrame:
-    """The grid with `actual`, what its pairs came to in the end."""
-    cfg = log.cfg
-    truth = final_demand(log.all, cfg.target_start, cfg.target_end, "actual")
-    return forecast_grid(log).join(truth, PAIR, "left").withColumn("actual", F.coalesce("actual", F.lit(0).cast("long")))
+    """The grid with `actual` too, what its pairs came to in the end: one grouping for both sums."""
+    known = F.when(F.col("log_date") <= F.col("fold_cutoff"), F.col("search_count"))
+    sums = log.target.groupBy(*FOLD_PAIR).agg(F.sum(known).alias("observed"), F.sum("search_count").alias("actual"))
+    zero = F.lit(0).cast("long")
+    return target_grid(log).join(sums, FOLD_PAIR, "left").withColumns({"observed": F.coalesce("observed", zero), "actual": F.coalesce("actual", zero)})
 
 
 def bucket_label(horizon: Column, buckets: tuple[tuple[int, int], ...], other: str | None) -> Column:
@@ -79,7 +86,7 @@ def demand_bucket(frame: DataFrame, value: str, quantiles: tuple[float, ...], by
     return joined.withColumn("demand_bucket", label).drop("_edges")
 
 
-def annotate(frame: DataFrame, cfg: Config, by: list[str] | None = None) -> DataFrame:
+def annotate(frame: DataFrame, cfg: Config, by: tuple[str, ...] = ("fold_cutoff",)) -> DataFrame:
     """Adds weekday, horizon_bucket, demand_bucket and observation_state."""
     out = frame.withColumns(
         {
@@ -88,7 +95,7 @@ def annotate(frame: DataFrame, cfg: Config, by: list[str] | None = None) -> Data
             "observation_state": F.when(F.col("observed") > 0, "observed").otherwise("unobserved"),
         }
     )
-    return demand_bucket(out, "actual", cfg.demand_quantiles, by)
+    return demand_bucket(out, "actual", cfg.demand_quantiles, list(by))
 
 
 def lead_state(events: DataFrame, keys: list[str], slots: int = 60) -> DataFrame:

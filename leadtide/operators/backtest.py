@@ -2,36 +2,28 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadtide.functions.metrics import score
-from leadtide.operators.asof import PAIR, annotate, final_demand, fold_frame
+from leadtide.operators.asof import FOLD_PAIR, annotate, fold_frame
 from leadtide.operators.curves import pickup_forecast, with_demand_prior
 from leadtide.sources.tables import Log
 
 
 def last_year(rows: DataFrame, log: Log, name: str = "last_year") -> DataFrame:
     """Adds the demand 364 days before, which keeps the weekday; 0 where there is none."""
-    cfg = log.cfg
-    old = final_demand(log.all, cfg.target_start - timedelta(days=364), cfg.target_end - timedelta(days=364), name)
-    old = old.withColumn("checkin", F.date_add("checkin", 364))
-    return rows.join(old, PAIR, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    shifted = log.all.withColumn("checkin", F.date_add("checkin", 364))
+    days = log.cfg.target_days
+    old = log.dealt(shifted, lambda c: (F.col("checkin") > c) & (F.col("checkin") <= F.date_add(c, days)))
+    old = old.groupBy(*FOLD_PAIR).agg(F.sum("search_count").alias(name))
+    return rows.join(old, FOLD_PAIR, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
-def run_fold(log: Log) -> DataFrame:
-    """The scored grid of one cutoff, with the forecast, three reference baselines and segments."""
+def scored_frame(log: Log) -> DataFrame:
+    """The scored grid of all folds, with the forecast, reference baselines and segments."""
     frame = pickup_forecast(log, fold_frame(log))
-    frame = with_demand_prior(last_year(frame, log), log)
-    return annotate(frame, log.cfg).withColumn("fold_cutoff", F.lit(log.cfg.cutoff))
-
-
-def run_folds(log: Log) -> DataFrame:
-    """All folds below each other."""
-    return reduce(DataFrame.unionByName, (run_fold(log.at(c)) for c in log.cfg.fold_cutoffs))
+    return annotate(with_demand_prior(last_year(frame, log), log), log.cfg)
 
 
 def reference_scores(frame: DataFrame, *by: str) -> DataFrame:

@@ -10,43 +10,46 @@ from leadtide.operators.asof import PAIR, forecast_grid, lead_state
 from leadtide.sources.tables import Log
 
 
-def curves(history: DataFrame, key: str | None, least_support: int, cfg: Config) -> DataFrame:
-    """key, days_to_checkin, completion_fraction, support: the share of a group's demand that has come
-    in so many days ahead. Groups with less demand than ``least_support`` have no curve."""
+FOLD = "fold_cutoff"
+
+
+def city_leads(log: Log) -> DataFrame:
+    """Demand of the past by fold, city and lead time: what all curves are made of, in one grouping."""
+    sums = log.history.groupBy(FOLD, "city_code", "days_to_checkin").agg(F.sum("search_count").alias("search_count"))
+    return sums.join(log.cities.select("city_code", "province_code"), "city_code", "left")
+
+
+def curves(leads: DataFrame, key: str | None, least_support: int, cfg: Config) -> DataFrame:
+    """fold_cutoff, key, days_to_checkin, completion_fraction, support: the share of a group's demand that
+    has come in so many days ahead. Groups with less demand than ``least_support`` have no curve."""
     slots = cfg.max_lead + 1
-    keyed = history.withColumn("key", F.col(key).cast("int") if key else F.lit(-1))
-    support = keyed.groupBy("key").agg(F.sum("search_count").alias("support"))
-    state = lead_state(keyed, ["key"], slots).join(support, "key").filter((F.col("support") >= least_support) & (F.col("support") > 0))
-    steps = state.select("key", "support", F.posexplode(F.slice("cum", 1, slots)).alias("days_to_checkin", "n"))
-    return steps.select("key", "days_to_checkin", (F.col("n") / F.col("support")).alias("completion_fraction"), "support")
+    keyed = leads.withColumn("key", F.col(key).cast("int") if key else F.lit(-1)).filter("key IS NOT NULL")
+    support = keyed.groupBy(FOLD, "key").agg(F.sum("search_count").alias("support"))
+    state = lead_state(keyed, [FOLD, "key"], slots).join(support, [FOLD, "key"]).filter((F.col("support") >= least_support) & (F.col("support") > 0))
+    steps = state.select(FOLD, "key", "support", F.posexplode(F.slice("cum", 1, slots)).alias("days_to_checkin", "n"))
+    return steps.select(FOLD, "key", "days_to_checkin", (F.col("n") / F.col("support")).alias("completion_fraction"), "support")
 
 
 def all_curves(log: Log) -> DataFrame:
     """level, key, days_to_checkin, completion_fraction, support for the world, provinces and cities."""
-    cfg = log.cfg
-    history = log.history.join(log.cities.select("city_code", "province_code"), "city_code")
+    cfg, leads = log.cfg, city_leads(log)
     levels = (("global", None, 0), ("province", "province_code", cfg.min_province_support), ("city", "city_code", cfg.min_city_support))
-    out = None
-    for level, key, least in levels:
-        own = curves(log.history if key is None else history, key, least, cfg).select(F.lit(level).alias("level"), "*")
-        out = own if out is None else out.unionByName(own)
-    return out
+    made = [curves(leads, key, least, cfg).select(F.lit(level).alias("level"), "*") for level, key, least in levels]
+    return made[0].unionByName(made[1]).unionByName(made[2])
 
 
 def with_fraction(rows: DataFrame, log: Log, horizon: Column | None = None, name: str = "completion_fraction", source: str | None = "curve_source") -> DataFrame:
-    """Adds the completion fraction of (city_code, province_code, horizon): of the city's curve, else its
-    province's, else that of all; horizons beyond the curve take its last step; between min_fraction
-    and 1. Every level is a left join on its key and the horizon."""
-    cfg = log.cfg
-    history = log.history
+    """Adds the completion fraction of (fold_cutoff, city_code, province_code, horizon): of the city's
+    curve, else its province's, else that of all; horizons beyond the curve take its last step; between
+    min_fraction and 1. Every level is a left join on its key and the horizon."""
+    cfg, leads = log.cfg, city_leads(log)
     step = F.least(F.greatest(horizon if horizon is not None else F.col("horizon"), F.lit(0)), F.lit(cfg.max_lead))
-    provinces = history.join(log.cities.select("city_code", "province_code"), "city_code")
-    city = curves(history, "city_code", cfg.min_city_support, cfg).select(F.col("key").alias("city_code"), F.col("days_to_checkin").alias("_h"), F.col("completion_fraction").alias("_c"))
-    province = curves(provinces, "province_code", cfg.min_province_support, cfg).select(F.col("key").alias("province_code"), F.col("days_to_checkin").alias("_h"), F.col("completion_fraction").alias("_p"))
-    world = curves(history, None, 0, cfg).select(F.col("days_to_checkin").alias("_h"), F.col("completion_fraction").alias("_g"))
-    out = rows.withColumn("_h", step).join(city, ["city_code", "_h"], "left").join(province, ["province_code", "_h"], "left").join(F.broadcast(world), "_h", "left")  # one row a step
-    fraction = F.greatest(F.least(F.coalesce("_c", "_p", "_g"), F.lit(1.0)), F.lit(cfg.min_fraction))
-    out = out.withColumn(name, fraction)
+    part = lambda key, least, to: curves(leads, key, least, cfg).select(FOLD, F.col("key").alias(key or "_key"), F.col("days_to_checkin").alias("_h"), F.col("completion_fraction").alias(to))
+    city = part("city_code", cfg.min_city_support, "_c")
+    province = part("province_code", cfg.min_province_support, "_p")
+    world = F.broadcast(part(None, 0, "_g").drop("_key"))  # one row for each fold and step
+    out = rows.withColumn("_h", step).join(city, [FOLD, "city_code", "_h"], "left").join(province, [FOLD, "province_code", "_h"], "left").join(world, [FOLD, "_h"], "left")
+    out = out.withColumn(name, F.greatest(F.least(F.coalesce("_c", "_p", "_g"), F.lit(1.0)), F.lit(cfg.min_fraction)))
     if source:
         out = out.withColumn(source, F.when(F.col("_c").isNotNull(), "city").when(F.col("_p").isNotNull(), "province").otherwise("global"))
     return out.drop("_h", "_c", "_p", "_g")
@@ -59,70 +62,64 @@ def demand_prior(log: Log) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     that have any demand in it.
     """
     cfg = log.cfg
-    first = F.greatest(F.date_sub(F.lit(cfg.cutoff), cfg.prior_window_days - 1), F.col("_min"))
-    start = log.history.agg(F.min("checkin").alias("_min")).select(first.alias("_start"))
-    dates = start.select(F.explode(F.sequence("_start", F.lit(cfg.cutoff))).alias("checkin"))
-    weekdays = dates.groupBy(F.weekday("checkin").alias("weekday")).agg(F.count(F.lit(1)).alias("_days"))
-    span = start.select((F.datediff(F.lit(cfg.cutoff), "_start") + 1).alias("_days"))
-    recent = log.history.crossJoin(F.broadcast(start)).filter(F.col("checkin") >= F.col("_start"))  # one row
-    pairs = recent.groupBy("city_code", F.weekday("checkin").alias("weekday")).agg(F.sum("search_count").alias("_n"))
-    by_weekday = pairs.join(F.broadcast(weekdays), "weekday").select("city_code", "weekday", (F.col("_n") / F.col("_days")).alias("mean"))
-    by_city = pairs.groupBy("city_code").agg(F.sum("_n").alias("_n")).crossJoin(F.broadcast(span)).select("city_code", (F.col("_n") / F.col("_days")).alias("mean"))
+    window = log.history.groupBy(FOLD).agg(F.min("checkin").alias("_min"))  # one row a fold
+    window = F.broadcast(window.select(FOLD, F.greatest(F.date_sub(FOLD, cfg.prior_window_days - 1), "_min").alias("_start")))
+    dates = window.select(FOLD, F.explode(F.sequence("_start", FOLD)).alias("_day"))
+    weekdays = F.broadcast(dates.groupBy(FOLD, F.weekday("_day").alias("weekday")).agg(F.count(F.lit(1)).alias("_days")))
+    span = F.broadcast(window.select(FOLD, (F.datediff(FOLD, "_start") + 1).alias("_days")))
+    recent = log.history.filter(F.col("checkin") > F.date_sub(FOLD, cfg.prior_window_days))
+    pairs = recent.groupBy(FOLD, "city_code", F.weekday("checkin").alias("weekday")).agg(F.sum("search_count").alias("_n"))
+    by_weekday = pairs.join(weekdays, [FOLD, "weekday"]).select(FOLD, "city_code", "weekday", (F.col("_n") / F.col("_days")).alias("mean"))
+    by_city = pairs.groupBy(FOLD, "city_code").agg(F.sum("_n").alias("_n")).join(span, FOLD).select(FOLD, "city_code", (F.col("_n") / F.col("_days")).alias("mean"))
     known = by_city.join(log.cities.select("city_code", "province_code"), "city_code", "left")
-    by_province = known.filter("province_code IS NOT NULL").groupBy("province_code").agg(F.percentile("mean", F.lit(0.5)).alias("mean"))
-    overall = by_city.agg(F.percentile("mean", F.lit(0.5)).alias("mean"))
-    return by_weekday, by_city, by_province, overall
+    by_province = known.filter("province_code IS NOT NULL").groupBy(FOLD, "province_code").agg(F.percentile("mean", F.lit(0.5)).alias("mean"))
+    return by_weekday, by_city, by_province, by_city.groupBy(FOLD).agg(F.percentile("mean", F.lit(0.5)).alias("mean"))
 
 
 def with_demand_prior(rows: DataFrame, log: Log, name: str = "city_weekday_mean") -> DataFrame:
-    """Adds the prior of (city_code, province_code, checkin): the first level that is known."""
-    by_weekday, by_city, by_province, overall = demand_prior(log)
-    out = rows.withColumn("weekday", F.weekday("checkin")).join(by_weekday.withColumnRenamed("mean", "_w"), ["city_code", "weekday"], "left")
-    out = out.join(by_city.withColumnRenamed("mean", "_c"), "city_code", "left").join(by_province.withColumnRenamed("mean", "_p"), "province_code", "left")
-    out = out.crossJoin(F.broadcast(overall.withColumnRenamed("mean", "_g")))  # one row
+    """Adds the prior of (fold_cutoff, city_code, province_code, checkin): the first level that is known."""
+    by_weekday, by_city, by_province, overall = (x.withColumnRenamed("mean", to) for x, to in zip(demand_prior(log), ("_w", "_c", "_p", "_g"), strict=True))
+    out = rows.withColumn("weekday", F.weekday("checkin")).join(by_weekday, [FOLD, "city_code", "weekday"], "left")
+    out = out.join(by_city, [FOLD, "city_code"], "left").join(by_province, [FOLD, "province_code"], "left").join(F.broadcast(overall), FOLD, "left")
     return out.withColumn(name, F.greatest(F.coalesce("_w", "_c", "_p", "_g", F.lit(0.0)), F.lit(0.0))).drop("_w", "_c", "_p", "_g", *([] if "weekday" in rows.columns else ["weekday"]))
 
 
 def zero_prior(log: Log) -> DataFrame:
-    """level, key, horizon, expected: the mean final demand of pairs nothing was seen of.
+    """fold_cutoff, level, key, horizon, expected: the mean final demand of pairs nothing was seen of.
 
     Pairs without any event count too; how many there are follows from the numbers of cities and
     dates, so no grid is made.
     """
     cfg = log.cfg
-    pairs = log.history.groupBy(*PAIR).agg(F.sum("search_count").alias("final"), F.max("days_to_checkin").alias("_lead"))
-    late = 0 if not cfg.strict_zero_prior else -1
-    bucket = F.least(F.greatest(F.col("_lead") + 1 + late, F.lit(0)), F.lit(cfg.target_days))
-    pairs = pairs.select("city_code", "final", bucket.alias("bucket")).filter("final > 0")
-    dates = log.history.agg((F.datediff(F.lit(cfg.cutoff), F.min("checkin")) + 1).alias("_dates"))
+    pairs = log.history.groupBy(FOLD, *PAIR).agg(F.sum("search_count").alias("final"), F.max("days_to_checkin").alias("_lead"))
+    bucket = F.least(F.greatest(F.col("_lead") + (0 if cfg.strict_zero_prior else 1), F.lit(0)), F.lit(cfg.target_days))
+    counted = pairs.filter("final > 0").groupBy(FOLD, "city_code", bucket.alias("bucket")).agg(F.sum("final").alias("total"), F.count(F.lit(1)).alias("n"))
+    dates = F.broadcast(log.history.groupBy(FOLD).agg((F.datediff(FOLD, F.min("checkin")) + 1).alias("_dates")))  # one row a fold
     cities = log.cities.select("city_code", "province_code")
-    counted = pairs.groupBy("city_code", "bucket").agg(F.sum("final").alias("total"), F.count(F.lit(1)).alias("n"))
     located = counted.join(cities, "city_code")
     out = None
     for level, key in (("city", F.col("city_code")), ("province", F.col("province_code")), ("global", F.lit(-1))):
-        members = cities.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("_members"))
-        own = located.groupBy(key.alias("key"), "bucket").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-        present = own.groupBy("key").agg(F.sum("n").alias("_present"))
-        silent = members.join(present, "key", "left").crossJoin(F.broadcast(dates)).select("key", (F.col("_members") * F.col("_dates") - F.coalesce("_present", F.lit(0))).alias("_silent"))
+        members = cities.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("_members")).withColumn(FOLD, F.explode(log.cutoffs))
+        own = located.groupBy(FOLD, key.alias("key"), "bucket").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        present = own.groupBy(FOLD, "key").agg(F.sum("n").alias("_present"))
+        silent = members.join(present, [FOLD, "key"], "left").join(dates, FOLD).select(FOLD, "key", (F.col("_members") * F.col("_dates") - F.coalesce("_present", F.lit(0))).alias("_silent"))
         steps = silent.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(cfg.target_days))))
         # Sums up to bucket h - 1: buckets in order of a key, at most target_days + 1 of them.
-        running = Window.partitionBy("key").orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)
-        at = own.select("key", (F.col("bucket") + 1).alias("horizon"), "total", "n")
-        done = steps.join(at, ["key", "horizon"], "left").withColumns({"_t": F.sum(F.coalesce("total", F.lit(0))).over(running), "_n": F.sum(F.coalesce("n", F.lit(0))).over(running)})
-        made = done.select(F.lit(level).alias("level"), F.col("key").cast("int").alias("key"), "horizon", (F.col("_t") / F.greatest(F.col("_n") + F.col("_silent"), F.lit(1))).alias("expected"))
+        running = Window.partitionBy(FOLD, "key").orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)
+        at = own.select(FOLD, "key", (F.col("bucket") + 1).alias("horizon"), "total", "n")
+        done = steps.join(at, [FOLD, "key", "horizon"], "left").withColumns({"_t": F.sum(F.coalesce("total", F.lit(0))).over(running), "_n": F.sum(F.coalesce("n", F.lit(0))).over(running)})
+        made = done.select(FOLD, F.lit(level).alias("level"), F.col("key").cast("int").alias("key"), "horizon", (F.col("_t") / F.greatest(F.col("_n") + F.col("_silent"), F.lit(1))).alias("expected"))
         out = made if out is None else out.unionByName(made)
     return out
 
 
 def with_zero_prior(rows: DataFrame, log: Log, name: str = "zero_level") -> DataFrame:
-    """Adds the zero prior of (city_code, province_code, horizon), city first."""
+    """Adds the zero prior of (fold_cutoff, city_code, horizon). Every city of the dimension has one of
+    its own, so the levels above it are for cities that it does not list; they get 0 here."""
     cfg = log.cfg
-    prior = zero_prior(log)
-    level = lambda x, key, to: prior.filter(F.col("level") == x).select(F.col("key").alias(key), F.col("horizon").alias("_h"), F.col("expected").alias(to))
+    prior = zero_prior(log).filter("level = 'city'").select(FOLD, F.col("key").alias("city_code"), F.col("horizon").alias("_h"), F.col("expected").alias(name))
     out = rows.withColumn("_h", F.greatest(F.least(F.col("horizon"), F.lit(cfg.target_days)), F.lit(1)))
-    out = out.join(level("city", "city_code", "_c"), ["city_code", "_h"], "left").join(level("province", "province_code", "_p"), ["province_code", "_h"], "left")
-    out = out.join(F.broadcast(level("global", "_key", "_g").drop("_key")), "_h", "left")  # target_days rows
-    return out.withColumn(name, F.greatest(F.coalesce("_c", "_p", "_g"), F.lit(0.0))).drop("_h", "_c", "_p", "_g")
+    return out.join(prior, [FOLD, "city_code", "_h"], "left").withColumn(name, F.greatest(F.coalesce(name, F.lit(0.0)), F.lit(0.0))).drop("_h")
 
 
 def pickup_forecast(log: Log, grid: DataFrame | None = None, zero_policy: str = "prior") -> DataFrame:

@@ -21,7 +21,7 @@ def history_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("asof_observed", sql(f"SELECT city_code, strftime(checkin, '%Y-%m-%d') AS checkin, CAST(sum(n) AS BIGINT) AS observed FROM ev WHERE log_date <= DATE '{C.cutoff}' AND checkin BETWEEN DATE '{C.target_start}' AND DATE '{C.target_end}' GROUP BY ALL"))
 def asof_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = log(spark, sf_dir)
-    union = data.history.unionByName(data.evaluation)
+    union = data.history.unionByName(data.evaluation)  # the two files of the log
     return rounded(asof.observed_at(union, C.cutoff, C.target_start, C.target_end))
 
 
@@ -37,18 +37,18 @@ def complete_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("forecast_grid", sql("SELECT city_code, province_code, strftime(checkin, '%Y-%m-%d') AS checkin, horizon, observed FROM grid"))
 def forecast_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(asof.forecast_grid(log(spark, sf_dir)))
+    return rounded(asof.forecast_grid(log(spark, sf_dir)).drop("fold_cutoff"))
 
 
 @query("fold_frame", sql("SELECT city_code, province_code, strftime(checkin, '%Y-%m-%d') AS checkin, horizon, observed, actual FROM grid"))
 def fold_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(asof.fold_frame(log(spark, sf_dir)))
+    return rounded(asof.fold_frame(log(spark, sf_dir)).drop("fold_cutoff"))
 
 
 def _curve(level: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = curves.all_curves(log(spark, sf_dir)).filter(F.col("level") == level)
-        return rounded(found.drop("level"), 9)
+        return rounded(found.drop("level", "fold_cutoff"), 9)
 
     return run
 
@@ -87,7 +87,7 @@ def curve_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("curve_source", sql("SELECT city_code, min(source) AS curve_source FROM pred GROUP BY ALL"))
 def curve_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = log(spark, sf_dir)
-    rows = data.cities.select("city_code", "province_code").withColumn("horizon", F.lit(0))
+    rows = data.cities.select("city_code", "province_code").withColumns({"horizon": F.lit(0), "fold_cutoff": F.lit(C.cutoff)})
     return curves.with_fraction(rows, data).select("city_code", "curve_source")
 
 
@@ -121,12 +121,12 @@ def demand_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def zero_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(curves.zero_prior(log(spark, sf_dir)))
+    return rounded(curves.zero_prior(log(spark, sf_dir)).drop("fold_cutoff"))
 
 
 @query("pickup_forecast", sql("SELECT city_code, province_code, strftime(checkin, '%Y-%m-%d') AS checkin, horizon, observed, round(fraction, 6) AS completion_fraction, source AS curve_source, round(observed / fraction, 6) AS projection, round(predicted, 6) AS predicted_demand FROM pred"))
 def pickup_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(curves.pickup_forecast(log(spark, sf_dir)))
+    return rounded(curves.pickup_forecast(log(spark, sf_dir)).drop("fold_cutoff"))
 
 
 @query("pickup_forecast_whole", sql("SELECT city_code AS cluster_code, strftime(checkin, '%Y-%m-%d') AS checkin, greatest(CAST(round_even(predicted, 0) AS BIGINT), observed) AS predicted_demand FROM pred"))

@@ -10,7 +10,7 @@ from leadtide.functions import metrics as M
 from leadtide.functions.metrics import score
 from leadtide.operators import asof, backtest
 from leadtide.plans.asof import PRIOR
-from leadtide.plans.base import buckets_sql, log, rounded, sql
+from leadtide.plans.base import buckets_sql, folds, rounded, sql
 from leadtide.registry import query
 
 SCORE = """CAST(count(*) AS BIGINT) AS n, round(sum({a})::DOUBLE, 2) AS actual_total, round(sum({p})::DOUBLE, 2) AS predicted_total,
@@ -43,7 +43,7 @@ SEGMENTS = f"""seg AS (SELECT folds.*, CAST(isodow(checkin) - 1 AS INTEGER) AS w
 
 
 def _frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.run_folds(log(spark, sf_dir))
+    return backtest.scored_frame(folds(spark, sf_dir))
 
 
 def fold_query(name: str, key: str, cast: str = "VARCHAR") -> None:
@@ -83,12 +83,8 @@ def backtest_fold_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("annotated_fold", sql("SELECT fold_cutoff, city_code, strftime(checkin, '%Y-%m-%d') AS checkin, weekday, horizon_bucket, observation_state, demand_bucket FROM seg", FOLDS, QUANTILES, SEGMENTS, folds=True))
 def annotated_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = log(spark, sf_dir)
-    frames = [asof.annotate(asof.fold_frame(data.at(c)), C).withColumn("fold_cutoff", F.lit(c)) for c in C.fold_cutoffs]
-    out = frames[0]
-    for x in frames[1:]:
-        out = out.unionByName(x)
-    return rounded(out.select("fold_cutoff", "city_code", "checkin", "weekday", "horizon_bucket", "observation_state", "demand_bucket"))
+    found = asof.annotate(asof.fold_frame(folds(spark, sf_dir)), C)
+    return rounded(found.select("fold_cutoff", "city_code", "checkin", "weekday", "horizon_bucket", "observation_state", "demand_bucket"))
 
 
 _REFERENCES = "refs AS (" + " UNION ALL ".join(

@@ -19,6 +19,11 @@ def log(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> Log:
     return Log(spark, sf_dir, cfg)
 
 
+def folds(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> Log:
+    """The log at all simulated cutoffs."""
+    return Log(spark, sf_dir, cfg, cfg.fold_cutoffs)
+
+
 def day(col: str) -> Column:
     """Dates leave queries as text, which all engines compare alike."""
     return F.date_format(col, "yyyy-MM-dd").alias(col)

@@ -7,7 +7,10 @@ comes from the keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadtide.config import Config
@@ -54,27 +57,39 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Log:
-    """The event log as a forecaster meets it at a cutoff: the past whole, the target window in part."""
+    """The event log as a forecaster meets it at one or more cutoffs: the past whole, the target in part.
+
+    Every frame has the cutoff as `fold_cutoff`. Rows are dealt to folds by an explode, so the log is
+    read once however many folds there are. Sums need no unique keys, so line items stay as they are.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config, folds: tuple[date, ...] | None = None) -> None:
         self.spark, self.cfg = spark, cfg
-        self.all = events(spark, sf_dir)
+        self.folds = folds or (cfg.cutoff,)
+        self.all = raw_events(spark, sf_dir)
         self.cities = cities(spark, sf_dir)
 
-    def at(self, cutoff) -> Log:
-        """The same log at another cutoff."""
-        other = Log.__new__(Log)
-        other.spark, other.cfg, other.all, other.cities = self.spark, self.cfg.at(cutoff), self.all, self.cities
-        return other
+    @property
+    def cutoffs(self) -> Column:
+        return F.array(*map(F.lit, self.folds))
+
+    def dealt(self, events: DataFrame, belongs: Callable[[Column], Column]) -> DataFrame:
+        """Events with the cutoff of each fold they belong to."""
+        return events.withColumn("fold_cutoff", F.explode(F.filter(self.cutoffs, belongs)))
 
     @property
     def history(self) -> DataFrame:
-        return self.all.filter(F.col("checkin") <= F.lit(self.cfg.cutoff))
+        return self.dealt(self.all, lambda c: F.col("checkin") <= c)
+
+    @property
+    def target(self) -> DataFrame:
+        """All events of the target windows, also those that come after the cutoff."""
+        days = self.cfg.target_days
+        return self.dealt(self.all, lambda c: (F.col("checkin") > c) & (F.col("checkin") <= F.date_add(c, days)))
 
     @property
     def evaluation(self) -> DataFrame:
-        cfg = self.cfg
-        return self.all.filter((F.col("checkin") > F.lit(cfg.cutoff)) & (F.col("checkin") <= F.lit(cfg.target_end)) & (F.col("log_date") <= F.lit(cfg.cutoff)))
+        return self.target.filter(F.col("log_date") <= F.col("fold_cutoff"))
 
 
 def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
