@@ -144,6 +144,22 @@ class Plan:
 
     def list_keys(self, hashes: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
         """For each size class: its number, a set's keys in it, and how many of the rarest count."""
+        return [x[:3] for x in self.in_parts(hashes)]
+
+    def signatures(self, hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """For each size class: its number, and a byte for what each part holds, seven to a number.
+
+        Parts that differ in these bytes are spoiled, so two sets that differ in more parts than a pair
+        of their sizes may have differences don't link.
+        """
+        out = []
+        for c, key, _, full, parts in self.in_parts(hashes):
+            signs = np.zeros(-(-parts // 7) * 7, np.uint64)
+            signs[full] = key[: len(full)] & np.uint64(255)
+            out.append((c, (signs.reshape(-1, 7) << (np.arange(7, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64).view(np.int64)))
+        return out
+
+    def in_parts(self, hashes: np.ndarray) -> list[tuple[int, np.ndarray, int, np.ndarray, int]]:
         n = len(hashes)
         if self.den * n // self.num <= self.light:
             return []
@@ -162,7 +178,7 @@ class Plan:
             if len(full) < need:
                 # So few parts hold anything that two such sets might only agree on empty ones.
                 key = np.append(key, mix(np.array([(c << 40) + 5], np.uint64)))
-            out.append((c, key, min(need, len(key))))
+            out.append((c, key, min(need, len(key)), full, parts))
         return out
 
     def light_keys(self, hashes: np.ndarray) -> np.ndarray:
@@ -421,9 +437,16 @@ class JaccardJoin:
         rows = active.mapInArrow(explode, "key long, sid long, n long, c long, take long")
         order = Window.partitionBy("sid", "c").orderBy("n_sets", "key")
         rows = rows.join(keys.hint("merge"), "key").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("take"))
-        rows = self.scratch.write(rows.select("key", "sid", "n"))
+        rows = self.scratch.write(rows.select("key", "sid", "n", "c"))
         two = self.scratch.write(rows.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a < z").select("key"))
-        lists = self.scratch.write(rows.join(two.hint("merge"), "key"))
+
+        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in by_bytes(batches, "set", 1 << 20):
+                out = [(sid, c, sig) for sid, data in zip(batch.column("sid").to_pylist(), batch.column("set"), strict=True) for c, sig in plan.signatures(np.frombuffer(data.as_buffer(), np.uint64))]
+                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["sid", "c", "sig"])
+
+        signed = active.select("sid", "set").mapInArrow(sign, "sid long, c long, sig array<long>")
+        lists = self.scratch.write(rows.join(two.hint("merge"), "key").join(signed.hint("merge"), ["sid", "c"]).select("key", "sid", "n", "sig"))
         self.scratch.drop(rows, two)
         return lists, active.select("sid", "set")
 
@@ -447,8 +470,13 @@ class JaccardJoin:
         held = held.join(contents.select(F.col("sid").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
         return self.scratch.write(held.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
-    def likely(self, a: str, b: str) -> str:
-        return f"{self.plan.den} * least({a}, {b}) >= {self.plan.num} * greatest({a}, {b})"
+    def likely(self, a: str, b: str, sig_a: str, sig_b: str):
+        """Whether sets of these sizes and signatures may link."""
+        num, den = self.plan.num, self.plan.den
+        sizes = f"{den} * least({a}, {b}) >= {num} * greatest({a}, {b})"
+        spoiled = "aggregate(zip_with({0}, {1}, (x, y) -> bit_count((((x ^ y) & {m}) + {m} | (x ^ y)) & {h})), 0, (s, x) -> s + x)".format(sig_a, sig_b, m=0x7F7F7F7F7F7F7F, h=0x80808080808080)
+        most = f"{a} + {b} - 2 * (({num} * ({a} + {b}) + {num + den - 1}) div {num + den})"
+        return F.expr(f"{sizes} AND {spoiled} <= {most}")
 
     def links(self, sets: DataFrame) -> DataFrame:
         """Links (a, b) between sets that make up all components."""
@@ -472,8 +500,8 @@ class JaccardJoin:
             now = scratch.write(now)
             if turn < LEADER_ROUNDS:
                 # The leader: the least member by a hash, so that lists with the same members agree.
-                lead = now.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("z"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "comp", "n")).alias("l")).filter("c <> z")
-                lead = lead.select("key", F.col("l.sid").alias("l_sid"), F.col("l.comp").alias("l_comp"), F.col("l.n").alias("l_n"))
+                lead = now.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("z"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "comp", "n", "sig")).alias("l")).filter("c <> z")
+                lead = lead.select("key", F.col("l.sid").alias("l_sid"), F.col("l.comp").alias("l_comp"), F.col("l.n").alias("l_n"), F.col("l.sig").alias("l_sig"))
             else:
                 # The main component: the one with the most members.
                 sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
@@ -482,10 +510,10 @@ class JaccardJoin:
             lead = scratch.write(lead)
             open_lists = now.join(lead.hint("merge"), "key").filter("comp <> l_comp")
             if turn < LEADER_ROUNDS:
-                pairs = open_lists.filter(self.likely("n", "l_n")).select(F.least("sid", "l_sid").alias("a"), F.greatest("sid", "l_sid").alias("b"))
+                pairs = open_lists.filter(self.likely("n", "l_n", "sig", "l_sig")).select(F.least("sid", "l_sid").alias("a"), F.greatest("sid", "l_sid").alias("b"))
             else:
-                outside = scratch.write(open_lists.select("key", F.col("sid").alias("o_sid"), F.col("comp").alias("o_comp"), F.col("n").alias("o_n")))
-                pairs = now.join(outside.hint("merge"), "key").filter("comp <> o_comp").filter(self.likely("n", "o_n")).select(F.least("sid", "o_sid").alias("a"), F.greatest("sid", "o_sid").alias("b"))
+                outside = scratch.write(open_lists.select("key", F.col("sid").alias("o_sid"), F.col("comp").alias("o_comp"), F.col("n").alias("o_n"), F.col("sig").alias("o_sig")))
+                pairs = now.join(outside.hint("merge"), "key").filter("comp <> o_comp").filter(self.likely("n", "o_n", "sig", "o_sig")).select(F.least("sid", "o_sid").alias("a"), F.greatest("sid", "o_sid").alias("b"))
             pairs = pairs.distinct()
             if tested is not None:
                 pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
