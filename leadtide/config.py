@@ -17,7 +17,7 @@ class Config:
     min_fraction: float = 0.005
     prior_window_days: int = 120
     history_days: int = 752
-    train_window_days: int = 752
+    train_window_days: int = 90
     mart_days: int = 180
     momentum_days: int = 7
     train_horizons: tuple[int, ...] = (1, 2, 3, 5, 7, 10, 14, 18, 21, 25, 30)

@@ -29,12 +29,12 @@ def day(col: str) -> Column:
     return F.date_format(col, "yyyy-MM-dd").alias(col)
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Dates as text and doubles rounded, for comparison."""
+def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    """Dates as text and doubles rounded, for comparison; ``other``: digits of single columns."""
     out = []
     for f in df.schema.fields:
         kind = f.dataType.simpleString()
-        out.append(F.round(f.name, digits).alias(f.name) if kind == "double" else day(f.name) if kind == "date" else F.col(f.name))
+        out.append(F.round(f.name, other.get(f.name, digits)).alias(f.name) if kind == "double" else day(f.name) if kind == "date" else F.col(f.name))
     return df.select(*out)
 
 
