@@ -51,6 +51,9 @@ from .common import Scratch, by_bytes, parallelism
 #: Rows of light keys that one row of a list is worth.
 LIST_COST = 6
 SALTS = 32
+#: Numbers in the signature of a set.
+SIGNS = 24
+SIGN_COLUMNS = [f"s{i}" for i in range(SIGNS)]
 #: Keys and sets of a packed chunk; a set's place in it has 16 bits.
 CHUNK_KEYS, CHUNK_SETS = 1_500_000, 60_000
 #: Rounds of one leader a list before all untested pairs of different components are tested.
@@ -147,15 +150,18 @@ class Plan:
         return [x[:3] for x in self.in_parts(hashes)]
 
     def signatures(self, hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """For each size class: its number, and a byte for what each part holds, seven to a number.
+        """For each size class: its number, and a byte for what each of the first parts holds, seven to
+        each of SIGNS numbers.
 
         Parts that differ in these bytes are spoiled, so two sets that differ in more parts than a pair
-        of their sizes may have differences don't link.
+        of their sizes may have differences don't link. Very large sets have more parts than bytes;
+        the count is then a weaker bound.
         """
         out = []
         for c, key, _, full, parts in self.in_parts(hashes):
-            signs = np.zeros(-(-parts // 7) * 7, np.uint64)
+            signs = np.zeros(max(parts, 7 * SIGNS), np.uint64)
             signs[full] = key[: len(full)] & np.uint64(255)
+            signs = signs[: 7 * SIGNS]
             out.append((c, (signs.reshape(-1, 7) << (np.arange(7, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64).view(np.int64)))
         return out
 
@@ -443,10 +449,11 @@ class JaccardJoin:
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in by_bytes(batches, "set", 1 << 20):
                 out = [(sid, c, sig) for sid, data in zip(batch.column("sid").to_pylist(), batch.column("set"), strict=True) for c, sig in plan.signatures(np.frombuffer(data.as_buffer(), np.uint64))]
-                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["sid", "c", "sig"])
+                signs = np.stack([x[2] for x in out]) if out else np.zeros((0, SIGNS), np.int64)
+                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), *(pa.array(x) for x in np.ascontiguousarray(signs.T))], ["sid", "c", *SIGN_COLUMNS])
 
-        signed = active.select("sid", "set").mapInArrow(sign, "sid long, c long, sig array<long>")
-        lists = self.scratch.write(rows.join(two.hint("merge"), "key").join(signed.hint("merge"), ["sid", "c"]).select("key", "sid", "n", "sig"))
+        signed = active.select("sid", "set").mapInArrow(sign, "sid long, c long, " + ", ".join(f"{x} long" for x in SIGN_COLUMNS))
+        lists = self.scratch.write(rows.join(two.hint("merge"), "key").join(signed.hint("merge"), ["sid", "c"]).select("key", "sid", "n", *SIGN_COLUMNS))
         self.scratch.drop(rows, two)
         return lists, active.select("sid", "set")
 
@@ -470,12 +477,13 @@ class JaccardJoin:
         held = held.join(contents.select(F.col("sid").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
         return self.scratch.write(held.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
-    def likely(self, a: str, b: str, sig_a: str, sig_b: str):
-        """Whether sets of these sizes and signatures may link."""
-        num, den = self.plan.num, self.plan.den
-        sizes = f"{den} * least({a}, {b}) >= {num} * greatest({a}, {b})"
-        spoiled = "aggregate(zip_with({0}, {1}, (x, y) -> bit_count((((x ^ y) & {m}) + {m} | (x ^ y)) & {h})), 0, (s, x) -> s + x)".format(sig_a, sig_b, m=0x7F7F7F7F7F7F7F, h=0x80808080808080)
-        most = f"{a} + {b} - 2 * (({num} * ({a} + {b}) + {num + den - 1}) div {num + den})"
+    def likely(self, other: str):
+        """Whether the sets of a row, with columns (n, s0 ...) and those with a prefix, may link."""
+        num, den, n = self.plan.num, self.plan.den, f"{other}n"
+        sizes = f"{den} * least(n, {n}) >= {num} * greatest(n, {n})"
+        low, high = 0x7F7F7F7F7F7F7F, 0x80808080808080
+        spoiled = " + ".join(f"bit_count(((({x} ^ {other}{x}) & {low}) + {low} | ({x} ^ {other}{x})) & {high})" for x in SIGN_COLUMNS)
+        most = f"n + {n} - 2 * (({num} * (n + {n}) + {num + den - 1}) div {num + den})"
         return F.expr(f"{sizes} AND {spoiled} <= {most}")
 
     def links(self, sets: DataFrame) -> DataFrame:
@@ -500,8 +508,8 @@ class JaccardJoin:
             now = scratch.write(now)
             if turn < LEADER_ROUNDS:
                 # The leader: the least member by a hash, so that lists with the same members agree.
-                lead = now.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("z"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "comp", "n", "sig")).alias("l")).filter("c <> z")
-                lead = lead.select("key", F.col("l.sid").alias("l_sid"), F.col("l.comp").alias("l_comp"), F.col("l.n").alias("l_n"), F.col("l.sig").alias("l_sig"))
+                lead = now.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("z"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "comp", "n", *SIGN_COLUMNS)).alias("l")).filter("c <> z")
+                lead = lead.select("key", F.col("l.sid").alias("l_sid"), F.col("l.comp").alias("l_comp"), *(F.col(f"l.{x}").alias(f"l_{x}") for x in ("n", *SIGN_COLUMNS)))
             else:
                 # The main component: the one with the most members.
                 sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
@@ -510,10 +518,10 @@ class JaccardJoin:
             lead = scratch.write(lead)
             open_lists = now.join(lead.hint("merge"), "key").filter("comp <> l_comp")
             if turn < LEADER_ROUNDS:
-                pairs = open_lists.filter(self.likely("n", "l_n", "sig", "l_sig")).select(F.least("sid", "l_sid").alias("a"), F.greatest("sid", "l_sid").alias("b"))
+                pairs = open_lists.filter(self.likely("l_")).select(F.least("sid", "l_sid").alias("a"), F.greatest("sid", "l_sid").alias("b"))
             else:
-                outside = scratch.write(open_lists.select("key", F.col("sid").alias("o_sid"), F.col("comp").alias("o_comp"), F.col("n").alias("o_n"), F.col("sig").alias("o_sig")))
-                pairs = now.join(outside.hint("merge"), "key").filter("comp <> o_comp").filter(self.likely("n", "o_n", "sig", "o_sig")).select(F.least("sid", "o_sid").alias("a"), F.greatest("sid", "o_sid").alias("b"))
+                outside = scratch.write(open_lists.select("key", F.col("sid").alias("o_sid"), F.col("comp").alias("o_comp"), *(F.col(x).alias(f"o_{x}") for x in ("n", *SIGN_COLUMNS))))
+                pairs = now.join(outside.hint("merge"), "key").filter("comp <> o_comp").filter(self.likely("o_")).select(F.least("sid", "o_sid").alias("a"), F.greatest("sid", "o_sid").alias("b"))
             pairs = pairs.distinct()
             if tested is not None:
                 pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
