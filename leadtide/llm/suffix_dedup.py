@@ -192,7 +192,9 @@ def removed_spans(docs: DataFrame, text_col: str = "text", least: int = 200) ->
 
     long_enough = texts.filter(F.octet_length("data") >= least)
     found = materialise(long_enough.select("cls", "data").mapInArrow(find, "h long, cls binary, pos int, low int, high int"))
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # Small sides are written: then both sides of a join are shuffled for it alone, and Spark can split
+    # a gram that very many texts hold.
+    again = materialise(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     own = found.join(again.hint("merge"), "h").groupBy("cls").agg(F.collect_list(F.struct("h", "pos", "low", "high")).alias("own"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +230,7 @@ def removed_spans(docs: DataFrame, text_col: str = "text", least: int = 200) ->
     )
     classes = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"core{j}").alias("core")) for j in range(CLASSES)))).alias("c")
     parts = ranges.select("h", "wh", "one", classes).filter("c.core IS NOT NULL").select("h", "wh", "one", "c.j", F.xxhash64("h", "c.j", "c.core").alias("g"))
-    shared = parts.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", (F.col("n") > HOT).alias("hot"))
+    shared = materialise(parts.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", (F.col("n") > HOT).alias("hot")))
     wanted = parts.join(shared.hint("merge"), "g").groupBy("one.cls").agg(F.collect_list(F.struct("g", "hot", "h", "wh", "j", "one.pos", "one.low", "one.high")).alias("own"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +289,7 @@ def removed_spans(docs: DataFrame, text_col: str = "text", least: int = 200) ->
     twice = each.groupBy("string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("string")
     counted = each.join(twice.hint("merge"), "string").select("h", "wh", "start", (F.col("start") + least).alias("end"))
     whole = ranges.filter("n > 1").select("h", "wh", F.lit(0).alias("start"), (F.col("one.high") - F.col("one.low") + least).alias("end"))
-    marks = marks.unionByName(counted).unionByName(whole).groupBy("h", "wh").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
+    marks = materialise(marks.unionByName(counted).unionByName(whole).groupBy("h", "wh").agg(F.collect_list(F.struct("start", "end")).alias("marks")))
     placed = seen.select("h", "wh", "cls", "low").join(marks.hint("merge"), ["h", "wh"])
     spans = placed.select("cls", F.transform("marks", lambda m: F.struct((F.col("low") + m["start"]).alias("start"), (F.col("low") + m["end"]).alias("end"))).alias("spans"))
     return texts, spans.groupBy("cls").agg(F.flatten(F.collect_list("spans")).alias("spans"))
