@@ -47,13 +47,13 @@ class BandedModel:
         covered = F.lit(False)
         for a, b in self.bands:
             covered = covered | F.col("days_to_checkin").between(a, b)
-        rows = prepared(frame).withColumn("_checked", F.when(covered, F.lit(True)).otherwise(F.raise_error(F.lit("a horizon lies in no band"))))
-        out = None
-        for (a, b), model in zip(self.bands, self.models, strict=True):
-            own = model.transform(rows.filter("_checked").filter(F.col("days_to_checkin").between(a, b))).drop("_x")
-            out = own if out is None else out.unionByName(own)
+        rows = prepared(frame)
         more = F.expm1("_p") if self.log_target else F.col("_p")
-        return out.withColumn("model_demand", F.col("observed_total") + F.greatest(more, F.lit(0.0))).drop("_p", "_checked")
+        out = rows.filter(~covered).withColumn("model_demand", F.raise_error(F.lit("a horizon lies in no band")).cast("double"))
+        for (a, b), model in zip(self.bands, self.models, strict=True):
+            own = model.transform(rows.filter(F.col("days_to_checkin").between(a, b)))
+            out = out.unionByName(own.withColumn("model_demand", F.col("observed_total") + F.greatest(more, F.lit(0.0))).drop("_x", "_p"))
+        return out
 
     def importances(self) -> list[tuple[str, float]]:
         """Mean share of each feature over the bands."""
