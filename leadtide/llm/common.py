@@ -29,6 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/leadtide-{uuid.uuid4().hex}"
 
 
+#: Rows of a file, where their number is known before.
+ROWS_A_FILE = 20_000
+
+
 class Scratch:
     """Tables of an operator in the shared folder; those that no later step reads are dropped early."""
 
@@ -38,8 +42,11 @@ class Scratch:
         self.spark = spark
         self.paths: dict[int, str] = {}
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``rows``: how many there are at most, if known; small frames are then written by few tasks."""
         path = shared_dir(self.spark)
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
         with shuffles_freed(self.spark):
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

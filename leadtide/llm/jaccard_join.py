@@ -316,18 +316,18 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     edges = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     while True:
+        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+        before, most = now, 2 * now.n  # a step makes no more edges than both directions of those there are
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = scratch.write(both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), most)
+        large = scratch.write(both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), most)
         scratch.drop(least, edges)
-        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), most)
         small = large.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = scratch.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = scratch.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), most)
         scratch.drop(least, large)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        before = now
 
 
 class JaccardJoin:
@@ -444,7 +444,8 @@ class JaccardJoin:
         order = Window.partitionBy("sid", "c").orderBy("n_sets", "key")
         rows = rows.join(keys.hint("merge"), "key").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("take"))
         rows = self.scratch.write(rows.select("key", "sid", "n", "c"))
-        two = self.scratch.write(rows.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a < z").select("key"))
+        self.listed = rows.count()
+        two = self.scratch.write(rows.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a < z").select("key"), self.listed)
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in by_bytes(batches, "set", 1 << 20):
@@ -453,7 +454,7 @@ class JaccardJoin:
                 yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), *(pa.array(x) for x in np.ascontiguousarray(signs.T))], ["sid", "c", *SIGN_COLUMNS])
 
         signed = active.select("sid", "set").mapInArrow(sign, "sid long, c long, " + ", ".join(f"{x} long" for x in SIGN_COLUMNS))
-        lists = self.scratch.write(rows.join(two.hint("merge"), "key").join(signed.hint("merge"), ["sid", "c"]).select("key", "sid", "n", *SIGN_COLUMNS))
+        lists = self.scratch.write(rows.join(two.hint("merge"), "key").join(signed.hint("merge"), ["sid", "c"]).select("key", "sid", "n", *SIGN_COLUMNS), self.listed)
         self.scratch.drop(rows, two)
         return lists, active.select("sid", "set")
 
@@ -505,7 +506,7 @@ class JaccardJoin:
                 now = lists.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
             else:
                 now = lists.withColumn("comp", F.col("sid"))
-            now = scratch.write(now)
+            now = scratch.write(now, self.listed)
             if turn < LEADER_ROUNDS:
                 # The leader: the least member by a hash, so that lists with the same members agree.
                 lead = now.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("z"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "comp", "n", *SIGN_COLUMNS)).alias("l")).filter("c <> z")
@@ -515,18 +516,19 @@ class JaccardJoin:
                 sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
                 lead = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("m", "comp")).alias("l")).filter("c > 1")
                 lead = lead.select("key", F.col("l.comp").alias("l_comp"))
-            lead = scratch.write(lead)
+            lead = scratch.write(lead, self.listed)
             open_lists = now.join(lead.hint("merge"), "key").filter("comp <> l_comp")
             if turn < LEADER_ROUNDS:
                 pairs = open_lists.filter(self.likely("l_")).select(F.least("sid", "l_sid").alias("a"), F.greatest("sid", "l_sid").alias("b"))
             else:
-                outside = scratch.write(open_lists.select("key", F.col("sid").alias("o_sid"), F.col("comp").alias("o_comp"), *(F.col(x).alias(f"o_{x}") for x in ("n", *SIGN_COLUMNS))))
+                outside = scratch.write(open_lists.select("key", F.col("sid").alias("o_sid"), F.col("comp").alias("o_comp"), *(F.col(x).alias(f"o_{x}") for x in ("n", *SIGN_COLUMNS))), self.listed)
                 pairs = now.join(outside.hint("merge"), "key").filter("comp <> o_comp").filter(self.likely("o_")).select(F.least("sid", "o_sid").alias("a"), F.greatest("sid", "o_sid").alias("b"))
             pairs = pairs.distinct()
             if tested is not None:
                 pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
-            pairs = scratch.write(pairs)
-            links = scratch.write(links.unionByName(self.test(pairs, contents)))
+            # What a list gives is tested once a pair; lists of a few sets give about as many pairs as sets.
+            pairs = scratch.write(pairs, 4 * self.listed)
+            links = scratch.write(links.unionByName(self.test(pairs, contents)), 4 * self.listed)
             tested = pairs if tested is None else tested.unionByName(pairs)
         return links
 
