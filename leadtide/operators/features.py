@@ -186,8 +186,32 @@ def origin_history(log: Log) -> DataFrame:
 
 
 def with_origin_history(rows: DataFrame, log: Log) -> DataFrame:
-    """Statistics as of min(checkin - horizon, cutoff); dates are dense, so an equality finds the origin."""
-    table = origin_history(log)
+    """Statistics as of min(checkin - horizon, cutoff), only for origins that rows ask for.
+
+    A city's days are one array (bounded by time), and an origin's window is a slice of it, so nothing
+    is rolled over dates that no row needs.
+    """
     at = rows.withColumn("origin", F.least(F.date_sub("checkin", F.col("horizon")), F.lit(log.cfg.cutoff)))
-    out = at.join(table, ["city_code", "origin"], "left").withColumn("city_weekday_mean", F.coalesce(F.col("weekday_means")[F.weekday("checkin")], F.lit(0.0)))
-    return out.fillna(0.0, list(HISTORY)).drop("weekday_means", "origin")
+    days = completed_history(log, None).groupBy("city_code").agg(F.array_sort(F.collect_list(F.struct("checkin", F.col("n").cast("double").alias("n")))).alias("_days"))
+    place = F.datediff("origin", F.col("_days")[0]["checkin"]) + 1
+    wanted = at.select("city_code", "origin").distinct().join(days, "city_code").withColumn("_i", place).filter("_i >= 1")
+    length = F.least(F.col("_i"), F.lit(log.cfg.history_days))
+    wanted = wanted.withColumn("_w", F.slice("_days", F.col("_i") - length + 1, length)).withColumn("_v", F.transform("_w", lambda x: x["n"]))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    mean = lambda xs: F.when(F.size(xs) > 0, total(xs) / F.size(xs))
+    some = lambda keep: F.transform(F.filter("_w", keep), lambda x: x["n"])
+    wanted = wanted.withColumns({"city_hist_mean": mean(F.col("_v")), "_s": F.array_sort("_v")})
+
+    def quantile(q: float) -> Column:
+        rank = q * (F.size("_s") - 1)
+        low, high = F.element_at("_s", F.floor(rank).cast("int") + 1), F.element_at("_s", F.ceil(rank).cast("int") + 1)
+        return low + (high - low) * (rank - F.floor(rank))
+
+    squares = F.aggregate(F.transform("_v", lambda x: (x - F.col("city_hist_mean")) * (x - F.col("city_hist_mean"))), F.lit(0.0), lambda a, x: a + x)
+    std = F.coalesce(F.when(F.size("_v") > 1, F.sqrt(squares / (F.size("_v") - 1))), F.lit(0.0))
+    wanted = wanted.withColumns({"city_hist_median": quantile(0.5), "city_hist_p75": quantile(0.75), "city_hist_p90": quantile(0.9), "city_hist_std": std})
+    end, work = mean(some(lambda x: F.weekday(x["checkin"]).isin(*WEEKEND))), mean(some(lambda x: ~F.weekday(x["checkin"]).isin(*WEEKEND)))
+    by_day = F.array(*(F.coalesce(mean(some(lambda x, d=d: F.weekday(x["checkin"]) == d)), F.lit(0.0)) for d in range(7)))
+    table = wanted.select("city_code", "origin", *HISTORY[:5], (F.col("city_hist_std") / (F.col("city_hist_mean") + EPS)).alias("city_volatility"), F.coalesce(end / (work + EPS), F.lit(1.0)).alias("city_weekend_ratio"), by_day.alias("_by_day"))
+    out = at.join(table, ["city_code", "origin"], "left").withColumn("city_weekday_mean", F.coalesce(F.col("_by_day")[F.weekday("checkin")], F.lit(0.0)))
+    return out.fillna(0.0, list(HISTORY)).drop("_by_day", "origin")
