@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of a file, where their number is known before.
-ROWS_A_FILE = 20_000
+ROWS_A_FILE = 100_000
 
 
 class Scratch:
@@ -90,11 +90,11 @@ def sweep(spark: SparkSession) -> None:
         delete(spark, path)
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write to the shared folder as Parquet and read it again: later steps neither repeat the work
-    nor depend on executors that may be lost."""
+    nor depend on executors that may be lost. ``rows``: as for Scratch.write()."""
     spark = df.sparkSession
-    return Scratch(spark).write(df)
+    return Scratch(spark).write(df, rows)
 
 
 def parallelism(df: DataFrame) -> int:

@@ -192,9 +192,9 @@ def removed_spans(docs: DataFrame, text_col: str = "text", least: int = 200) ->
 
     long_enough = texts.filter(F.octet_length("data") >= least)
     found = materialise(long_enough.select("cls", "data").mapInArrow(find, "h long, cls binary, pos int, low int, high int"))
-    # Small sides are written: then both sides of a join are shuffled for it alone, and Spark can split
+    # Small sides are written, by few tasks, as their rows are narrow and a fraction of those they come from: then both sides of a join are shuffled for it alone, and Spark can split
     # a gram that very many texts hold.
-    again = materialise(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+    again = materialise(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), found.count() // 8)
     own = found.join(again.hint("merge"), "h").groupBy("cls").agg(F.collect_list(F.struct("h", "pos", "low", "high")).alias("own"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +230,7 @@ def removed_spans(docs: DataFrame, text_col: str = "text", least: int = 200) ->
     )
     classes = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"core{j}").alias("core")) for j in range(CLASSES)))).alias("c")
     parts = ranges.select("h", "wh", "one", classes).filter("c.core IS NOT NULL").select("h", "wh", "one", "c.j", F.xxhash64("h", "c.j", "c.core").alias("g"))
-    shared = materialise(parts.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", (F.col("n") > HOT).alias("hot")))
+    shared = materialise(parts.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", (F.col("n") > HOT).alias("hot")), ranges.count() // 4)
     wanted = parts.join(shared.hint("merge"), "g").groupBy("one.cls").agg(F.collect_list(F.struct("g", "hot", "h", "wh", "j", "one.pos", "one.low", "one.high")).alias("own"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
