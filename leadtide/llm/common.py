@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -37,6 +37,8 @@ class Scratch:
     """Tables of an operator in the shared folder; those that no later step reads are dropped early."""
 
     kept: list[str] = []
+    #: Names of tables in the catalog by their paths.
+    tables: dict[str, str] = {}
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
@@ -82,6 +84,18 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     if path in Scratch.kept:
         Scratch.kept.remove(path)
+    if path in Scratch.tables:
+        spark.sql(f"DROP TABLE IF EXISTS {Scratch.tables.pop(path)}")
+
+
+def materialise_alone(df_of: Callable[[], DataFrame]) -> DataFrame:
+    """materialise() of a frame; what making it has written to the shared folder goes at once."""
+    before = set(Scratch.kept)
+    out = materialise(df_of())
+    own = Scratch.kept[-1]
+    for path in [x for x in Scratch.kept if x not in before and x != own]:
+        delete(out.sparkSession, path)
+    return out
 
 
 def sweep(spark: SparkSession) -> None:

@@ -38,7 +38,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialise, parallelism, shared_dir
+from .common import Scratch, by_bytes, materialise, materialise_alone, parallelism, shared_dir
 
 GRAM = 32
 #: Classes of starts within the range of an anchor.
@@ -169,7 +169,10 @@ def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
     rows = rows.withColumn("cls", content_class("data"))
     once = rows.groupBy("cls").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("copies"))
     name = f"leadtide_{uuid.uuid4().hex}"
-    once.write.bucketBy(parallelism(docs), "cls").option("path", shared_dir(spark)).saveAsTable(name)
+    path = shared_dir(spark)
+    once.write.bucketBy(parallelism(docs), "cls").option("path", path).saveAsTable(name)
+    Scratch.kept.append(path)
+    Scratch.tables[path] = name
     return spark.table(name)
 
 
@@ -348,7 +351,7 @@ def cleaned(docs: DataFrame, text_col: str = "text", least: int = 200, with_text
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of ``docs``."""
-    return docs.select(F.col(id_col).alias("doc_id"), content_class_of(docs, text_col)).transform(lambda rows: with_class(rows, materialise(cleaned(docs, text_col, least)))).drop("cls")
+    return docs.select(F.col(id_col).alias("doc_id"), content_class_of(docs, text_col)).transform(lambda rows: with_class(rows, materialise_alone(lambda: cleaned(docs, text_col, least)))).drop("cls")
 
 
 def content_class_of(docs: DataFrame, text_col: str):
@@ -367,7 +370,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | N
 
     length_col: a column with the text's length in signs, which follows the new text.
     """
-    left = materialise(cleaned(docs, text_col, least, with_text=True).filter("left IS NOT NULL").select(F.col("cls").alias("__cls"), F.col("left").alias("__left")))
+    left = materialise_alone(lambda: cleaned(docs, text_col, least, with_text=True).filter("left IS NOT NULL").select(F.col("cls").alias("__cls"), F.col("left").alias("__left")))
     cls = F.substring(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)), 1, 16)
     joined = docs.join(left.hint("merge"), cls == F.col("__cls"), "left").filter("__left IS NULL OR __left <> ''")
     text = F.coalesce("__left", text_col)
