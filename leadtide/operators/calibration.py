@@ -229,3 +229,45 @@ def shock_share(scores: DataFrame, fold: str) -> DataFrame:
 
 def scores_of(frame: DataFrame, prediction: str, *by: str) -> DataFrame:
     return frame.groupBy(*by).agg(*score("actual", prediction))
+
+
+def prequential(scores: dict[str, dict[str, tuple[float, float]]], fallback: str) -> tuple[list[tuple[str, str]], float]:
+    """Which method each fold would have used, chosen on the folds before it, and the WAPE that gives.
+
+    scores: by method and fold (folds sort by time) the WAPE and the demand. The first fold uses ``fallback``.
+    """
+    folds = sorted(next(iter(scores.values())))
+    chosen, error, demand = [], 0.0, 0.0
+    for i, fold in enumerate(folds):
+        before = folds[:i]
+        pooled = {m: sum(s[f][0] * s[f][1] for f in before) / max(sum(s[f][1] for f in before), 1e-9) for m, s in scores.items()}
+        best = min(pooled, key=lambda m: (pooled[m], m != fallback, m)) if before else fallback
+        wape, total = scores[best][fold]
+        chosen.append((fold, best))
+        error, demand = error + wape * total, demand + total
+    return chosen, error / max(demand, 1e-9)
+
+
+def safe_choice(candidate: dict[str, float], baseline: dict[str, float], most_worse: int = 1, least_gain: float = 0.01) -> bool:
+    """Whether a candidate may replace the baseline: better on average by ``least_gain``, and worse on at most
+    ``most_worse`` folds."""
+    mean = lambda x: sum(x.values()) / len(x)
+    worse = sum(candidate[f] > baseline[f] for f in baseline)
+    return worse <= most_worse and mean(candidate) <= (1 - least_gain) * mean(baseline)
+
+
+def interval_choice(gaps: dict[str, tuple[float, float]], nominal: float = 0.8, margin: float = 0.02) -> str:
+    """The method whose coverage lies closest to the nominal one; within ``margin`` of each other the narrower.
+
+    gaps: by method its coverage on folds held out and its mean width.
+    """
+    best = min(abs(c - nominal) for c, _ in gaps.values())
+    near = {m: w for m, (c, w) in gaps.items() if abs(c - nominal) <= best + margin}
+    return min(near, key=lambda m: (near[m], m))
+
+
+def calibration_cutoffs(cutoff, days: int, windows: int) -> list:
+    """Simulated cutoffs whose windows close at or before ``cutoff``, the latest first."""
+    from datetime import timedelta
+
+    return [cutoff - timedelta(days=days * k) for k in range(1, windows + 1)]

@@ -206,3 +206,12 @@ def test_registry_names_are_those_of_the_sql():
 
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert base.sql("SELECT 1").startswith("WITH ev AS")
+
+
+def test_choices_look_back_only():
+    scores = {"raw": {"a": (0.2, 10), "b": (0.3, 10), "c": (0.2, 10)}, "cal": {"a": (0.1, 10), "b": (0.1, 10), "c": (0.5, 10)}}
+    chosen, wape = calibration.prequential(scores, "raw")
+    assert chosen == [("a", "raw"), ("b", "cal"), ("c", "cal")] and abs(wape - (0.2 + 0.1 + 0.5) / 3) < 1e-12
+    assert calibration.safe_choice({"a": 0.1, "b": 0.2}, {"a": 0.2, "b": 0.3}) and not calibration.safe_choice({"a": 0.3, "b": 0.3}, {"a": 0.2, "b": 0.3})
+    assert calibration.interval_choice({"x": (0.81, 9.0), "y": (0.79, 5.0), "z": (0.6, 1.0)}) == "y"
+    assert calibration.calibration_cutoffs(date(2024, 3, 1), 30, 2) == [date(2024, 1, 31), date(2024, 1, 1)]
