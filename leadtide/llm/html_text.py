@@ -8,8 +8,9 @@ lists; list marks and indents; preformatted text as it is; tables with aligned c
 
 Visibility: scripts, styles, templates, the head, fallbacks of embedded media, elements with `hidden`,
 closed dialogs, and elements that an inline style or a simple rule of a style sheet (a tag, class, id, or
-a tag with a class) takes out by `display: none` or `visibility: hidden`. A visible child of an element
-with `visibility: hidden` is shown.
+a tag with a class) takes out by `display: none` or `visibility: hidden`, unless a rule that weighs more
+shows them. Style sheets and blocks of @media count if they always hold on a wide screen (all, or screen
+without further conditions). A visible child of an element with `visibility: hidden` is shown.
 
 Defined cases: a null or empty page gives an empty text; a page without tags is its text; markup that is
 cut off in a tag loses that tag only; elements deeper than ``DEEPEST`` become siblings, as browsers do;
@@ -67,8 +68,14 @@ MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*))")
 SHORT_COMMENT = re.compile(r"-?>")
 COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?|=)""")
-HIDING = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*(none|hidden|collapse|visible)\b", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+#: Values that show count as well, as a later one undoes an earlier `none`; others are invalid and set nothing.
+DISPLAY = r"none|block|inline(?:-[a-z]+)?|flex|grid|table(?:-[a-z-]+)?|list-item|contents|flow-root|run-in|ruby(?:-[a-z]+)?|-webkit-(?:inline-)?(?:box|flex)|initial|inherit|unset|revert(?:-layer)?"
+VISIBILITY = r"hidden|collapse|visible|initial|inherit|unset|revert(?:-layer)?"
+HIDING = re.compile(rf"(?:^|;)\s*(?:(display)\s*:\s*({DISPLAY})|(visibility)\s*:\s*({VISIBILITY}))\s*(!\s*important)?\s*(?=;|$)", re.I)
+#: Braces and semicolons of style sheets; those in texts are none.
+BRACE = re.compile(r"""[{};]|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S)
+#: Media that a wide screen always is.
+SCREEN = re.compile(r"(?:only\s+)?(?:all|screen)|not\s+(?:print|speech)", re.I)
 SELECTOR = re.compile(r"([A-Za-z][\w-]*)?(?:([.#])([\w-]+))?")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
@@ -164,7 +171,7 @@ class Builder:
             if not text.strip(" \t\n\r\f"):
                 return
             self.enter_body()
-        if top == "style":
+        if top == "style" and on_screen(self.open[-1].attributes.get("media", "")):
             self.styles.append(text)
         if top in ("table", "tbody", "thead", "tfoot", "tr") and not text.strip(" \t\n\r\f"):
             return
@@ -277,21 +284,78 @@ def build(page: str) -> tuple[Node, list[str]]:
     return builder.root, builder.styles
 
 
+def declared(body: str) -> dict[str, tuple[bool, str]]:
+    """The display and visibility that declarations set, with whether they are important; later ones win."""
+    found: dict[str, tuple[bool, str]] = {}
+    for display, shape, _, state, weight in HIDING.findall(body):
+        name = "display" if display else "visibility"
+        if weight or not found.get(name, (False, ""))[0]:
+            found[name] = (bool(weight), (shape or state).lower())
+    return found
+
+
+def on_screen(query: str) -> bool:
+    """Whether one of a list of media queries always holds on a wide screen."""
+    return not query.strip() or any(SCREEN.fullmatch(x.strip()) for x in query.split(","))
+
+
+def holds(head: str) -> bool:
+    """Whether the rules in an at-rule's block hold: those of @media for screens, @layer and @supports."""
+    m = re.match(r"@([\w-]+)(.*)", head, re.S)
+    name, rest = (m[1].lower(), m[2]) if m else ("", "")
+    return on_screen(rest) if name == "media" else name == "layer" or (name == "supports" and not re.match(r"\s*not\b", rest, re.I))
+
+
+def style_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of the rules of a style sheet that hold on a wide screen."""
+    sheet = re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)
+    groups: list[bool] = []  # of the open at-rules, whether they and all around them hold
+    head, depth, start = "", 0, 0  # of the open rule: its selectors, its blocks, its body
+    for m in BRACE.finditer(sheet):
+        if m[0] == "{":
+            if depth:
+                depth += 1
+                continue
+            head = sheet[start : m.start()].strip()
+            start = m.end()
+            if head.startswith("@"):
+                groups.append(holds(head) and all(groups[-1:]))
+            else:
+                depth = 1
+        elif m[0] == "}":
+            if depth:
+                depth -= 1
+                if depth:
+                    continue
+                if all(groups[-1:]):
+                    yield head, sheet[start : m.start()]
+            elif groups:
+                groups.pop()
+            start = m.end()
+        elif m[0] == ";" and not depth:
+            start = m.end()
+
+
 class Rules:
-    """Simple selectors of style sheets that set display or visibility."""
+    """Simple selectors of style sheets that set display or visibility.
+
+    Of several that match, the important, then the most specific, then the last counts, as in browsers.
+    """
 
     def __init__(self, sheets: list[str]) -> None:
-        self.by: dict[tuple[str, str, str], dict[str, str]] = {}
-        for sheet in sheets:
-            for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-                found = {k.lower(): v.lower() for k, v in HIDING.findall(body)}
-                for selector in selectors.split(",") if found else ():
-                    m = SELECTOR.fullmatch(selector.strip())
-                    if m and m[0]:
-                        self.by.setdefault(((m[1] or "").lower(), m[2] or "", m[3] or ""), {}).update(found)
+        self.by: dict[tuple[str, str, str], dict[str, tuple]] = {}
+        for at, (selectors, body) in enumerate(x for sheet in sheets for x in style_rules(sheet)):
+            found = declared(body)
+            for selector in selectors.split(",") if found else ():
+                m = SELECTOR.fullmatch(selector.strip())
+                if m and m[0]:
+                    own = self.by.setdefault(((m[1] or "").lower(), m[2] or "", m[3] or ""), {})
+                    rank = (m[2] == "#", m[2] == ".", bool(m[1]), at)
+                    for name, (weight, value) in found.items():
+                        own[name] = max(own.get(name, ((),)), ((weight, False, *rank), value))
 
     def of(self, node: Node) -> dict[str, str]:
-        found: dict[str, str] = {}
+        found: dict[str, tuple] = {}
         if self.by:
             keys = [("", "")]
             keys += [(".", c) for c in node.attributes.get("class", "").split()]
@@ -299,10 +363,12 @@ class Rules:
                 keys.append(("#", node.attributes["id"]))
             for sign, name in keys:
                 for tag in ("", node.tag):
-                    found |= self.by.get((tag, sign, name), {})
+                    for k, v in self.by.get((tag, sign, name), {}).items():
+                        found[k] = max(found.get(k, ((),)), v)
         if "style" in node.attributes:
-            found |= {k.lower(): v.lower() for k, v in HIDING.findall(node.attributes["style"])}
-        return found
+            for k, (weight, value) in declared(node.attributes["style"]).items():
+                found[k] = max(found.get(k, ((),)), ((weight, True), value))
+        return {k: v[1] for k, v in found.items()}
 
 
 def width(text: str) -> int:
@@ -428,7 +494,8 @@ class Renderer:
         rules = self.rules.of(node)
         if rules.get("display") == "none":
             return None
-        return rules["visibility"] == "visible" if "visibility" in rules else seen
+        state = rules.get("visibility")
+        return False if state in ("hidden", "collapse") else True if state in ("visible", "initial") else seen
 
     def element(self, node: Node, out: Writer, seen: bool, pre: bool, depth: int) -> None:
         seen = self.shown(node, seen)
