@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -27,11 +28,18 @@ def prepared(frame: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFram
     return frame.withColumns(marks).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
 
 
-def remaining_model(log_target: bool = True, trees: int = 10, depth: int = 4, seed: int = 42, features: tuple[str, ...] = FEATURES) -> Pipeline:
-    """Boosted trees with absolute loss, on log1p of the target if wanted."""
+#: The source's model: 400 trees of 127 leaves, of which a full tree of depth 7 has one more.
+PRODUCTION = {"trees": 400, "depth": 7, "step": 0.06, "least": 40, "rows": 0.9, "columns": "0.8"}
+
+
+def remaining_model(log_target: bool = True, trees: int = 10, depth: int = 4, seed: int = 42, features: tuple[str, ...] = FEATURES, step: float = 0.1, least: int = 1, rows: float = 1.0, columns: str = "all") -> Pipeline:
+    """Boosted trees with absolute loss, on log1p of the target if wanted.
+
+    ``step`` is the learning rate, ``least`` the rows a leaf needs, ``rows`` and ``columns`` what a tree sees.
+    """
     inputs = [*features, *(f"{c}_missing" for c in features if c.startswith("days_since"))]
     label = "_label"
-    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="_x"), GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="_p", lossType="absolute", maxIter=trees, maxDepth=depth, maxBins=64, seed=seed, subsamplingRate=1.0)])
+    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="_x"), GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="_p", lossType="absolute", maxIter=trees, maxDepth=depth, maxBins=64, seed=seed, stepSize=step, minInstancesPerNode=least, subsamplingRate=rows, featureSubsetStrategy=columns)])
 
 
 @dataclass
@@ -63,8 +71,16 @@ class BandedModel:
         return sorted(zip(names, map(float, mean), strict=True), key=lambda x: (-x[1], x[0]))
 
 
+def _checkpoints(df: DataFrame) -> None:
+    """Hundreds of trees make a lineage too deep to serialise unless it is cut; on a cluster set a shared folder before."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="leadtide-"))
+
+
 def fit_bands(training: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, log_target: bool = True, **params) -> BandedModel:
     rows = prepared(training).withColumn("_label", F.log1p(F.col("remaining_demand").cast("double")) if log_target else F.col("remaining_demand").cast("double"))
+    _checkpoints(training)
     models = [remaining_model(log_target, **params).fit(rows.filter(F.col("days_to_checkin").between(a, b))) for a, b in bands]
     return BandedModel(bands, models, log_target)
 

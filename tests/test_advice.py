@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from leadtide.config import DEFAULT
 from leadtide.llm import html_text
-from leadtide.operators import features
+from leadtide.operators import features, models
+from leadtide.plans import models as plans
 from leadtide.plans.base import log
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,12 @@ def test_training_window_is_the_references(spark):
 )
 def test_style_rules_of_other_media_and_later_ones(page, text):
     assert html_text.page_text(page) == text
+
+
+def test_queries_fit_the_production_model(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(models, "fit_bands", lambda frame, **params: asked.update(params))
+    plans._fitted(spark, SF)
+    stage = models.remaining_model(**asked).getStages()[-1]
+    got = {p: stage.getOrDefault(p) for p in ("maxIter", "maxDepth", "stepSize", "minInstancesPerNode", "subsamplingRate", "featureSubsetStrategy")}
+    assert got == {"maxIter": 400, "maxDepth": 7, "stepSize": 0.06, "minInstancesPerNode": 40, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.8"}
