@@ -23,6 +23,9 @@ COMPACT = (
 )
 HISTORY = ("city_hist_mean", "city_hist_median", "city_hist_p75", "city_hist_p90", "city_hist_std", "city_volatility", "city_weekend_ratio")
 
+# The block of virtual cities.
+CLUSTER = ("n_cities_in_cluster", "cluster_min_member_volume", "cluster_max_member_share")
+
 
 def pickup_block(cum: str, h: Column, prefix: str = "") -> dict[str, Column]:
     out = {f"{prefix}observed_total": seen(cum, h)}
@@ -95,8 +98,8 @@ def at_horizons(pairs: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     return pairs.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
 
 
-def with_features(rows: DataFrame, log: Log, history: DataFrame | None = None) -> DataFrame:
-    """All features of rows with states and a horizon; `history` has statistics by city (and weekday)."""
+def with_features(rows: DataFrame, log: Log) -> DataFrame:
+    """All features of rows with states and a horizon."""
     h = F.col("horizon")
     rows = with_zero_prior(with_fraction(rows, log, name="expected_completion_fraction", source=None), log, "_zero")
     out = rows.withColumns({**pickup_block("cum", h), **velocity_block("cum", h), **share_block("cum", h), **activity_block("daily", h), **calendar_block(), **pickup_block("market_cum", h, "market_"), **velocity_block("market_cum", h, "market_"), **pickup_block("province_cum", h, "province_"), **velocity_block("province_cum", h, "province_")})
@@ -112,9 +115,24 @@ def with_features(rows: DataFrame, log: Log, history: DataFrame | None = None) -
             "city_share_of_province": observed / (F.col("province_observed_total") + EPS),
         }
     ).drop("_zero", "daily", "cum", "market_cum", "province_cum")
-    if history is None:
-        return out
-    return out.join(log.cities.select("city_code", "lat", "long"), "city_code", "left").join(history, "city_code", "left").fillna(0, [c for c in history.columns if c != "city_code"])
+    return with_place(out, log)
+
+
+def with_place(rows: DataFrame, log: Log) -> DataFrame:
+    """A row's place, and its city's statistics as of the row's own origin, min(checkin - horizon, cutoff); 0 before any."""
+    at = rows.withColumn("origin", F.least(F.date_sub("checkin", F.col("horizon")), F.lit(log.cfg.cutoff)))
+    out = at.join(log.cities.select("city_code", "lat", "long"), "city_code", "left").join(origin_history(log), ["city_code", "origin"], "left")
+    out = out.withColumn("city_weekday_mean", F.coalesce(F.col("weekday_means")[F.weekday("checkin")], F.lit(0.0)))
+    return out.fillna(0.0, list(HISTORY)).drop("weekday_means", "origin")
+
+
+def with_clusters(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The shape of each row's virtual city; only rows of a panel of clusters have one, so ``table`` must hold it."""
+    missing = [c for c in CLUSTER if c not in table.columns]
+    if missing:
+        raise ValueError(f"the cluster block needs a table of virtual cities with {', '.join(missing)}")
+    shape = table.select(F.col("cluster_code").alias("city_code"), *(F.col(c).cast("double").alias(c) for c in CLUSTER))
+    return rows.join(shape, "city_code", "left")
 
 
 def training_frame(log: Log) -> DataFrame:

@@ -18,6 +18,7 @@ FEATURES = (
     "days_to_checkin", "observed_total", "pickup_1d", "pickup_3d", "pickup_7d", "pickup_14d", "pickup_velocity_7d", "pickup_acceleration_7d", "pickup_3d_over_7d",
     "active_search_days", "days_since_first_search", "days_since_last_search", "mean_daily_search", "expected_completion_fraction", "pickup_baseline_remaining",
     "checkin_weekday", "is_weekend", "jalali_month", "market_observed_total", "province_observed_total", "city_share_of_market",
+    "lat", "long", "city_hist_mean", "city_hist_median", "city_hist_p75", "city_hist_p90", "city_hist_std", "city_volatility", "city_weekend_ratio", "city_weekday_mean",
 )
 BANDS = ((1, 7), (8, 30))
 
@@ -116,7 +117,7 @@ def dependence(frame: DataFrame, feature: str, value: str, bins: int = 10) -> Da
     return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("rows"), F.avg(feature).alias("feature_mean"), F.avg(value).alias("value_mean"))
 
 
-DRIVERS = (("market_", "market"), ("province_", "province"), ("pickup_", "pickup"), ("days_", "lead time"), ("observed", "pickup"), ("active", "activity"), ("mean_daily", "activity"), ("jalali", "calendar"), ("checkin_weekday", "calendar"), ("is_weekend", "calendar"), ("city_", "city"), ("expected", "curve"))
+DRIVERS = (("market_", "market"), ("province_", "province"), ("pickup_", "pickup"), ("days_", "lead time"), ("observed", "pickup"), ("active", "activity"), ("mean_daily", "activity"), ("jalali", "calendar"), ("checkin_weekday", "calendar"), ("is_weekend", "calendar"), ("city_", "city"), ("lat", "city"), ("long", "city"), ("expected", "curve"))
 
 
 def driver(feature: str) -> str:

@@ -149,6 +149,24 @@ def origin_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("city_code", "checkin", "horizon", *features.HISTORY), city_weekend_ratio=5)
 
 
+_FULL = f"fu AS (SELECT g.city_code, g.d AS checkin, isodow(g.d) - 1 AS wd, CAST(coalesce(p.n, 0) AS BIGINT) AS n FROM (SELECT city_code, CAST(d AS DATE) AS d FROM ci, generate_series((SELECT min(checkin) FROM hist), DATE '{C.cutoff}', INTERVAL 1 DAY) t(d)) g LEFT JOIN (SELECT city_code, checkin, sum(n) AS n FROM hist GROUP BY ALL) p ON p.city_code = g.city_code AND p.checkin = g.d)"
+_ROLLED = ", ".join(f"{x} OVER w AS {name}" for name, x in {"mean": "avg(n)", "median": "quantile_cont(n, 0.5)", "p75": "quantile_cont(n, 0.75)", "p90": "quantile_cont(n, 0.9)", "std": "stddev_samp(n)", "wend": "avg(CASE WHEN wd IN (3, 4) THEN n END)", "work": "avg(CASE WHEN wd NOT IN (3, 4) THEN n END)", **{f"w{k}": f"avg(CASE WHEN wd = {k} THEN n END)" for k in range(7)}}.items())
+_RH = f"rh AS (SELECT city_code, checkin AS origin, {_ROLLED} FROM fu WINDOW w AS (PARTITION BY city_code ORDER BY checkin ROWS BETWEEN {C.history_days - 1} PRECEDING AND CURRENT ROW))"
+
+
+@query(
+    "history_features",
+    sql(
+        f"""SELECT pw.city_code, strftime(pw.checkin, '%Y-%m-%d') AS checkin, horizon, round(lat, 6) AS lat, round(long, 6) AS long, round(coalesce(mean, 0), 6) AS city_hist_mean, round(coalesce(median, 0), 6) AS city_hist_median, round(coalesce(p75, 0), 6) AS city_hist_p75, round(coalesce(p90, 0), 6) AS city_hist_p90,
+        round(coalesce(std, 0), 6) AS city_hist_std, round(coalesce(std / (mean + 1e-6), 0), 6) AS city_volatility, round(CASE WHEN mean IS NULL THEN 0 ELSE coalesce(wend / (work + 1e-6), 1) END, 5) AS city_weekend_ratio, round(coalesce(CASE isodow(pw.checkin) {" ".join(f"WHEN {k + 1} THEN w{k}" for k in range(7))} END, 0), 6) AS city_weekday_mean
+        FROM pw CROSS JOIN hh JOIN ci USING (city_code) LEFT JOIN rh ON rh.city_code = pw.city_code AND rh.origin = least(pw.checkin - horizon, DATE '{C.cutoff}')""",
+        PAIRS, HORIZONS, _FULL, _RH,
+    ),
+)
+def history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_training(spark, sf_dir).select("city_code", "checkin", "horizon", "lat", "long", *features.HISTORY, "city_weekday_mean"), city_weekend_ratio=5)
+
+
 _J = "(date_diff('day', DATE '1600-01-01', d) - 79)"
 _C4 = f"({_J} % 12053 % 1461)"
 _R = f"(CASE WHEN {_C4} >= 366 THEN ({_C4} - 1) % 365 ELSE {_C4} END)"

@@ -48,3 +48,23 @@ def test_queries_fit_the_production_model(spark, monkeypatch):
     stage = models.remaining_model(**asked).getStages()[-1]
     got = {p: stage.getOrDefault(p) for p in ("maxIter", "maxDepth", "stepSize", "minInstancesPerNode", "subsamplingRate", "featureSubsetStrategy")}
     assert got == {"maxIter": 400, "maxDepth": 7, "stepSize": 0.06, "minInstancesPerNode": 40, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.8"}
+
+
+def test_frames_have_place_and_origin_history(spark):
+    wanted = {"lat", "long", "city_weekday_mean", *features.HISTORY}
+    assert wanted <= set(models.FEATURES)
+    data = log(spark, SF)
+    for frame in (features.training_frame(data), features.inference_frame(data)):
+        assert wanted <= set(frame.columns)
+    # At the cutoff the statistics are those of the whole history.
+    now = {r.city_code: r for r in features.city_history(data).collect()}
+    for r in features.inference_frame(data).select("city_code", "checkin", "lat", "city_hist_mean", "city_hist_p90").distinct().collect():
+        assert abs(r.city_hist_mean - now[r.city_code].city_hist_mean) < 1e-9 and r.city_hist_p90 == now[r.city_code].city_hist_p90 and r.lat > 24
+
+
+def test_cluster_block_needs_virtual_cities(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "city_code int")
+    table = spark.createDataFrame([(1, 3, 5, 0.5)], "cluster_code int, n_cities_in_cluster long, cluster_min_member_volume long, cluster_max_member_share double")
+    assert {tuple(r) for r in features.with_clusters(rows, table).collect()} == {(1, 3.0, 5.0, 0.5), (2, None, None, None)}
+    with pytest.raises(ValueError, match="member_share"):
+        features.with_clusters(rows, table.drop("cluster_max_member_share"))
