@@ -70,22 +70,39 @@ def hubs(profiles: DataFrame, share: float) -> DataFrame:
 
 
 def ward(points: np.ndarray) -> list[tuple[int, int, float]]:
-    """Merges (cluster, cluster, height) by Ward's criterion; new clusters are numbered on from the points."""
+    """Merges (cluster, cluster, height) by Ward's criterion; new clusters are numbered on from the points.
+
+    Chains of nearest neighbours: memory is in proportion to the points, time to their square. A new
+    cluster is never nearer to others than its parts were, so the merges are those of the greedy rule,
+    found in another order and sorted at the end.
+    """
     n = len(points)
-    size = {i: 1 for i in range(n)}
-    centre = {i: points[i] for i in range(n)}
-    out = []
-    for new in range(n, 2 * n - 1):
-        ids = sorted(size)
-        mass = np.array([size[i] for i in ids], float)
-        at = np.array([centre[i] for i in ids])
-        gap = ((at[:, None, :] - at[None, :, :]) ** 2).sum(-1) * (2 * mass[:, None] * mass[None, :] / (mass[:, None] + mass[None, :]))
-        gap[np.tril_indices(len(ids))] = np.inf
-        i, j = divmod(int(gap.argmin()), len(ids))
-        a, b = ids[i], ids[j]
-        out.append((a, b, float(np.sqrt(gap[i, j]))))
-        centre[new] = (size[a] * centre.pop(a) + size[b] * centre.pop(b)) / (size[a] + size[b])
-        size[new] = size.pop(a) + size.pop(b)
+    centre, mass, height = points.astype(float), np.ones(n), np.zeros(n)
+    alive, found, chain, first = np.ones(n, bool), [], [], 0
+    while len(found) < n - 1:
+        if not chain:
+            first += int(alive[first:].argmax())
+            chain = [first]
+        i = chain[-1]
+        gap = ((centre - centre[i]) ** 2).sum(1) * (2 * mass * mass[i] / (mass + mass[i]))
+        gap[~alive] = gap[i] = np.inf
+        j = int(gap.argmin())
+        if len(chain) < 2 or gap[chain[-2]] > gap[j]:
+            chain.append(j)
+            continue
+        j = chain[-2]
+        del chain[-2:]
+        a, b = min(i, j), max(i, j)
+        height[a] = max(np.sqrt(gap[j]), height[a], height[b])
+        found.append((float(height[a]), a, b))
+        centre[a] = (mass[a] * centre[a] + mass[b] * centre[b]) / (mass[a] + mass[b])
+        mass[a] += mass[b]
+        alive[b] = False
+    # A cluster stands at its smallest point; sorting keeps the order of equal heights, so parts come first.
+    name, out = list(range(n)), []
+    for new, (top, a, b) in enumerate(sorted(found, key=lambda x: x[0]), n):
+        out.append((min(name[a], name[b]), max(name[a], name[b]), top))
+        name[a] = new
     return out
 
 
@@ -95,7 +112,7 @@ MERGES = "province_code int, step int, members array<int>, height double"
 def dendrograms(scaled: DataFrame, hub_share: float) -> DataFrame:
     """Of each province its merges: the members of the merged cluster and its height.
 
-    A province's cities go to one task; an administrative unit has hundreds of cities, whatever the log's size.
+    A province's cities go to one task, whose memory grows with them and with the members of the merges.
     """
     names = [c for block in BLOCKS.values() for c in block]
 

@@ -1,11 +1,14 @@
 """What a review found missing: each test fails on the code before its change."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from leadtide.config import DEFAULT
 from leadtide.llm import html_text
-from leadtide.operators import features, models
+from leadtide.operators import calibration, clusters, features, marts, models
 from leadtide.plans import models as plans
 from leadtide.plans.base import log
 
@@ -68,3 +71,14 @@ def test_cluster_block_needs_virtual_cities(spark):
     assert {tuple(r) for r in features.with_clusters(rows, table).collect()} == {(1, 3.0, 5.0, 0.5), (2, None, None, None)}
     with pytest.raises(ValueError, match="member_share"):
         features.with_clusters(rows, table.drop("cluster_max_member_share"))
+
+
+def test_ward_needs_memory_for_points_only():
+    points = np.random.default_rng(3).normal(size=(1500, 16))
+    tracemalloc.start()
+    merges = clusters.ward(points)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(merges) == 1499 and peak < 1500 * 1500 * 8
+    heights = [m[2] for m in merges]
+    assert heights == sorted(heights) and sorted(x for m in merges for x in m[:2]) == list(range(2 * 1500 - 2))
