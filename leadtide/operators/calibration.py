@@ -83,15 +83,21 @@ def cross_fitted(frame: DataFrame, cfg: Config, method: str) -> DataFrame:
     return calibrated(frame, factors, cfg, (FOLD,))
 
 
-def fold_bootstrap(scores: DataFrame, folds: int, confidence: float = 0.95) -> DataFrame:
+def fold_bootstrap(scores: DataFrame, folds: int, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """The interval of the pooled WAPE over all ways to draw folds with replacement.
 
-    ``folds`` counts the folds; their number to its own power must not be above 100,000.
+    ``folds`` counts the folds; where their number to its own power is above 100,000, 20,000 draws by hash count.
     """
-    if folds < 2 or folds**folds > 100_000:
-        raise ValueError("an exact enumeration needs 2 to 6 folds")
+    if folds < 2:
+        raise ValueError("a bootstrap needs 2 folds at least")
     one = scores.select(F.col("actual_total").alias("a"), (F.col("wape") * F.col("actual_total")).alias("e"))
-    drawn = reduce(lambda x, y: x.crossJoin(F.broadcast(y)).select((F.col("a") + F.col("a2")).alias("a"), (F.col("e") + F.col("e2")).alias("e")), [one.toDF("a2", "e2")] * (folds - 1), one)
+    if folds**folds > 100_000:
+        numbered = one.withColumn("_k", F.row_number().over(Window.orderBy("a", "e")) - 1)  # a row for each fold
+        draws = scores.sparkSession.range(20_000).select("id", F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("_i"))
+        picked = draws.withColumn("_k", F.pmod(F.xxhash64(F.lit(seed), "id", "_i"), F.lit(folds)).cast("int"))
+        drawn = picked.join(F.broadcast(numbered), "_k").groupBy("id").agg(F.sum("a").alias("a"), F.sum("e").alias("e"))
+    else:
+        drawn = reduce(lambda x, y: x.crossJoin(F.broadcast(y)).select((F.col("a") + F.col("a2")).alias("a"), (F.col("e") + F.col("e2")).alias("e")), [one.toDF("a2", "e2")] * (folds - 1), one)
     tail = (1 - confidence) / 2
     q = drawn.agg(F.percentile(F.col("e") / F.col("a"), F.array(F.lit(tail), F.lit(1 - tail))).alias("q"), F.count(F.lit(1)).alias("samples"))
     return q.select(F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), "samples")

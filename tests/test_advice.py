@@ -82,3 +82,12 @@ def test_ward_needs_memory_for_points_only():
     assert len(merges) == 1499 and peak < 1500 * 1500 * 8
     heights = [m[2] for m in merges]
     assert heights == sorted(heights) and sorted(x for m in merges for x in m[:2]) == list(range(2 * 1500 - 2))
+
+
+def test_bootstrap_of_many_folds_draws_samples(spark):
+    scores = spark.createDataFrame([(100.0 + k, 0.1 + k / 100) for k in range(8)], "actual_total double, wape double")
+    got, again = (calibration.fold_bootstrap(scores, 8).first() for _ in range(2))
+    assert got == again and got.samples == 20_000
+    assert 0.1 < got.lower < 0.135 < got.upper < 0.17
+    other = calibration.fold_bootstrap(scores.limit(3), 3).first()
+    assert other.samples == 27
