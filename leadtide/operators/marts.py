@@ -80,13 +80,22 @@ def daily_series(forecast: DataFrame) -> DataFrame:
     return daily.crossJoin(edges).withColumns({"deviation_from_mean": d / F.greatest(F.col("_mean"), F.lit(1.0)) - 1, "demand_band": band}).drop("_mean", "_e")
 
 
+#: Ranges of demand over which an ordered sum is cut.
+RANGES = 64
+
+
 def city_table(forecast: DataFrame, momentum: DataFrame, history: DataFrame) -> DataFrame:
     """Totals, shares in order of demand, momentum and spread of the past by city."""
     rows = share_of(totals(forecast, "city_code", "city", "province"), "predicted_demand")
-    # One row a city, so an ordered sum over all of them is the size of the dimension.
-    ordered = Window.orderBy(F.desc("predicted_demand"), "city_code").rowsBetween(Window.unboundedPreceding, 0)
+    # Ranges of demand are summed on their own; what lies above a range is added from a table of RANGES + 1 rows.
+    points = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    edges = F.broadcast(rows.agg(F.percentile_approx("predicted_demand", points).alias("_e")))
+    rows = rows.crossJoin(edges).withColumn("_range", F.size(F.filter("_e", lambda e: e > F.col("predicted_demand")))).drop("_e")
+    above = rows.groupBy("_range").agg(F.sum("share").alias("_own")).withColumn("_above", F.sum("_own").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_own"))
+    ordered = Window.partitionBy("_range").orderBy(F.desc("predicted_demand"), "city_code").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_within", F.sum("share").over(ordered)).join(F.broadcast(above.drop("_own")), "_range")
     top = F.greatest(F.col("predicted_demand"), F.lit(1))
-    rows = rows.withColumns({"cumulative_share": F.sum("share").over(ordered), "observed_share": F.col("observed_so_far") / top, "remaining_share": F.col("predicted_remaining") / top})
+    rows = rows.withColumns({"cumulative_share": F.col("_above") + F.col("_within"), "observed_share": F.col("observed_so_far") / top, "remaining_share": F.col("predicted_remaining") / top}).drop("_range", "_above", "_within")
     spread = history.groupBy("city_code").agg(F.avg("demand").alias("historical_mean"), F.stddev_samp("demand").alias("_std"))
     spread = spread.select("city_code", "historical_mean", (F.col("_std") / F.greatest(F.col("historical_mean"), F.lit(1.0))).alias("historical_cv"))
     return rows.join(spread, "city_code", "left").join(momentum.select("city_code", "pickup_ratio"), "city_code", "left")

@@ -91,3 +91,18 @@ def test_bootstrap_of_many_folds_draws_samples(spark):
     assert 0.1 < got.lower < 0.135 < got.upper < 0.17
     other = calibration.fold_bootstrap(scores.limit(3), 3).first()
     assert other.samples == 27
+
+
+def test_city_table_sums_in_ranges(spark):
+    forecast = spark.range(500).select(F.col("id").cast("int").alias("city_code"), F.lit("c").alias("city"), F.lit("p").alias("province"), (F.col("id") % 97).alias("predicted_demand"), F.lit(0).cast("long").alias("observed_so_far"), F.lit(0).cast("long").alias("predicted_remaining"))
+    momentum = spark.createDataFrame([(1, 1.0)], "city_code int, pickup_ratio double")
+    history = spark.createDataFrame([(1, 1)], "city_code int, demand long")
+    found = marts.city_table(forecast, momentum, history)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(found.collect(), key=lambda r: (-r.predicted_demand, r.city_code))
+    total = 0.0
+    for r in rows:
+        total += r.share
+        assert abs(r.cumulative_share - total) < 1e-9
+    # The one window without a partition goes over the ranges.
+    assert all("_own" in x for x in plan.splitlines() if x.strip(" +-:").startswith("Window") and "city_code" not in x) and "[_range#" in plan
