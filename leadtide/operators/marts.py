@@ -87,7 +87,7 @@ RANGES = 64
 def city_table(forecast: DataFrame, momentum: DataFrame, history: DataFrame) -> DataFrame:
     """Totals, shares in order of demand, momentum and spread of the past by city."""
     rows = share_of(totals(forecast, "city_code", "city", "province"), "predicted_demand")
-    # Ranges of demand are summed on their own; what lies above a range is added from a table of RANGES + 1 rows.
+    # Ranges of demand are summed on their own; what lies above a range is added from a table of RANGES rows at most.
     points = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
     edges = F.broadcast(rows.agg(F.percentile_approx("predicted_demand", points).alias("_e")))
     rows = rows.crossJoin(edges).withColumn("_range", F.size(F.filter("_e", lambda e: e > F.col("predicted_demand")))).drop("_e")
