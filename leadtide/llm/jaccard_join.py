@@ -22,10 +22,16 @@ packed chunk.
 The boundary: the largest size up to which enumerating costs no more rows than lists would, a list row
 counting ``LIST_COST`` rows for what it takes to test its candidates.
 
-A list isn't turned into all its pairs. Its members are tested against one leader; components of the
-links found are built; then only members outside a list's main component are tested against
-members of other components, until no list holds an untested pair of different components. Pairs
-within a component need no test: the result are components, and they are exact.
+A list isn't turned into all its pairs. Its members are tested against one leader, first the one with
+the fewest keys of its own, which stands in the middle of a group of near copies, then one by chance;
+components of the links found are built; then only members outside a list's main component are
+compared with members of other components. Pairs within a component need no test: the result are
+components, and they are exact.
+
+Sketches rule pairs out before they leave the join: 1536 bits, each the parity of how many elements of
+a set fall on it. Bits that differ between two sketches are at most the elements that differ between
+the sets, and for sets of up to some hundred elements hardly fewer, so nearly all pairs that are
+emitted link.
 
 Defined cases: a null text, and one without words, has an empty set and links with nothing; with fewer
 than n words the whole sequence is the one n-gram; rows that repeat an id or a text are members of
@@ -51,13 +57,14 @@ from .common import Scratch, by_bytes, parallelism
 #: Rows of light keys that one row of a list is worth.
 LIST_COST = 6
 SALTS = 32
-#: Numbers in the signature of a set.
+#: Numbers of 64 bits in the sketch of a set.
 SIGNS = 24
 SIGN_COLUMNS = [f"s{i}" for i in range(SIGNS)]
 #: Keys and sets of a packed chunk; a set's place in it has 16 bits.
 CHUNK_KEYS, CHUNK_SETS = 1_500_000, 60_000
-#: Rounds of one leader a list before all untested pairs of different components are tested.
-LEADER_ROUNDS = 2
+#: Leaders are tried, in so many rounds at most, while comparing members outside the main components with all others
+#: would take more comparisons than so many for each row of a list.
+LEADER_ROUNDS, COMPARISONS = 6, 256
 
 _RANDOM = np.random.default_rng(20240202)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -111,6 +118,15 @@ def shingles(data: bytes, n: int) -> np.ndarray:
     return np.unique(h)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """For each bit of SIGNS numbers the parity of how many elements fall on it.
+
+    Elements in which two sets differ are at least as many as bits in which their sketches do.
+    """
+    bits = np.bincount((mix(hashes + _ODD) % np.uint64(64 * SIGNS)).astype(np.int64), minlength=64 * SIGNS).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 class Plan:
     """Sizes, classes and keys for one threshold num / den."""
 
@@ -147,25 +163,6 @@ class Plan:
 
     def list_keys(self, hashes: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
         """For each size class: its number, a set's keys in it, and how many of the rarest count."""
-        return [x[:3] for x in self.in_parts(hashes)]
-
-    def signatures(self, hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """For each size class: its number, and a byte for what each of the first parts holds, seven to
-        each of SIGNS numbers.
-
-        Parts that differ in these bytes are spoiled, so two sets that differ in more parts than a pair
-        of their sizes may have differences don't link. Very large sets have more parts than bytes;
-        the count is then a weaker bound.
-        """
-        out = []
-        for c, key, _, full, parts in self.in_parts(hashes):
-            signs = np.zeros(max(parts, 7 * SIGNS), np.uint64)
-            signs[full] = key[: len(full)] & np.uint64(255)
-            signs = signs[: 7 * SIGNS]
-            out.append((c, (signs.reshape(-1, 7) << (np.arange(7, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64).view(np.int64)))
-        return out
-
-    def in_parts(self, hashes: np.ndarray) -> list[tuple[int, np.ndarray, int, np.ndarray, int]]:
         n = len(hashes)
         if self.den * n // self.num <= self.light:
             return []
@@ -184,7 +181,7 @@ class Plan:
             if len(full) < need:
                 # So few parts hold anything that two such sets might only agree on empty ones.
                 key = np.append(key, mix(np.array([(c << 40) + 5], np.uint64)))
-            out.append((c, key, min(need, len(key)), full, parts))
+            out.append((c, key, min(need, len(key))))
         return out
 
     def light_keys(self, hashes: np.ndarray) -> np.ndarray:
@@ -417,44 +414,49 @@ class JaccardJoin:
                 for sid, data, known in zip(batch.column("sid").to_pylist(), batch.column("data"), batch.column("open").to_pylist(), strict=True):
                     hashes = shingles(data.as_buffer(), n)
                     shared = {x["unit"] & _MASK: x["n_shared"] for x in known}
-                    takes = [(c, need - len(own) + min(len(own), shared.get(unit(sid, c), 0))) for c, own, need in plan.list_keys(hashes)]
-                    takes = [x for x in takes if x[1] > 0]
+                    takes = []
+                    for c, own, need in plan.list_keys(hashes):
+                        # Keys that agree in what is kept of them count as one, here as in the lists.
+                        n_keys = len(np.unique(whole_key(own, deals)))
+                        alone = n_keys - min(n_keys, shared.get(unit(sid, c), 0))
+                        if need > alone:
+                            takes.append({"c": c, "take": need - alone, "alone": alone})
                     if takes:
-                        rows.append((sid, hashes.tobytes(), [{"c": c, "take": take} for c, take in takes]))
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.struct([("c", pa.int32()), ("take", pa.int64())])))], ["sid", "set", "takes"])
+                        rows.append((sid, hashes.tobytes(), takes))
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.struct([("c", pa.int32()), ("take", pa.int64()), ("alone", pa.int64())])))], ["sid", "set", "takes"])
 
         chosen = open_units.join(sets.select("sid", "rk").hint("merge"), "sid")
-        found = self.texts.select("rk", "data").join(chosen.hint("merge"), "rk").select("sid", "data", "open").mapInArrow(run, "sid long, set binary, takes array<struct<c:int,take:long>>")
+        found = self.texts.select("rk", "data").join(chosen.hint("merge"), "rk").select("sid", "data", "open").mapInArrow(run, "sid long, set binary, takes array<struct<c:int,take:long,alone:long>>")
         active = self.scratch.write(found.groupBy("sid").agg(F.first("set").alias("set"), F.first("takes").alias("takes")))
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in by_bytes(batches, "set", 1 << 20):
-                out: dict[str, list] = {"key": [], "sid": [], "n": [], "c": [], "take": []}
+                out: dict[str, list] = {"key": [], "sid": [], "c": [], "take": [], "alone": []}
                 for sid, data, takes in zip(batch.column("sid").to_pylist(), batch.column("set"), batch.column("takes").to_pylist(), strict=True):
                     hashes = np.frombuffer(data.as_buffer(), np.uint64)
-                    wanted = {x["c"]: x["take"] for x in takes}
+                    wanted = {x["c"]: x for x in takes}
                     for c, own, _ in plan.list_keys(hashes):
                         if c in wanted:
                             own = np.unique(whole_key(own, deals))
-                            for name, v in (("key", own), ("sid", np.full(len(own), sid)), ("n", np.full(len(own), len(hashes))), ("c", np.full(len(own), c)), ("take", np.full(len(own), wanted[c]))):
+                            for name, v in (("key", own), ("sid", np.full(len(own), sid)), ("c", np.full(len(own), c)), ("take", np.full(len(own), wanted[c]["take"])), ("alone", np.full(len(own), wanted[c]["alone"]))):
                                 out[name].append(v)
                 yield pa.record_batch([pa.array(np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)) for v in out.values()], list(out))
 
-        rows = active.mapInArrow(explode, "key long, sid long, n long, c long, take long")
+        rows = active.mapInArrow(explode, "key long, sid long, c long, take long, alone long")
         order = Window.partitionBy("sid", "c").orderBy("n_sets", "key")
         rows = rows.join(keys.hint("merge"), "key").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("take"))
-        rows = self.scratch.write(rows.select("key", "sid", "n", "c"))
+        rows = self.scratch.write(rows.select("key", "sid", "alone"))
         self.listed = rows.count()
         two = self.scratch.write(rows.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a < z").select("key"), self.listed)
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in by_bytes(batches, "set", 1 << 20):
-                out = [(sid, c, sig) for sid, data in zip(batch.column("sid").to_pylist(), batch.column("set"), strict=True) for c, sig in plan.signatures(np.frombuffer(data.as_buffer(), np.uint64))]
-                signs = np.stack([x[2] for x in out]) if out else np.zeros((0, SIGNS), np.int64)
-                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), *(pa.array(x) for x in np.ascontiguousarray(signs.T))], ["sid", "c", *SIGN_COLUMNS])
+                held = [np.frombuffer(data.as_buffer(), np.uint64) for data in batch.column("set")]
+                signs = np.stack([sketch(x) for x in held]) if held else np.zeros((0, SIGNS), np.int64)
+                yield pa.record_batch([batch.column("sid"), pa.array(list(map(len, held)), pa.int64()), *(pa.array(x) for x in np.ascontiguousarray(signs.T))], ["sid", "n", *SIGN_COLUMNS])
 
-        signed = active.select("sid", "set").mapInArrow(sign, "sid long, c long, " + ", ".join(f"{x} long" for x in SIGN_COLUMNS))
-        lists = self.scratch.write(rows.join(two.hint("merge"), "key").join(signed.hint("merge"), ["sid", "c"]).select("key", "sid", "n", *SIGN_COLUMNS), self.listed)
+        signed = active.select("sid", "set").mapInArrow(sign, "sid long, n long, " + ", ".join(f"{x} long" for x in SIGN_COLUMNS))
+        lists = self.scratch.write(rows.join(two.hint("merge"), "key").join(signed.hint("merge"), "sid").select("key", "sid", "n", "alone", *SIGN_COLUMNS), self.listed)
         self.scratch.drop(rows, two)
         return lists, active.select("sid", "set")
 
@@ -482,10 +484,9 @@ class JaccardJoin:
         """Whether the sets of a row, with columns (n, s0 ...) and those with a prefix, may link."""
         num, den, n = self.plan.num, self.plan.den, f"{other}n"
         sizes = f"{den} * least(n, {n}) >= {num} * greatest(n, {n})"
-        low, high = 0x7F7F7F7F7F7F7F, 0x80808080808080
-        spoiled = " + ".join(f"bit_count(((({x} ^ {other}{x}) & {low}) + {low} | ({x} ^ {other}{x})) & {high})" for x in SIGN_COLUMNS)
+        differ = " + ".join(f"bit_count({x} ^ {other}{x})" for x in SIGN_COLUMNS)
         most = f"n + {n} - 2 * (({num} * (n + {n}) + {num + den - 1}) div {num + den})"
-        return F.expr(f"{sizes} AND {spoiled} <= {most}")
+        return F.expr(f"{sizes} AND {differ} <= {most}")
 
     def links(self, sets: DataFrame) -> DataFrame:
         """Links (a, b) between sets that make up all components."""
@@ -499,28 +500,27 @@ class JaccardJoin:
         links = scratch.write(found.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct())
 
         lists, contents = self.lists(sets)
-        tested = None
-        for turn in range(LEADER_ROUNDS + 1):
+        tested, turn, last = None, 0, False
+        while not last:
             if turn:
                 comp = components(scratch, links).withColumnRenamed("node", "sid").hint("merge")
                 now = lists.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+                now = scratch.write(now, self.listed)
+                # The main component: the one with the most members.
+                sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("l"))
+                main = scratch.write(sizes.filter("c > 1").select("key", F.col("l.comp").alias("l_comp"), (F.col("all") * (F.col("all") - F.col("l.m"))).cast("double").alias("cost")), self.listed)
+                last = turn == LEADER_ROUNDS or (main.agg(F.sum("cost")).first()[0] or 0) <= COMPARISONS * self.listed
             else:
-                now = lists.withColumn("comp", F.col("sid"))
-            now = scratch.write(now, self.listed)
-            if turn < LEADER_ROUNDS:
-                # The leader: the least member by a hash, so that lists with the same members agree.
-                lead = now.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("z"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "comp", "n", *SIGN_COLUMNS)).alias("l")).filter("c <> z")
+                now = scratch.write(lists.withColumn("comp", F.col("sid")), self.listed)
+            if not last:
+                # The leader: the member with the fewest keys of its own, then the least by a hash, so that lists with the same members agree.
+                first = [F.xxhash64("sid", F.lit(turn))] if turn else [F.col("alone"), F.xxhash64("sid")]
+                lead = now.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("z"), F.min(F.struct(*first, "sid", "comp", "n", *SIGN_COLUMNS)).alias("l")).filter("c <> z")
                 lead = lead.select("key", F.col("l.sid").alias("l_sid"), F.col("l.comp").alias("l_comp"), *(F.col(f"l.{x}").alias(f"l_{x}") for x in ("n", *SIGN_COLUMNS)))
-            else:
-                # The main component: the one with the most members.
-                sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-                lead = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("m", "comp")).alias("l")).filter("c > 1")
-                lead = lead.select("key", F.col("l.comp").alias("l_comp"))
-            lead = scratch.write(lead, self.listed)
-            open_lists = now.join(lead.hint("merge"), "key").filter("comp <> l_comp")
-            if turn < LEADER_ROUNDS:
+                open_lists = now.join(scratch.write(lead, self.listed).hint("merge"), "key").filter("comp <> l_comp")
                 pairs = open_lists.filter(self.likely("l_")).select(F.least("sid", "l_sid").alias("a"), F.greatest("sid", "l_sid").alias("b"))
             else:
+                open_lists = now.join(main.select("key", "l_comp").hint("merge"), "key").filter("comp <> l_comp")
                 outside = scratch.write(open_lists.select("key", F.col("sid").alias("o_sid"), F.col("comp").alias("o_comp"), *(F.col(x).alias(f"o_{x}") for x in ("n", *SIGN_COLUMNS))), self.listed)
                 pairs = now.join(outside.hint("merge"), "key").filter("comp <> o_comp").filter(self.likely("o_")).select(F.least("sid", "o_sid").alias("a"), F.greatest("sid", "o_sid").alias("b"))
             pairs = pairs.distinct()
@@ -530,6 +530,7 @@ class JaccardJoin:
             pairs = scratch.write(pairs, 4 * self.listed)
             links = scratch.write(links.unionByName(self.test(pairs, contents)), 4 * self.listed)
             tested = pairs if tested is None else tested.unionByName(pairs)
+            turn += 1
         return links
 
     def run(self) -> DataFrame:
