@@ -8,7 +8,8 @@ window are those of the joined text: joining is associative and the tree's shape
 Decoding concatenates the parts' bytes up the tree.
 
 Defined cases: a null text is empty (0 tokens); texts without any such position are encoded anew as
-a whole when joined, which is slow but right; every input row gives one output row.
+a whole when joined, which is slow but right; every input row, repeated ones too, gives one output row; an
+empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations

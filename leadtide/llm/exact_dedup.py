@@ -1,8 +1,8 @@
 """Exact deduplication with DataFrame functions only.
 
 Rows are grouped by a 128-bit content hash; the bytes inside every group are then compared, so that a
-hash collision never merges different texts. The hash group is spread over salts: a group may hold a
-third of all rows and still no task gets all of it.
+hash collision never merges different texts. Large groups are spread over salts, the more the larger: a
+group may hold a third of all rows and still no task gets more than a fraction of its share.
 
 Defined cases: a null text equals the empty text; a null id never stays while its group has another
 id; rows that repeat an id and a text count each; an empty table gives an empty result; other columns
@@ -16,9 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-
-SALTS = 32
+from .common import free_names, materialise, with_salts
 
 
 def exact_dedup(
@@ -35,23 +33,18 @@ def exact_dedup(
     fingerprint = fingerprint or (lambda text: F.unhex(F.md5(text)))
     stays = {"min": F.min, "max": F.max}[keep]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    salt = F.pmod(F.xxhash64("doc_id", "text_sha256"), F.lit(SALTS)).cast("int").alias("salt")
     keyed = texts.select("doc_id", "text", fingerprint(F.col("text").cast("binary")).alias("h"), F.unhex(F.sha2("text", 256)).alias("text_sha256"))
-    rows = materialise(keyed.select("doc_id", "h", "text_sha256", salt))
-
-    def salted(groups: DataFrame) -> DataFrame:
-        # As many rows as there are copies: never a broadcast, however small its estimate.
-        return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
-
+    rows = materialise(keyed.select("doc_id", "h", "text_sha256"))
+    total = rows.count()
     # Partial counts per salt first, so that a hot hash is a few rows by the time it meets.
     groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), stays("doc_id").alias("keep_id"))
     copies = materialise(groups.filter("group_size > 1"))
 
     # Least and greatest text of a group are the same bytes exactly if all its texts are.
+    held, again = with_salts(keyed.select("h", "text"), copies.select("h", "group_size"), ["h"], "group_size", total)
     compared = (
-        keyed.select("h", salt, "text")
-        .join(salted(copies.select("h")), ["h", "salt"])
-        .groupBy("h", "salt")
+        held.join(again, ["h", "__salt"])
+        .groupBy("h", "__salt")
         .agg(F.min("text").alias("low"), F.max("text").alias("high"))
         .groupBy("h")
         .agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -60,10 +53,11 @@ def exact_dedup(
     if collided:
         # Different texts share a hash somewhere: the text itself decides there.
         groups = keyed.groupBy("h", "text_sha256", "text").agg(F.count(F.lit(1)).alias("group_size"), stays("doc_id").alias("keep_id"))
-        split = salted(groups.filter("group_size > 1"))
-        found = keyed.select("doc_id", "h", "text_sha256", "text", salt).join(split, ["h", "text_sha256", "text", "salt"], "left")
+        held, split = with_salts(keyed, groups.filter("group_size > 1"), ["h", "text_sha256", "text"], "group_size", total)
+        found = held.join(split, ["h", "text_sha256", "text", "__salt"], "left")
     else:
-        found = rows.join(salted(copies), ["h", "salt"], "left")
+        held, again = with_salts(rows, copies, ["h"], "group_size", total)
+        found = held.join(again, ["h", "__salt"], "left")
     size = F.coalesce("group_size", F.lit(1).cast("long"))
     keep_id = F.when(size > 1, F.col("keep_id")).otherwise(F.col("doc_id"))
     return found.select(
@@ -82,15 +76,16 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
     found = exact_dedup(docs, id_col, text_col, keep)
+    by_id, by_digest, n, row = free_names(docs, "id", "digest", "n", "row")
     # A row without an id never stays beside one with an id, so ids and digests name the rows that go.
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    again = found.filter("kept AND group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("__n"))
-    again = again.filter("__n > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest"))
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(by_id), F.col("text_sha256").alias(by_digest))
+    again = found.filter("kept AND group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias(n))
+    again = again.filter(F.col(n) > 1).select(F.col("doc_id").alias(by_id), F.col("text_sha256").alias(by_digest))
+    same = F.col(id_col).eqNullSafe(F.col(by_id)) & (digest == F.col(by_digest))
     kept = docs.join(gone.hint("merge"), same, "left_anti")
     if not again.limit(1).count():
         return kept
     one = kept.join(again.hint("merge"), same, "left_semi")
     columns = docs.columns
-    first = one.groupBy(F.col(id_col).alias("__id"), digest.alias("__digest")).agg(F.min_by(F.struct(*(F.col(c) for c in columns)), F.xxhash64(*columns)).alias("__row"))
-    return kept.join(again.hint("merge"), same, "left_anti").unionByName(first.select("__row.*"))
+    first = one.groupBy(F.col(id_col).alias(by_id), digest.alias(by_digest)).agg(F.min_by(F.struct(*(F.col(c) for c in columns)), F.xxhash64(*columns)).alias(row))
+    return kept.join(again.hint("merge"), same, "left_anti").unionByName(first.select(f"{row}.*"))

@@ -7,10 +7,14 @@ writes what a reader sees: blocks on lines of their own with blank lines around
 lists; list marks and indents; preformatted text as it is; tables with aligned columns.
 
 Visibility: scripts, styles, templates, the head, fallbacks of embedded media, elements with `hidden`,
-closed dialogs, and elements that an inline style or a simple rule of a style sheet (a tag, class, id, or
+closed dialogs, closed details but for their summary, and elements that an inline style or a simple rule of a style sheet (a tag, class, id, or
 a tag with a class) takes out by `display: none` or `visibility: hidden`, unless a rule that weighs more
 shows them. Style sheets and blocks of @media count if they always hold on a wide screen (all, or screen
 without further conditions). A visible child of an element with `visibility: hidden` is shown.
+Values of text inputs and buttons count as text, as a reader sees them; alternative texts of images don't.
+
+An end tag of a formatting element (b, i, a, ...) that is open around a block ends the formatting only: the
+block moves out of it and stays open, with what it holds so far in a copy of the element.
 
 Defined cases: a null or empty page gives an empty text; a page without tags is its text; markup that is
 cut off in a tag loses that tag only; elements deeper than ``DEEPEST`` become siblings, as browsers do;
@@ -43,6 +47,7 @@ UNSEEN = frozenset("head script style template title noscript iframe noembed nof
 BLOCKS = frozenset("address article aside blockquote body center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary table ul xmp caption tr tbody thead tfoot".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 listing menu ol p pre table ul xmp hr dir".split())
 CLOSE_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p pre search section summary table ul xmp".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 PRE = frozenset(("pre", "listing", "xmp", "textarea"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # What a start tag closes, and the elements at which the search for it ends.
@@ -139,8 +144,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict]]:
 class Node:
     __slots__ = ("tag", "attributes", "children")
 
-    def __init__(self, tag: str, attributes: dict[str, str] | None = None) -> None:
-        self.tag, self.attributes, self.children = tag, attributes or {}, []
+    def __init__(self, tag: str, attributes: dict[str, str] | None = None, children: list | None = None) -> None:
+        self.tag, self.attributes, self.children = tag, attributes or {}, children or []
 
 
 class Builder:
@@ -260,6 +265,8 @@ class Builder:
                 self.enter_body()
             self.add(Node("p"), False)
             return
+        if tag in FORMATTING:
+            return self.end_formatting(tag)
         for i in range(len(self.open) - 1, 1, -1):
             own = self.open[i].tag
             if own == tag or (tag in HEADINGS and own in HEADINGS):
@@ -271,6 +278,31 @@ class Builder:
                 return
 
 
+    def end_formatting(self, tag: str) -> None:
+        """Close a formatting element; blocks opened within it move out of it and stay open."""
+        at = None
+        for i in range(len(self.open) - 1, 1, -1):
+            if self.open[i].tag == tag:
+                at = i
+                break
+            if self.open[i].tag in SCOPES:
+                return
+        if at is None:
+            return
+        while (j := next((k for k in range(at + 1, len(self.open)) if self.open[k].tag in BLOCKS), None)) is not None:
+            block, held = self.open[j], self.open[j - 1].children
+            if not (held and held[-1] is block):
+                del self.open[at]  # elements this deep were made siblings
+                return
+            held.pop()
+            self.open[at - 1].children.append(block)
+            copy = Node(tag, self.open[at].attributes)
+            copy.children, block.children = block.children, [copy]
+            self.open[at : j + 1] = [block, copy]
+            at += 1
+        self.close_to(at)
+
+
 def build(page: str) -> tuple[Node, list[str]]:
     """The tree of a page, and the texts of its style sheets."""
     builder = Builder()
@@ -522,6 +554,8 @@ class Renderer:
                 out.words(" ")
             self.content(node, out, seen, pre or tag in PRE, depth)
             return
+        if tag == "details" and "open" not in node.attributes:
+            node = Node(tag, node.attributes, [x for x in node.children if not isinstance(x, str) and x.tag == "summary"][:1])
         gap = 2 if tag in SPACED and not (depth and tag in ("ul", "ol", "menu", "dir")) else 1
         out.block(gap)
         if tag in ("ul", "ol", "menu", "dir"):

@@ -52,11 +52,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_bytes, parallelism
+from .common import Scratch, by_bytes, current_scratch, free_names, parallelism, with_salts
 
 #: Rows of light keys that one row of a list is worth.
 LIST_COST = 6
-SALTS = 32
 #: Numbers of 64 bits in the sketch of a set.
 SIGNS = 24
 SIGN_COLUMNS = [f"s{i}" for i in range(SIGNS)]
@@ -184,11 +183,18 @@ class Plan:
             out.append((c, key, min(need, len(key))))
         return out
 
-    def light_keys(self, hashes: np.ndarray) -> np.ndarray:
+    def light_keys(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of 128 bits, in two halves, so that no two subsets of a corpus agree by chance."""
+        if len(hashes) > self.light:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        first, same = self._subset_keys(hashes, int(_ODD))
+        second, _ = self._subset_keys(hashes, _BASE)
+        # The last bit of the first half tells keys for sets of one size from those for two sizes.
+        return (first & np.uint64(_MASK - 1) | same).view(np.int64), second.view(np.int64)
+
+    def _subset_keys(self, hashes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(hashes)
-        if n > self.light:
-            return np.zeros(0, np.int64)
-        own = [int(x) for x in mix(hashes + _ODD)]
+        own = [int(x) for x in mix(hashes + np.uint64(seed))]
         total, out, same = sum(own), [], []
         for m in self.partners(n):
             if m <= self.light:
@@ -197,8 +203,7 @@ class Plan:
                 new = [((total - sum(left)) * 2 + 1) * (2 * tag + 1) & _MASK for left in combinations(own, n - c)]
                 out += new
                 same += [m == n] * len(new)
-        # The last bit tells keys for sets of one size from those for two sizes.
-        return (mix(np.array(out, np.uint64)) & np.uint64(_MASK - 1) | np.array(same, np.uint64)).view(np.int64)
+        return mix(np.array(out, np.uint64)), np.array(same, np.uint64)
 
 
 def unit(sid: int, c: int) -> int:
@@ -330,7 +335,7 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 class JaccardJoin:
     def __init__(self, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, list_cost: int = LIST_COST) -> None:
         self.plan, self.n = Plan(num, den, list_cost), n
-        self.scratch = Scratch(docs.sparkSession)
+        self.scratch = current_scratch(docs.sparkSession)
         #: Keys are dealt in so many packages; several go to a task, so tasks get about as many.
         self.deals = min(8 * parallelism(docs), 1 << 22)
         self.kind = docs.schema[id_col].dataType.simpleString()
@@ -343,21 +348,22 @@ class JaccardJoin:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in by_bytes(batches, "data"):
-                sid, more, size, light = [], [], [], []
+                sid, more, size, light, light2 = [], [], [], [], []
                 for data in batch.column("data"):
                     hashes = shingles(data.as_buffer(), n)
                     own, rest = set_ids(hashes, seed)
                     sid.append(own)
                     more.append(rest)
                     size.append(len(hashes))
-                    light.append(plan.light_keys(hashes))
+                    for half, keys in zip((light, light2), plan.light_keys(hashes), strict=True):
+                        half.append(keys)
                 column = lambda keys: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
-                yield pa.record_batch([batch.column("doc_id"), batch.column("rk"), pa.array(sid, pa.int64()), pa.array(more, pa.int64()), pa.array(size, pa.int64()), column(light)], ["doc_id", "rk", "sid", "more", "n", "light"])
+                yield pa.record_batch([batch.column("doc_id"), batch.column("rk"), pa.array(sid, pa.int64()), pa.array(more, pa.int64()), pa.array(size, pa.int64()), column(light), column(light2)], ["doc_id", "rk", "sid", "more", "n", "light", "light2"])
 
         self.seed = seed
-        made = self.scratch.write(self.texts.mapInArrow(run, f"doc_id {self.kind}, rk long, sid long, more long, n long, light array<long>"))
+        self.made = made = self.scratch.write(self.texts.mapInArrow(run, f"doc_id {self.kind}, rk long, sid long, more long, n long, light array<long>, light2 array<long>"))
         once = made.filter("n > 0").groupBy("sid").agg(
-            F.min("rk").alias("rk"), F.min("n").alias("n"), F.min("more").alias("more"), F.max("more").alias("more2"), F.first("light").alias("light")
+            F.min("rk").alias("rk"), F.min("n").alias("n"), F.min("more").alias("more"), F.max("more").alias("more2"), F.first("light").alias("light"), F.first("light2").alias("light2")
         )
         once = self.scratch.write(once)
         if once.filter("more <> more2").limit(1).count():
@@ -491,12 +497,12 @@ class JaccardJoin:
     def links(self, sets: DataFrame) -> DataFrame:
         """Links (a, b) between sets that make up all components."""
         scratch = self.scratch
-        light = sets.select("sid", "n", F.explode("light").alias("key"))
-        first = light.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min_by("sid", F.struct("n", "sid")).alias("a"), F.min_by("sid", F.struct(-F.col("n"), "sid")).alias("b"), F.max("sid").alias("z"))
+        light = sets.select("sid", "n", F.explode(F.arrays_zip("light", "light2")).alias("k")).select("sid", "n", F.col("k.light").alias("key"), F.col("k.light2").alias("key2"))
+        first = light.groupBy("key", "key2").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min_by("sid", F.struct("n", "sid")).alias("a"), F.min_by("sid", F.struct(-F.col("n"), "sid")).alias("b"), F.max("sid").alias("z"))
         # Sets of one size that share a key for two sizes don't link by it, each links with the other size.
         first = scratch.write(first.filter("(key & 1 = 1 AND a < z) OR low < high"))
         other = F.when(F.col("n") == F.col("high"), F.col("a")).otherwise(F.col("b"))
-        found = light.join(first.hint("merge"), "key").select("sid", other.alias("other")).filter("sid <> other")
+        found = light.join(first.hint("merge"), ["key", "key2"]).select("sid", other.alias("other")).filter("sid <> other")
         links = scratch.write(found.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct())
 
         lists, contents = self.lists(sets)
@@ -542,11 +548,12 @@ class JaccardJoin:
         known = known.join(comp.hint("merge"), known.sid == comp.node, "left").select("sid", "least", "copies", F.coalesce("comp", "sid").alias("comp"))
         known = self.scratch.write(known)
         least = known.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("copies").alias("members")).filter("members > 1")
-        named = known.join(self.scratch.write(least.select("comp", "component_id")).hint("merge"), "comp").select("sid", "component_id")
-        # A class may hold a third of all rows: it is joined back over salts.
-        spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
-        salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        return salted.join(spread, ["sid", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        named = self.scratch.write(known.join(least.select("comp", "component_id").hint("merge"), "comp").select("sid", "component_id", "copies"))
+        # Nothing but the rows and the classes' names is read from now on.
+        self.scratch.drop_others(self.made, named)
+        # A class may hold a third of all rows.
+        salted, spread = with_salts(rows, named, ["sid"], "copies", rows.count())
+        return salted.join(spread, ["sid", "__salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", list_cost: int = LIST_COST) -> DataFrame:
@@ -563,5 +570,6 @@ def without_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 1
     Rows that share an id stay or go together.
     """
     found = jaccard_components(docs, n, num, den, id_col, text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    return docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    (own,) = free_names(docs, "id")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own))
+    return docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col(own)), "left_semi")

@@ -5,8 +5,9 @@ is a matrix of at most ``buckets`` x languages counts. Its logarithms are broadc
 n-grams of a batch of texts at once in numpy and adds up the log-probabilities of each text, so memory
 is that of one batch; long texts are scored in pieces, whole.
 
-Training may be bounded: ``train_docs`` labelled rows are enough for a few dozen languages. The sample
-is drawn by a hash of the id, so it is the same on every run; all other steps read all rows.
+Training may be bounded: about ``train_docs`` labelled rows are drawn in proportion to their labels, but
+``LABEL_DOCS`` of each label at least, so rare languages are learned too. The sample is drawn by a hash of
+the id, so it is the same on every run; all other steps read all rows.
 
 Defined cases: a text that is null or has no letter gets ``und`` with score 0; without any training
 row every text does; a null id is never held out; labels that are null are not learned; every input
@@ -29,6 +30,8 @@ LETTER = re.compile(r"[^\W\d_]")
 #: Characters that are hashed at once.
 PIECE = 1 << 18
 MAX_LANGUAGES = 1024
+#: Rows of a label that are drawn at least, where it has them.
+LABEL_DOCS = 500
 
 
 def held_out(id_col: str, folds: int = 5) -> Column:
@@ -36,8 +39,11 @@ def held_out(id_col: str, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def grams(text: str, sizes: tuple[int, ...], buckets: int) -> np.ndarray:
-    """Bucket of every n-gram of a piece of lower-case text; digits and other signs are blanks."""
+def grams(text: str, sizes: tuple[int, ...], buckets: int, seen: int = 0) -> np.ndarray:
+    """Bucket of every n-gram of a piece of lower-case text; digits and other signs are blanks.
+
+    N-grams within the first ``seen`` characters, those of the piece before, don't count again.
+    """
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     codes = np.where((codes < 65) | ((codes > 90) & (codes < 97)) | ((codes > 122) & (codes < 192)), np.uint64(32), codes)
     out = []
@@ -48,25 +54,32 @@ def grams(text: str, sizes: tuple[int, ...], buckets: int) -> np.ndarray:
                 h ^= codes[i : len(codes) - n + 1 + i]
                 h *= np.uint64(0x100000001B3)
                 h ^= h >> np.uint64(29)
-            out.append((h % np.uint64(buckets)).astype(np.int32))
+            out.append((h[max(0, seen - n + 1) :] % np.uint64(buckets)).astype(np.int32))
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
-def pieces(text: str, sizes: tuple[int, ...]) -> Iterator[str]:
+def pieces(text: str, sizes: tuple[int, ...]) -> Iterator[tuple[str, int]]:
     """The lower-case text in pieces that overlap by the longest n-gram less one character, so that
-    n-grams over a cut count (shorter ones within the overlap count twice)."""
+    n-grams over a cut count, and how many characters of each were in the piece before."""
     text = text.lower()
     over = max(sizes) - 1
     for start in range(0, max(1, len(text)), PIECE):
-        yield text[max(0, start - over) : start + PIECE]
+        seen = min(start, over)
+        yield text[start - seen : start + PIECE], seen
 
 
 def train(docs: DataFrame, label_col: str, id_col: str, text_col: str, sizes: tuple[int, ...], buckets: int, train_docs: int) -> tuple[list[str], np.ndarray]:
     """Labels in order, and log-probabilities (buckets + 1 x labels; the last row has the priors)."""
     rows = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    n = rows.count()
+    sizes_of = {r[0]: r[1] for r in rows.groupBy(F.col(label_col).cast("string")).count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes_of) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels")
+    n = sum(sizes_of.values())
     if n > train_docs:
-        rows = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * train_docs / n))
+        # In millionths, by label.
+        share = {x: min(1_000_000, int(1_000_000 * max(train_docs / n, LABEL_DOCS / m))) for x, m in sizes_of.items()}
+        table = F.create_map(*(F.lit(v) for pair in share.items() for v in pair))
+        rows = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.element_at(table, F.col(label_col).cast("string")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -76,8 +89,8 @@ def train(docs: DataFrame, label_col: str, id_col: str, text_col: str, sizes: tu
                 if len(sums) > MAX_LANGUAGES:
                     raise ValueError(f"more than {MAX_LANGUAGES} labels")
                 own[buckets] += 1
-                for piece in pieces(text, sizes):
-                    own[:buckets] += np.bincount(grams(piece, sizes, buckets), minlength=buckets)
+                for piece, seen in pieces(text, sizes):
+                    own[:buckets] += np.bincount(grams(piece, sizes, buckets, seen), minlength=buckets)
         for label, own in sums.items():
             at = np.flatnonzero(own)
             yield pa.record_batch([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], ["label", "bucket", "n"])
@@ -106,8 +119,8 @@ def scorer(model, sizes: tuple[int, ...], buckets: int):
         for i, text in enumerate(texts):
             if text is None or not LETTER.search(text) or not names:
                 continue
-            for piece in pieces(text, sizes):
-                hashed.append(grams(piece, sizes, buckets))
+            for piece, seen in pieces(text, sizes):
+                hashed.append(grams(piece, sizes, buckets, seen))
                 owner.append(i)
         filled = [(h, i) for h, i in zip(hashed, owner, strict=True) if len(h)]
         if filled:

@@ -19,6 +19,7 @@ at.
 from __future__ import annotations
 
 import re
+import json
 import struct
 import unicodedata
 import zlib
@@ -29,11 +30,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialise
+from .common import by_bytes, materialise, parallelism
 
-SALTS = 64
+#: A length's pieces are numbered by so many tasks, more with more tasks; the table of lengths and salts stays small.
+SALTS, MOST_SALTS = 64, 1024
 REMEMBERED = 400_000
 
+# What a tokenizer file says whose texts can be encoded word by word.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PIECE}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 
 class WordTokenizer:
     """Ids of whole texts by a `tokenizers` file whose pieces never hold white space.
@@ -57,7 +70,11 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        with open(path, encoding="utf-8") as file:
+            own = json.load(file)
+        #: Whether the file asks for just what encode() does by words; else the library encodes whole texts.
+        self.by_words = own["normalizer"] == NORMALIZER and own["pre_tokenizer"] == PRE_TOKENIZER and all(t["content"].startswith("<|") for t in own["added_tokens"])
+        self.pieces = regex.compile(PIECE)
         # The byte alphabet: printable bytes stand for themselves, the others for characters from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
@@ -93,7 +110,7 @@ class WordTokenizer:
     known: Known | None = None
 
     def encode(self, text: str) -> bytes:
-        if self.ODD.search(text):
+        if not self.by_words or self.ODD.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.known is None or len(self.known) > REMEMBERED:
             self.known = self.Known(self)
@@ -195,10 +212,11 @@ def placement(patterns: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to rows with a `length` of 1 to ``capacity``."""
     spark = pieces.sparkSession
+    salts = min(MOST_SALTS, max(SALTS, parallelism(pieces)))
     # Rows are written once: numbering must see the same rows each time.
-    rows = materialise(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")))
-    table = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most capacity x SALTS rows
-    by_salt = np.zeros((capacity + 1, SALTS), np.int64)
+    rows = materialise(pieces.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")))
+    table = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most capacity x MOST_SALTS rows
+    by_salt = np.zeros((capacity + 1, salts), np.int64)
     by_salt[table.column("length").to_numpy(), table.column("salt").to_numpy()] = table.column("n").to_numpy()
     before = np.cumsum(by_salt, axis=1) - by_salt
     sent = spark.sparkContext.broadcast((before, placement(best_two_fit(by_salt.sum(1), capacity))))

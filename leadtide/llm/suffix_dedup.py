@@ -38,14 +38,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_bytes, materialise, materialise_alone, parallelism, shared_dir
+from .common import by_bytes, current_scratch, free_names, materialise, materialise_alone, parallelism, shared_top, with_salts
 
 GRAM = 32
 #: Classes of starts within the range of an anchor.
 CLASSES = 4
 #: Ranges with one core that a task may index; cores with more are counted by hash.
 HOT = 4096
-SALTS = 32
 #: Bytes that are indexed at once.
 INDEX_BYTES = 1 << 20
 
@@ -117,9 +116,9 @@ def index_repeats(pieces: list[bytes], least: int) -> list[np.ndarray]:
         rank = ranks[-1]
         ahead = np.zeros(n, np.int64)
         ahead[: n - step] = rank[step:] + 1
-        key = rank * (int(rank.max()) + 2) + ahead
+        key = rank.astype(np.int64) * (int(rank.max()) + 2) + ahead
         order = np.argsort(key)
-        fresh = np.empty(n, np.int64)
+        fresh = np.empty(n, np.int32)
         ordered = key[order]
         fresh[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         step *= 2
@@ -169,10 +168,11 @@ def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
     rows = rows.withColumn("cls", content_class("data"))
     once = rows.groupBy("cls").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("copies"))
     name = f"leadtide_{uuid.uuid4().hex}"
-    path = shared_dir(spark)
+    scratch = current_scratch(spark)
+    path = f"{shared_top(spark)}/{name}"
+    scratch.own.append(path)
+    scratch.tables[path] = name
     once.write.bucketBy(parallelism(docs), "cls").option("path", path).saveAsTable(name)
-    Scratch.kept.append(path)
-    Scratch.tables[path] = name
     return spark.table(name)
 
 
@@ -308,7 +308,7 @@ def whole_signs(data: bytes, start: int, end: int) -> tuple[int, int]:
 
 
 def cleaned(docs: DataFrame, text_col: str = "text", least: int = 200, with_text: bool = False) -> DataFrame:
-    """cls, n_bytes, n_removed, n_spans, kept_sha256 and with with_text what is left: a row a class.
+    """cls, n_bytes, n_removed, n_spans, kept_sha256, copies and with with_text what is left: a row a class.
 
     The text left keeps signs that a span covers in part; null where nothing was removed.
     """
@@ -316,7 +316,7 @@ def cleaned(docs: DataFrame, text_col: str = "text", least: int = 200, with_text
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "data"):
-            out: dict[str, tuple[list, pa.DataType]] = {"cls": ([], pa.binary()), "n_bytes": ([], pa.int64()), "n_removed": ([], pa.int64()), "n_spans": ([], pa.int64()), "kept_sha256": ([], pa.string())}
+            out: dict[str, tuple[list, pa.DataType]] = {"cls": ([], pa.binary()), "n_bytes": ([], pa.int64()), "n_removed": ([], pa.int64()), "n_spans": ([], pa.int64()), "kept_sha256": ([], pa.string()), "copies": ([], pa.int64())}
             if with_text:
                 out["left"] = ([], pa.string())
             for cls, data, copies, found in zip(*(batch.column(k).to_pylist() for k in ("cls", "data", "copies", "spans")), strict=True):
@@ -341,28 +341,26 @@ def cleaned(docs: DataFrame, text_col: str = "text", least: int = 200, with_text
                         signs.append(data[at:start])
                         at = end
                     left = b"".join([*signs, data[at:]]).decode("utf-8", "replace")
-                for k, v in zip(out, (cls, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), left), strict=False):
+                for k, v in zip(out, (cls, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), copies, left), strict=False):
                     out[k][0].append(v)
             yield _frame(out)
 
-    schema = "cls binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", left string" * with_text
+    schema = "cls binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, copies long" + ", left string" * with_text
     return texts.join(spans, "cls", "left").select("cls", "data", "copies", "spans").mapInArrow(apply, schema)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of ``docs``."""
-    return docs.select(F.col(id_col).alias("doc_id"), content_class_of(docs, text_col)).transform(lambda rows: with_class(rows, materialise_alone(lambda: cleaned(docs, text_col, least)))).drop("cls")
+    rows = docs.select(F.col(id_col).alias("doc_id"), content_class_of(text_col).alias("cls"))
+    classes = materialise_alone(docs.sparkSession, lambda: cleaned(docs, text_col, least))
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    # A class may hold a third of all rows.
+    rows, classes = with_salts(rows, classes, ["cls"], "copies", total)
+    return rows.join(classes, ["cls", "__salt"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def content_class_of(docs: DataFrame, text_col: str):
-    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)), 1, 16).alias("cls")
-
-
-def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows with what is known of their class; a class may hold a third of all rows, so it is salted."""
-    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "cls"]), F.lit(SALTS)).cast("int")
-    spread = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", salt).join(spread.hint("merge"), ["cls", "salt"]).drop("salt")
+def content_class_of(text_col: str):
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)), 1, 16)
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", least: int = 200) -> DataFrame:
@@ -370,10 +368,10 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | N
 
     length_col: a column with the text's length in signs, which follows the new text.
     """
-    left = materialise_alone(lambda: cleaned(docs, text_col, least, with_text=True).filter("left IS NOT NULL").select(F.col("cls").alias("__cls"), F.col("left").alias("__left")))
-    cls = F.substring(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)), 1, 16)
-    joined = docs.join(left.hint("merge"), cls == F.col("__cls"), "left").filter("__left IS NULL OR __left <> ''")
-    text = F.coalesce("__left", text_col)
-    length = {length_col: F.when(F.col("__left").isNotNull(), F.length("__left")).otherwise(F.col(length_col))} if length_col in docs.columns else {}
+    cls, new = free_names(docs, "cls", "left")
+    left = materialise_alone(docs.sparkSession, lambda: cleaned(docs, text_col, least, with_text=True).filter("left IS NOT NULL").select(F.col("cls").alias(cls), F.col("left").alias(new)))
+    joined = docs.join(left.hint("merge"), content_class_of(text_col) == F.col(cls), "left").filter(F.col(new).isNull() | (F.col(new) != ""))
+    text = F.coalesce(new, text_col)
+    length = {length_col: F.when(F.col(new).isNotNull(), F.length(new)).otherwise(F.col(length_col))} if length_col in docs.columns else {}
     columns = [length.get(c, F.col(c)).cast(docs.schema[c].dataType).alias(c) if c != text_col else text.alias(c) for c in docs.columns]
     return joined.select(*columns)

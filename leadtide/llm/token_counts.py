@@ -2,16 +2,20 @@
 
 A text is cut before spaces, where byte-level pre-tokenisation always starts a new piece: at a space
 after a non-space, or at the last space of a run before a non-space. Both are safe: no piece crosses
-them, so the counts of the parts add up. The distinct parts of a batch that were not counted yet are
-encoded together, in calls of about as many bytes each. Texts with runs of white space or special
-strings, where a cut could change the result, are encoded whole.
-
-Defined cases: a null text counts as empty (0 bytes, 0 tokens); every input row gives one output row;
-other columns are not looked at.
+them, so the counts of the parts add up. Texts with longer runs of white space are cut at the single
+spaces between other signs only, so a run stays within a part. Special strings without white space
+lie within a part as well. The distinct parts of a batch that were not counted yet are encoded together,
+in calls of about as many bytes each. A file with a normaliser, another pre-tokeniser, or special
+strings that take white space in is used by whole texts.
+
+Defined cases: a null text counts as empty (0 bytes, 0 tokens); every input row, repeated ones too, gives
+one output row; an empty table gives an empty result; other columns are not looked at. A part, the text
+between two safe spaces, is encoded in one call however long it is.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes
 
 UNSAFE = re.compile(r"\s (?:\s|$)")
+SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Counts that a worker remembers, and the longest part that it remembers.
 REMEMBERED, LONGEST = 400_000, 48
 
@@ -38,7 +43,12 @@ class Counter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as file:
+            own = json.load(file)
+        before = own["pre_tokenizer"] or {}
+        plain = not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in own["added_tokens"])
+        #: Whether parts between safe spaces can be counted by themselves.
+        self.parted = plain and own["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
         self.known: dict[str, int] = {}
 
     @classmethod
@@ -51,7 +61,7 @@ class Counter:
         out: list[int] = []
         start, total = 0, 0
         for i, text in enumerate(texts):
-            total += len(text)
+            total += len(text) if text.isascii() else len(text.encode())
             if total >= call_bytes or i + 1 == len(texts):
                 out += [len(e) for e in self.tokenizer.encode_batch_fast(texts[start : i + 1], add_special_tokens=False)]
                 start, total = i + 1, 0
@@ -60,11 +70,11 @@ class Counter:
     def count(self, texts: list[str]) -> list[int]:
         whole, parts = [], []
         for i, text in enumerate(texts):
-            if UNSAFE.search(text) or any(s in text for s in self.special):
+            if not self.parted:
                 whole.append(i)
                 parts.append(None)
             else:
-                first, *rest = text.split(" ")
+                first, *rest = SAFE.split(text) if UNSAFE.search(text) else text.split(" ")
                 parts.append((first, rest))
         known = self.known
         if len(known) > REMEMBERED:

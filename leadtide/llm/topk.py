@@ -6,13 +6,16 @@ Schwarz on the remaining mass of both vectors) is below the k-th best sure score
 survivors are compacted. Scores are integers, so results are exact.
 
 Queries are dealt into blocks of bounded size by a hash of their id. Each block is broadcast and the
-candidates are scanned once for it; every batch of candidates gives at most k rows a query, and a
-second step ranks them.
+candidates are scanned once for it; a task carries the k-th best score of a query from one batch of
+candidates to the next, as a floor for the bounds, and gives at most k rows a query at its end; a second
+step ranks them. Where there are several blocks, each one's result is written and its broadcast released
+before the next, so the driver holds one block at a time.
 
 Defined cases: vectors that are null or empty or hold null or non-finite components take no part, neither do
 rows without an id; the query's own row is known by its id, so rows that repeat the id are left out for
 that query too, and of rows that repeat a query's id the least vector asks; vectors of different lengths are not compared; ties go to the smaller id; fewer
-candidates than k give all of them; an empty table gives an empty result.
+candidates than k give all of them; components are exact up to 2 ** 53 / scale in size; repeated rows are
+candidates each; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,28 +29,35 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Queries of a block: with 1000 dimensions of 8 bytes, 16 MB at most are broadcast.
 BLOCK_QUERIES = 2048
 BLOCK_DIMS = 16
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK_DIMS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its id, and ids and scores of its best k rows of ``data`` (n x dims, int64)."""
+def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK_DIMS, floors: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its id, and ids and scores of its best k rows of ``data`` (n x dims, int64).
+
+    floors: for each query a score; rows below it may be left out.
+    """
     dims = data.shape[1]
     columns = np.ascontiguousarray(data.T)
     edges = [*range(0, dims, block), dims] if dims else [0]
     # Remaining mass of every row and query after each block; rounded up, so the bound holds.
     rest = [np.sqrt((columns[e:].astype(np.float64) ** 2).sum(0)) for e in edges[1:]]
-    for q, own in zip(queries, query_ids, strict=True):
+    if floors is None:
+        floors = np.full(len(queries), np.iinfo(np.int64).min)
+    for q, own, floor in zip(queries, query_ids, floors.astype(np.float64), strict=True):
         alive = np.flatnonzero(ids != own)
         score = np.zeros(len(alive), np.int64)
         for b in range(len(edges) - 1):
             low, high = edges[b], edges[b + 1]
             part = columns[low:high] if len(alive) == data.shape[0] else columns[low:high, alive]
             score = score + q[low:high] @ part
-            if high < dims and len(alive) > k:
+            if high < dims and (len(alive) > k or floor > -1e18):
                 bound = rest[b][alive] * math.sqrt(float((q[high:].astype(np.float64) ** 2).sum())) * (1 + 1e-9) + 1
-                sure = np.partition(score - bound, len(alive) - k)[len(alive) - k]
+                sure = max(floor, np.partition(score - bound, len(alive) - k)[len(alive) - k] if len(alive) > k else floor)
                 keep = score + bound >= sure
                 alive, score = alive[keep], score[keep]
         if len(alive) > k:
@@ -78,6 +88,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     queries = queries.groupBy("id").agg(F.min(F.struct("dims", "v")).alias("q")).select("id", "q.dims", "q.v")
     blocks = max(1, math.ceil(queries.count() / block_queries))
     spark = vectors.sparkSession
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     found = None
     for b in range(blocks):
         mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
@@ -98,7 +109,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
                     part = batch.filter(pa.array(dims == n))
                     q_ids, q = sent.value[int(n)]
                     into = best.setdefault(int(n), {})
-                    for at, (_, ids, scores) in enumerate(search(q, q_ids, _dense(part.column("v")), part.column("id").to_numpy(), k)):
+                    floors = np.array([into[at][1][-1] if at in into and len(into[at][1]) == k else np.iinfo(np.int64).min for at in range(len(q_ids))], np.int64)
+                    for at, (_, ids, scores) in enumerate(search(q, q_ids, _dense(part.column("v")), part.column("id").to_numpy(), k, floors=floors)):
                         if at in into:
                             ids, scores = np.concatenate([into[at][0], ids]), np.concatenate([into[at][1], scores])
                             keep = np.lexsort((ids, -scores))[:k]
@@ -111,6 +123,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
                     yield pa.record_batch([pa.array(np.repeat(q_ids[list(into)], sizes), pa.int64()), pa.array(np.concatenate([x[0] for x in into.values()]), pa.int64()), pa.array(np.concatenate([x[1] for x in into.values()]), pa.int64())], ["query_id", "id", "score"])
 
         part = rows.mapInArrow(scan, "query_id long, id long, score long")
+        part = part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+        if blocks > 1:
+            part = materialise(part)
+            sent.destroy()
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return found

@@ -9,9 +9,10 @@ Reading: an archive is a stream of gzip members. Chunks of bytes go through one
 member, the header gives the block's length, and the digests of block and payload are verified. A task
 holds one record at a time.
 
-Defined cases: a null payload is empty; a null id is written without an id and read back as null; rows
-with the same id and payload as the response are responses too; an empty table gives no archives and
-an empty result; other columns are not looked at.
+Defined cases: a null payload is empty; a null id is written without an id and read back as null, and
+such a row revisits the row with the smallest id of its payload (where none has an id all are
+responses); rows with the same id and payload as the response are responses too; an empty table gives
+no archives and an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,10 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialise, shared_dir
+from .common import by_bytes, materialise, shared_dir, with_salts
 
 CHUNK = 1 << 18
-SALTS = 32
 MANIFEST = "path string, n_records long, n_bytes long"
 
 
@@ -40,19 +40,16 @@ def mark_revisits(pages: DataFrame, id_col: str, payload_col: str, least_bytes:
     """Adds `digest` (SHA-256 of the payload, hex) and `refers_to`: of rows with equal payloads of at
     least ``least_bytes`` the smallest id, for the others null.
 
-    Only digests that repeat are joined back, and each of them over salts: a payload may be that of a
+    Only digests that repeat are joined back, and large groups over salts: a payload may be that of a
     third of all rows.
     """
-    rows = pages.withColumn("digest", F.sha2(F.col(payload_col), 256)).withColumn("salt", F.pmod(F.xxhash64(id_col, "uri"), F.lit(SALTS)).cast("int"))
-    first = (
-        rows.filter(F.octet_length(payload_col) >= least_bytes)
-        .groupBy("digest")
-        .agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    again = F.when(F.col("first_id") != F.col(id_col), F.col("first_id"))
-    return rows.join(first, ["digest", "salt"], "left").withColumn("refers_to", again).drop("first_id", "salt")
+    rows = pages.withColumn("digest", F.sha2(F.col(payload_col), 256))
+    again = rows.filter(F.octet_length(payload_col) >= least_bytes).groupBy("digest").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = materialise(again)
+    rows, again = with_salts(rows, again, ["digest"], "n", pages.count())
+    # A row without an id isn't the one with the smallest.
+    refers = F.when(~F.col("first_id").eqNullSafe(F.col(id_col)), F.col("first_id"))
+    return rows.join(again, ["digest", "__salt"], "left").withColumn("refers_to", refers).drop("first_id", "n", "__salt")
 
 
 def record(page_id, uri: str | None, payload: bytes, digest: str, refers_to, date: str) -> bytes:
@@ -177,8 +174,8 @@ def read_archives(manifest: DataFrame, base_uri: str, id_type: str = "bigint", i
                 if held:
                     yield pa.record_batch([pa.array([x[k] for x in held], t) for k, t in zip(names, kinds, strict=True)], names)
 
-    # One archive a task, so that a lost executor costs one archive.
-    spread = manifest.repartition(max(1, manifest.count()), "path")
+    # About one archive a task, dealt in turn, so that a lost executor costs one archive.
+    spread = manifest.repartition(max(1, min(manifest.count(), 1 << 16)))
     found = spread.mapInArrow(read, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string, uri string, block_digest string")
     return found.select(F.col("id").cast(id_type).alias(id_name), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to"), "uri", "block_digest")
 

@@ -44,6 +44,13 @@ def texts(df):
         ("<pre>\n a  b\n  c</pre><blockquote>q</blockquote>", " a  b\n  c\n\n> q"),
         ("1 < 2 &amp; 3 &lt; 4<!-- c --><script>var a='</p>'</script> z<b", "1 < 2 & 3 < 4 z"),
         ("<div>" * 5000 + "deep", "deep"),
+        ("<b><p>x</b>y</p>", "xy"),
+        ("<p>a<b>b<i>c</b>d</i>e", "abcde"),
+        ("<b hidden><p>x</b>y", "y"),
+        ("<b><div><p>x</b>y<p>z", "xy\n\nz"),
+        ("<a><table><tr><td>1</a>2<td>3</table>", "12  3"),
+        ("<details>no<summary>s</summary>no</details><details open>yes</details>", "s\nyes"),
+        ("<input value=v><img alt=no>", "v"),
         ("", ""),
     ],
 )
@@ -80,6 +87,53 @@ def test_page_text_keeps_all_visible_text(spark):
         assert "".join(words) == "".join(w for w in "".join(plain.out).split() if w != "-")
 
 
+def test_html_of_awkward_tables(spark):
+    rows = [(1, None), (2, ""), (3, "<p>a"), (3, "<p>a"), (None, "<b>x")]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumns({"id": F.lit(7), "text": F.lit("other")})
+    found = sorted(((r.page_id or 0, r.text) for r in html_text.html_text(df).collect()))
+    assert found == [(0, "x"), (1, ""), (2, ""), (3, "a"), (3, "a")]
+    assert html_text.html_text(df.filter("false")).count() == 0
+
+
+def test_queries_equal_their_sql(spark):
+    from oracle import compare, duck
+
+    from leadtide.llm import queries
+
+    con = duck(SF)
+    for name, statement in queries.ORACLE_SQL.items():
+        assert compare(queries.QUERIES[name](spark, SF), con, statement) == "", name
+
+
+def test_shared_folder(spark, tmp_path):
+    from leadtide.llm import common
+
+    top = common.shared_top(spark)
+    assert "://" in top or top.startswith("file:/")
+    scratch = common.Scratch(spark)
+    kept, other = scratch.write(spark.range(3)), scratch.write(spark.range(4))
+    scratch.drop_others(kept)
+    assert kept.count() == 3 and len(scratch.own) == 1
+    del other
+
+
+def test_hot_keys_are_spread(spark):
+    from leadtide.llm import common
+
+    rows = spark.range(20_000).select(F.when(F.col("id") < 7000, 0).otherwise(F.col("id")).alias("k"))
+    classes = rows.groupBy("k").count()
+    salted, spread = common.with_salts(rows, classes, ["k"], "count", 20_000)
+    assert salted.filter("k = 0").groupBy("__salt").count().agg(F.max("count")).first()[0] <= 20_000 / 16 + 1
+    assert salted.join(spread, ["k", "__salt"]).count() == 20_000 and spread.filter("k > 0").count() == 13_000
+
+
+def test_warc_of_rows_without_ids(spark):
+    rows = [(2, "b" * 100), (3, "b" * 100), (3, "b" * 100), (None, "b" * 100), (None, "c" * 100), (None, "c" * 100)]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumns({"url": F.lit("u"), "digest": F.lit("x"), "n": F.lit(1), "uri": F.lit(2), "__salt": F.lit(3)})
+    found = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.warc_round_trip(df).collect())
+    assert found == [(0, "response", None), (0, "response", None), (0, "revisit", 2), (2, "response", None), (3, "revisit", 2), (3, "revisit", 2)]
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(1, "u", "a" * 200), (2, None, "a" * 200), (3, "u\r\nX: y", None), (4, "u", "é" * 60), (5, "u", "short"), (6, "u", "short")], "page_id long, url string, html string")
     found = {r.page_id: r for r in warc.warc_round_trip(pages).collect()}
@@ -107,6 +161,42 @@ def test_language_on_held_out_rows(docs, awkward):
     assert language_id.language_id(awkward.filter("false")).count() == 0
 
 
+def test_language_against_plain_bayes(spark, monkeypatch):
+    """The same n-grams counted and added up in plain Python, with pieces so short that texts are cut."""
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(language_id, "PIECE", 7)
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choice("abcd" if i % 3 else "cdef") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 9))), "x" if i % 3 else "y") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(1)
+    docs = df.collect()
+    # A worker has its own copy of the module, so the functions are called here.
+    counts = {"x": Counter(), "y": Counter()}
+    n_docs = Counter()
+    known = [r for r in docs if zlib.crc32(str(r.doc_id).encode()) % 5]
+    plain = lambda t: [int(g) for n in (1, 2, 3) for s in range(len(t) - n + 1) for g in language_id.grams(t[s : s + n], (n,), 512)]
+    for r in known:
+        counts[r.lang].update(plain(r.text))
+        n_docs[r.lang] += 1
+        cut = [int(g) for piece, seen in language_id.pieces(r.text, (1, 2, 3)) for g in language_id.grams(piece, (1, 2, 3), 512, seen)]
+        assert sorted(cut) == sorted(plain(r.text))
+    want = {}
+    for r in docs:
+        sums = {x: math.log(n_docs[x] / len(known)) + sum(math.log(counts[x][g] + 0.5) - math.log(sum(counts[x].values()) + 256) for g in plain(r.text)) for x in "xy"}
+        best = max(sums, key=lambda x: (sums[x], x == "x"))
+        want[r.doc_id] = (best, 1 / sum(math.exp(v - sums[best]) for v in sums.values()))
+    for r in language_id.language_id(df, buckets=512).collect():
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-3
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "aaaa bbbb", "x") for i in range(3000)] + [(5000 + i, "zzzz yyyy", "rare") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.lang_pred for r in language_id.language_id(df, train_docs=50).filter("doc_id >= 5000").collect()}
+    assert found == {"rare"}
+
+
 def brute_components(rows, n, num, den):
     sets = []
     for _, text in rows:
@@ -153,11 +243,36 @@ def test_jaccard_on_documents_and_awkward_rows(docs, awkward):
     found = jaccard_join.jaccard_components(docs, 3, 90, 100)
     assert sorted(map(tuple, found.collect())) == brute_components(texts(docs), 3, 90, 100)
     rows = jaccard_join.jaccard_components(awkward).collect()
-    assert len(rows) == len(AWKWARD)
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [(1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3), (4, 1, 4), (None, 1, None), (5, 1, 5), (6, 1, 6), (7, 1, 7)]))
     assert jaccard_join.without_near_copies(awkward).columns == awkward.columns
     assert jaccard_join.jaccard_components(awkward.filter("false")).count() == 0
 
 
+def test_jaccard_of_a_large_group(spark, monkeypatch):
+    """Near copies of one text, some too far for a link, and a phrase in all others; few comparisons are allowed, so leaders take turns."""
+    monkeypatch.setattr(jaccard_join, "COMPARISONS", 1)
+    rng = random.Random(11)
+    word = lambda: f"{rng.choice('bcdfgh')}{rng.randrange(500)}"
+    base, phrase = [word() for _ in range(90)], [word() for _ in range(12)]
+    rows = []
+    for i in range(300):
+        own = list(base) if i % 3 else [word() for _ in range(60)] + phrase
+        for _ in range(rng.randrange(1, 7) if i % 3 else 0):
+            own[rng.randrange(len(own))] = word()
+        rows.append((i, " ".join(own)))
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == brute_components(rows, 5, 80, 100)
+
+
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(1)
+    for n in (5, 100, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n * 3 // 4], rng.integers(0, 1 << 63, n // 4, dtype=np.uint64)]))
+        differ = int(sum(int(x).bit_count() for x in (jaccard_join.sketch(a) ^ jaccard_join.sketch(b)).view(np.uint64)))
+        assert differ <= len(np.setxor1d(a, b)) and (n > 1000 or differ > 0.8 * len(np.setxor1d(a, b)))
+
+
 def test_top_k_against_brute_force(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     odd = spark.createDataFrame([(10_000, None), (10_100, [float("nan")] * 4), (10_200, [1.0, None, 2.0, 3.0]), (10_300, []), (10_400, [float("inf")] * 4)], "vec_id long, embedding array<float>")
@@ -172,6 +287,26 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(df.filter("false"), F.col("vec_id") % 100 == 0, 10).count() == 0
 
 
+def test_top_k_of_ties_repeats_and_several_blocks(spark):
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(3 if i % 7 else 40)]) for i in range(400)]
+    rows += [(5, rows[5][1]), (11, rows[3][1]), (None, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit(0), "dims": F.lit(1), "v": F.lit(2), "rank": F.lit(3), "score": F.lit(4), "query_id": F.lit(5)})
+    want = []
+    for q, x in {q: min(v for i, v in rows if i == q) for q, _ in rows if q is not None and q % 10 == 0}.items():
+        ranked = sorted((-sum(int(1024 * a) * int(1024 * b) for a, b in zip(x, y, strict=True)), i) for i, y in rows if i is not None and i != q and len(y) == len(x))[:6]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(ranked)]
+    for blocks in (2048, 7):
+        found = topk.top_k(df.repartition(3), F.col("vec_id") % 10 == 0, 6, block_queries=blocks)
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()) == sorted(want)
+    # A floor from earlier batches drops nothing that counts.
+    data = np.array([[rng.randrange(-50, 50) for _ in range(48)] for _ in range(300)])
+    for k in (1, 5):
+        free = [list(zip(a.tolist(), b.tolist(), strict=True)) for _, a, b in topk.search(data[:20], np.arange(20), data, np.arange(300), k)]
+        floors = np.array([x[-1][1] for x in free])
+        assert free == [list(zip(a.tolist(), b.tolist(), strict=True)) for _, a, b in topk.search(data[:20], np.arange(20), data, np.arange(300), k, floors=floors)]
+
+
 def test_packing_fills_sequences_without_gaps(docs, awkward):
     from tokenizers import Tokenizer
 
@@ -209,6 +344,54 @@ def test_best_two_fit_uses_every_document_once():
     assert (used == counts).all()
 
 
+def test_best_two_fit_against_a_plain_one():
+    """Bin by bin over a list of documents: greedily the longest that fits, then its smallest for the two that fit best."""
+    rng = random.Random(8)
+    for _ in range(60):
+        capacity = rng.randrange(5, 60)
+        sizes = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 80))]
+        left, bins = sorted(sizes, reverse=True), []
+        while left:
+            own, gap = [], capacity
+            for x in list(left):
+                if x <= gap:
+                    own.append(x)
+                    left.remove(x)
+                    gap -= x
+            if gap and own:
+                room = gap + own[-1]
+                pairs = [left[i] + left[j] for i in range(len(left)) for j in range(i)]
+                best = max((p for p in pairs if p <= room), default=0)
+                if best > own[-1]:
+                    i, j = next((i, j) for i in range(len(left)) for j in range(i) if left[i] + left[j] == best)
+                    left.append(own.pop())
+                    two = left[i], left[j]
+                    for x in two:
+                        left.remove(x)
+                    own += two
+                    left.sort(reverse=True)
+            bins.append(own)
+        found = packing.best_two_fit(np.bincount(sizes, minlength=capacity + 1), capacity)
+        assert sorted(x for own, n in found for x in own * n) == sorted(sizes)
+        # Pairs of one total may differ, so the number of bins may by few.
+        assert abs(sum(n for _, n in found) - len(bins)) <= 1 + len(bins) // 20
+
+
+def test_packing_with_another_tokenizer_file(tmp_path):
+    """A file whose text handling isn't the one that is done by words is used by the library as a whole."""
+    import json
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = json.load(open(path, encoding="utf-8"))
+    own["normalizer"] = {"type": "NFC"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(own), encoding="utf-8")
+    tokenizer = packing.WordTokenizer.of(str(other))
+    text = "Some WORDS, é  1234"
+    assert not tokenizer.by_words and np.frombuffer(tokenizer.encode(text), "<u4").tolist() == tokenizer.whole.encode(text, add_special_tokens=False).ids
+    assert packing.WordTokenizer.of(path).by_words
+
+
 def test_bpe_tree_equals_the_library(docs, awkward):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     for leaf in (2, 7, 64):
@@ -220,6 +403,8 @@ def test_bpe_tree_equals_the_library(docs, awkward):
     for df in (docs, awkward):
         want = {(d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in texts(df) for ids in [tree.encoding.encode_ordinary(t or "")]}
         assert set(map(tuple, bpe_tree.bpe_round_trip(df, path, public_tokenizers.PATTERN).collect())) == want
+        assert bpe_tree.bpe_round_trip(df, path, public_tokenizers.PATTERN).count() == df.count()
+    assert bpe_tree.bpe_round_trip(docs.filter("false"), path, public_tokenizers.PATTERN).count() == 0
 
 
 def brute_repeats(values, least):
@@ -235,7 +420,9 @@ def brute_repeats(values, least):
     return gone
 
 
-def test_suffix_dedup_against_brute_force(spark, docs):
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_suffix_dedup_against_brute_force(spark, docs, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(1)
     passage = "".join(rng.choice("abcdef ") for _ in range(500))
     rows = texts(docs)[:60] + [(9000 + i, "".join(rng.choice("xyz ") for _ in range(150)) + passage[i : 300 + 9 * i] + str(i) * 3) for i in range(12)]
@@ -254,6 +441,8 @@ def test_suffix_stage_keeps_whole_signs(awkward):
     assert left.filter("doc_id = 6").count() == 0  # one passage again and again: nothing is left
     assert suffix_dedup.suffix_dedup(awkward.filter("false")).count() == 0
     assert suffix_dedup.whole_signs("aé漢b".encode(), 2, 5) == (3, 3)
+    found = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(awkward).collect())
+    assert found == sorted((str(d), len((t or "").encode()), *((90_000, 1) if d == 6 else (0, 0))) for d, t, _ in AWKWARD)
 
 
 def test_exact_dedup_groups(spark, awkward):
@@ -277,6 +466,19 @@ def test_token_counts_equal_the_library(docs, awkward):
     for df in (docs, awkward):
         want = sorted((str(d), len((t or "").encode()), n, n > 512) for d, t in texts(df) for n in [len(tokenizer.encode(t or "", add_special_tokens=False).ids)])
         assert sorted((str(r[0]), *r[1:]) for r in map(tuple, token_counts.token_counts(df, path, 512).collect())) == want
+    assert token_counts.token_counts(docs.filter("false"), path, 512).count() == 0
+
+
+def test_token_counts_of_texts_with_blanks_and_special_strings():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, counter = Tokenizer.from_file(path), token_counts.Counter(path)
+    assert counter.parted
+    rng = random.Random(4)
+    signs = [" ", " ", "  ", "   ", "\n", "\t", "a", "don't", "é", "漢", "12", "!?", "<|endoftext|>", "<|", "\u00a0", "\u3000", "\x1c", "\x85", "it's"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(0, 30))) for _ in range(4000)]
+    assert counter.count(texts) == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_pipeline_stages(spark):
@@ -295,5 +497,13 @@ def test_pipeline_stages(spark):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * sizes[0]
     # Exact and near copies are gone.
     assert docs.select("doc_id").distinct().count() == docs.count()
+    odd = spark.createDataFrame(AWKWARD, "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "n_chars": F.lit(0), "cls": F.lit(3), "__id": F.lit(4), "sid": F.lit(5), "salt": F.lit(6)})
+    for start in (odd, odd.filter("false")):
+        left = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = materialise(stage(spark, left, SF))
+            assert left.columns == start.columns
+        assert {r.doc_id for r in left.collect()} <= {3, 4, 5, None}
+        assert corpus_pipeline.STAGES[-1][1](spark, left, SF).count() == left.count()
     packed = corpus_pipeline.run(spark, SF)
     assert packed.select("doc_id").distinct().count() == docs.count()
