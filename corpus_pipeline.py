@@ -11,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadtide.llm.common import materialise, read
+from leadtide.llm.common import Scratch, alone, read
 from leadtide.llm.exact_dedup import without_copies
 from leadtide.llm.jaccard_join import without_near_copies
 from leadtide.llm.language_id import known_language
@@ -55,7 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """All stages. What a stage wrote goes when its result is written, and its input with it.
+
+    Null ids, texts and other columns, repeated rows, tables without rows and columns of any name pass
+    through as the stages' docstrings say; rows with a null or empty text go in the first stage.
+    """
+    docs, kept = read(spark, sf_dir, "documents"), Scratch(spark)
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with alone(spark):
+            after = kept.write(stage(spark, docs, sf_dir))
+        kept.drop_others(after)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
