@@ -12,8 +12,8 @@ class Config:
     target_days: int = 30
     max_lead: int = 59
     #: Demand that a group needs for a completion curve of its own.
-    min_city_support: int = 10_000
-    min_province_support: int = 200_000
+    min_city_support: int = 20_000
+    min_province_support: int = 50_000
     min_fraction: float = 0.005
     prior_window_days: int = 120
     history_days: int = 752
@@ -46,5 +46,8 @@ class Config:
 
 
 DEFAULT = Config()
+#: What queries run with: a city of the test tables has a demand of about 15,000 at every scale and a province of a
+#: multiple of 50,000 that differs by scale, so curves of all three levels occur with these supports.
+TABLES = Config(min_city_support=10_000, min_province_support=200_000)
 #: Added to divisors of feature ratios.
 EPS = 1e-6

@@ -1,9 +1,10 @@
 """What was known when: as-of sums, complete grids, and the lead-time state of a pair.
 
 The lead-time state is the centre of the two-clock core. One grouping turns the log into a row for each
-(city, check-in) with `daily`, the counts of every lead time, and `cum`, their sums from a lead time on.
-Then demand seen h days ahead is cum[h], the final demand is cum[0], and what came in within w days is
-cum[h] - cum[h + w]: features of any horizon are array lookups without another shuffle.
+(city, check-in) with `daily`, the counts of every lead time, `cum`, their sums from a lead time on, and
+`tail`, what else is known of the days from a lead time on. Then demand seen h days ahead is cum[h], the
+final demand is cum[0], and what came in within w days is cum[h] - cum[h + w]: features of any horizon
+are array lookups without another shuffle or another walk over the days.
 """
 
 from __future__ import annotations
@@ -50,16 +51,14 @@ def target_grid(log: Log) -> DataFrame:
 
 def forecast_grid(log: Log) -> DataFrame:
     """The target grid with `observed`, the demand seen by the cutoff."""
-    seen = log.evaluation.groupBy(*FOLD_PAIR).agg(F.sum("search_count").alias("observed"))
+    seen = log.windows.drop("actual")
     return target_grid(log).join(seen, FOLD_PAIR, "left").withColumn("observed", F.coalesce("observed", F.lit(0).cast("long")))
 
 
 def fold_frame(log: Log) -> DataFrame:
-    """The grid with `actual` too, what its pairs came to in the end: one grouping for both sums."""
-    known = F.when(F.col("log_date") <= F.col("fold_cutoff"), F.col("search_count"))
-    sums = log.target.groupBy(*FOLD_PAIR).agg(F.sum(known).alias("observed"), F.sum("search_count").alias("actual"))
+    """The grid with `actual` too, what its pairs came to in the end."""
     zero = F.lit(0).cast("long")
-    return target_grid(log).join(sums, FOLD_PAIR, "left").withColumns({"observed": F.coalesce("observed", zero), "actual": F.coalesce("actual", zero)})
+    return target_grid(log).join(log.windows, FOLD_PAIR, "left").withColumns({"observed": F.coalesce("observed", zero), "actual": F.coalesce("actual", zero)})
 
 
 def bucket_label(horizon: Column, buckets: tuple[tuple[int, int], ...], other: str | None) -> Column:
@@ -98,8 +97,15 @@ def annotate(frame: DataFrame, cfg: Config, by: tuple[str, ...] = ("fold_cutoff"
     return demand_bucket(out, "actual", cfg.demand_quantiles, list(by))
 
 
+def nothing() -> Column:
+    """The tail of a pair from a lead time on from which nothing came in."""
+    count = F.lit(0).cast("long")
+    return F.struct(count.alias("cum"), F.lit(0).alias("days"), F.lit(None).cast("int").alias("first"), count.alias("top"), F.lit(0.0).alias("squares"))
+
+
 def lead_state(events: DataFrame, keys: list[str], slots: int = 60) -> DataFrame:
-    """keys, daily (array of ``slots`` counts by lead time), cum (slots + 1 sums from a lead time on).
+    """keys, daily (array of ``slots`` counts by lead time), cum (slots + 1 sums from a lead time on), tail
+    (as many structs: days with any count from a lead time on, their least lead, greatest count, sum of squares).
 
     Lead times outside 0 .. slots - 1 are left out. A group's list has ``slots`` entries at most.
     """
@@ -107,15 +113,27 @@ def lead_state(events: DataFrame, keys: list[str], slots: int = 60) -> DataFrame
     grouped = long.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("days_to_checkin", "_n"))).alias("_m"))
     zero = F.lit(0).cast("long")
     daily = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda d: F.coalesce(F.try_element_at("_m", d), zero))
-    cum = F.aggregate(F.reverse("daily"), F.array(zero), lambda acc, x: F.concat(F.array(x + acc[0]), acc))
-    return grouped.select(*keys, daily.alias("daily")).withColumn("cum", cum)
+
+    def before(acc: Column, d: Column) -> Column:
+        n, next_ = F.coalesce(F.try_element_at("_m", d), zero), acc[0]
+        own = F.struct(
+            (next_["cum"] + n).alias("cum"),
+            (next_["days"] + (n > 0).cast("int")).alias("days"),
+            F.when(n > 0, d).otherwise(next_["first"]).alias("first"),
+            F.greatest(next_["top"], n).alias("top"),
+            (next_["squares"] + n.cast("double") * n).alias("squares"),
+        )
+        return F.concat(F.array(own), acc)
+
+    tail = F.aggregate(F.sequence(F.lit(slots - 1), F.lit(0), F.lit(-1)), F.array(nothing()), before)
+    return grouped.select(*keys, daily.alias("daily"), tail.alias("tail")).withColumn("cum", F.col("tail")["cum"])
 
 
 def pair_state(grid: DataFrame, events: DataFrame, slots: int = 60) -> DataFrame:
     """The lead-time state of every pair of a grid; pairs without events have zeros."""
     zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
     state = grid.join(lead_state(events, PAIR, slots), PAIR, "left")
-    return state.withColumns({"daily": F.coalesce("daily", zeros(slots)), "cum": F.coalesce("cum", zeros(slots + 1))})
+    return state.withColumns({"daily": F.coalesce("daily", zeros(slots)), "cum": F.coalesce("cum", zeros(slots + 1)), "tail": F.coalesce("tail", F.array_repeat(nothing(), slots + 1))})
 
 
 def seen(cum: Column | str, horizon: Column, slots: int = 60) -> Column:

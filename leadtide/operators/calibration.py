@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,12 +26,37 @@ def scaled(observed: Column, predicted: Column, alpha: Column) -> Column:
 
 def best_alpha(frame: DataFrame, *by: str) -> DataFrame:
     """by, alpha (the factor with the least absolute error, the smaller of equals), unbiased (matches
-    the totals), demand. All errors of a group are summed in one pass, as an array over the factors;
-    errors are compared to six decimals, so the order of summation doesn't choose."""
+    the totals), demand.
+
+    A row's error is piecewise linear in the factor, with its kink at (actual - observed) / remainder. So
+    rows are summed by the first factor at or above their kink, and errors of all factors follow from
+    these at most 162 sums: each row below a factor adds factor * remainder - (actual - observed), each
+    above it the opposite. Errors are compared to six decimals, so the order of summation doesn't choose.
+    """
     a, o, p = (F.col(c).cast("double") for c in ("actual", "observed", "predicted_demand"))
-    error = [F.round(F.sum(F.abs(scaled(o, p, F.lit(x)) - a)), 6) for x in ALPHAS]
-    left = F.sum(F.greatest(p - o, F.lit(0.0)))
-    sums = frame.groupBy(*by).agg(F.array(*error).alias("_e"), F.sum(a - o).alias("_real"), left.alias("_left"), F.sum(a).alias("demand"))
+    step, last = ALPHAS[1] - ALPHAS[0], len(ALPHAS)
+    left = F.greatest(p - o, F.lit(0.0))
+    kink = F.greatest(F.least(F.ceil(((a - o) / left - ALPHAS[0]) / step), F.lit(last)), F.lit(0)).cast("int")
+    cells = frame.withColumns({"_a": a, "_real": a - o, "_left": left, "_cell": F.when(left > 0, kink).otherwise(-1)})
+    cells = cells.groupBy(*by, "_cell").agg(F.sum("_a").alias("_a"), F.sum("_real").alias("_real"), F.sum("_left").alias("_left"), F.sum(F.abs("_real")).alias("_still"))
+    moves = F.col("_cell") >= 0
+    sums = cells.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.when(moves, F.struct("_cell", F.struct("_left", "_real"))))).alias("_m"),
+        F.coalesce(F.sum(F.when(~moves, F.col("_still"))), F.lit(0.0)).alias("_still"),
+        F.coalesce(F.sum(F.when(moves, F.col("_real"))), F.lit(0.0)).alias("_moving"),
+        F.sum("_real").alias("_real"), F.sum("_left").alias("_left"), F.sum("_a").alias("demand"),
+    )
+    none = F.struct(F.lit(0.0).alias("_left"), F.lit(0.0).alias("_real"))
+
+    def through(acc: Column, x: Column) -> Column:
+        own = F.coalesce(F.try_element_at("_m", x["i"]), none)
+        w, d = acc["w"] + own["_left"], acc["d"] + own["_real"]
+        error = F.round(x["alpha"] * (2 * w - F.col("_left")) - (2 * d - F.col("_moving")) + F.col("_still"), 6)
+        return F.struct(w.alias("w"), d.alias("d"), F.concat(acc["e"], F.array(error)).alias("e"))
+
+    grid = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(x).alias("alpha")) for i, x in enumerate(ALPHAS)))
+    start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("d"), F.array().cast("array<double>").alias("e"))
+    sums = sums.withColumn("_e", F.aggregate(grid, start, through)["e"])
     at = F.array_position("_e", F.array_min("_e"))
     unbiased = F.least(F.greatest(F.when(F.col("_left") > 1e-9, F.try_divide(F.col("_real"), F.col("_left"))).otherwise(1.0), F.lit(ALPHAS[0])), F.lit(ALPHAS[-1]))
     empty = F.col("demand") < 1e-9
@@ -103,6 +129,29 @@ def fold_bootstrap(scores: DataFrame, folds: int, confidence: float = 0.95, seed
     return q.select(F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), "samples")
 
 
+def ranked(rows: DataFrame, by: list[str], value: str, want: Callable[[Column], Column], n: str, name: str) -> DataFrame:
+    """by, the number of rows as ``n``, and as ``name`` the value of rank want(n), counted from the least.
+
+    Values, which aren't negative, are counted in bins first, 128 to each power of two, and only rows of
+    the bin that holds the rank are ordered: no task sees a whole group, even if all rows are one.
+    """
+    at = F.floor(F.log2(F.col(value) + 1e-9) * 128).alias("_bin")
+    keys = [F.col(x) for x in by]
+    counts = rows.select(*keys, at, F.col(value).alias("_v")).groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    bins = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bin")
+    placed = counts.withColumn("_upto", F.sum("_c").over(bins)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*(by or [F.lit(0)]))))
+    placed = placed.withColumn("_want", want(F.col("_n")))
+    # A row for each group: the bin that holds the rank; null where the rank is beyond the last.
+    hit = F.when(F.col("_upto") >= F.col("_want"), F.struct("_bin", (F.col("_want") - F.col("_upto") + F.col("_c")).alias("_left")))
+    chosen = placed.groupBy(*by).agg(F.max("_n").alias(n), F.min(hit).alias("_hit"))
+    inside = chosen.select(*keys, F.col("_hit._bin").alias("_bin"), F.col("_hit._left").alias("_left")).filter("_bin IS NOT NULL")
+    few = rows.select(*keys, at, F.col(value).alias("_v")).join(inside, [*by, "_bin"]).groupBy(*by, "_left", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    within = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_v")
+    found = few.withColumn("_upto", F.sum("_c").over(within)).filter("_upto >= _left").groupBy(*by).agg(F.min("_v").alias(name))
+    sizes = chosen.select(*keys, n)
+    return sizes.join(found, by, "left") if by else sizes.join(F.broadcast(found), F.lit(True), "left")  # one row
+
+
 def residual_bands(history: DataFrame, current: DataFrame, coverage: float = 0.8, min_support: int = 100) -> DataFrame:
     """Adds lower, upper, support and band_source: intervals from relative errors of the past.
 
@@ -115,16 +164,9 @@ def residual_bands(history: DataFrame, current: DataFrame, coverage: float = 0.8
     picks = []
     for i, (_, by) in enumerate(levels):
         n, rank = f"_n{i}", f"_v{i}"
-        # Ranks are taken over (group, value) counts, so equal errors are one row.
-        counted = past.groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_c"))
-        order = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
-        size = past.groupBy(*by).agg(F.count(F.lit(1)).alias(n))
-        placed = counted.withColumn("_upto", F.sum("_c").over(order))
-        placed = placed.join(size, by) if by else placed.crossJoin(F.broadcast(size))
-        want = F.ceil((F.col(n) + 1) * coverage)
-        radius = placed.filter(F.col("_upto") >= want).groupBy(*by).agg(F.min("_r").alias(rank))
-        level = size.join(radius, by, "left") if by else size.join(radius, F.lit(True), "left")
-        out = out.join(level, by, "left") if by else out.join(F.broadcast(level), F.lit(True), "left")
+        level = ranked(past, by, "_r", lambda size: F.ceil((size + 1) * coverage), n, rank)
+        # Levels above the city are a few rows.
+        out = out.join(level, by, "left") if i == 0 else out.join(F.broadcast(level), by or F.lit(True), "left")
         picks.append((F.col(n) >= min_support, F.col(rank), F.col(n)))
     choose = lambda i: F.when(picks[0][0], picks[0][i]).when(picks[1][0], picks[1][i]).when(picks[2][0], picks[2][i])
     out = out.withColumns({"_rad": choose(1), "support": choose(2)})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadtide.config import Config
-from leadtide.operators.asof import PAIR, forecast_grid, lead_state
+from leadtide.operators.asof import forecast_grid, lead_state
 from leadtide.sources.tables import Log
 
 
@@ -14,9 +14,8 @@ FOLD = "fold_cutoff"
 
 
 def city_leads(log: Log) -> DataFrame:
-    """Demand of the past by fold, city and lead time: what all curves are made of, in one grouping."""
-    sums = log.history.groupBy(FOLD, "city_code", "days_to_checkin").agg(F.sum("search_count").alias("search_count"))
-    return sums.join(log.cities.select("city_code", "province_code"), "city_code", "left")
+    """Demand of the past by fold, city and lead time, with provinces: what all curves are made of."""
+    return log.leads.join(log.cities.select("city_code", "province_code"), "city_code", "left")
 
 
 def curves(leads: DataFrame, key: str | None, least_support: int, cfg: Config) -> DataFrame:
@@ -62,13 +61,13 @@ def demand_prior(log: Log) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     that have any demand in it.
     """
     cfg = log.cfg
-    window = log.history.groupBy(FOLD).agg(F.min("checkin").alias("_min"))  # one row a fold
+    window = log.fold_pairs.groupBy(FOLD).agg(F.min("checkin").alias("_min"))  # one row a fold
     window = F.broadcast(window.select(FOLD, F.greatest(F.date_sub(FOLD, cfg.prior_window_days - 1), "_min").alias("_start")))
     dates = window.select(FOLD, F.explode(F.sequence("_start", FOLD)).alias("_day"))
     weekdays = F.broadcast(dates.groupBy(FOLD, F.weekday("_day").alias("weekday")).agg(F.count(F.lit(1)).alias("_days")))
     span = F.broadcast(window.select(FOLD, (F.datediff(FOLD, "_start") + 1).alias("_days")))
-    recent = log.history.filter(F.col("checkin") > F.date_sub(FOLD, cfg.prior_window_days))
-    pairs = recent.groupBy(FOLD, "city_code", F.weekday("checkin").alias("weekday")).agg(F.sum("search_count").alias("_n"))
+    recent = log.fold_pairs.filter(F.col("checkin") > F.date_sub(FOLD, cfg.prior_window_days))
+    pairs = recent.groupBy(FOLD, "city_code", F.weekday("checkin").alias("weekday")).agg(F.sum("final").alias("_n"))
     by_weekday = pairs.join(weekdays, [FOLD, "weekday"]).select(FOLD, "city_code", "weekday", (F.col("_n") / F.col("_days")).alias("mean"))
     by_city = pairs.groupBy(FOLD, "city_code").agg(F.sum("_n").alias("_n")).join(span, FOLD).select(FOLD, "city_code", (F.col("_n") / F.col("_days")).alias("mean"))
     known = by_city.join(log.cities.select("city_code", "province_code"), "city_code", "left")
@@ -91,10 +90,9 @@ def zero_prior(log: Log) -> DataFrame:
     dates, so no grid is made.
     """
     cfg = log.cfg
-    pairs = log.history.groupBy(FOLD, *PAIR).agg(F.sum("search_count").alias("final"), F.max("days_to_checkin").alias("_lead"))
-    bucket = F.least(F.greatest(F.col("_lead") + (0 if cfg.strict_zero_prior else 1), F.lit(0)), F.lit(cfg.target_days))
-    counted = pairs.filter("final > 0").groupBy(FOLD, "city_code", bucket.alias("bucket")).agg(F.sum("final").alias("total"), F.count(F.lit(1)).alias("n"))
-    dates = F.broadcast(log.history.groupBy(FOLD).agg((F.datediff(FOLD, F.min("checkin")) + 1).alias("_dates")))  # one row a fold
+    bucket = F.least(F.greatest(F.col("lead") + (0 if cfg.strict_zero_prior else 1), F.lit(0)), F.lit(cfg.target_days))
+    counted = log.fold_pairs.filter("final > 0").groupBy(FOLD, "city_code", bucket.alias("bucket")).agg(F.sum("final").alias("total"), F.count(F.lit(1)).alias("n"))
+    dates = F.broadcast(log.fold_pairs.groupBy(FOLD).agg((F.datediff(FOLD, F.min("checkin")) + 1).alias("_dates")))  # one row a fold
     cities = log.cities.select("city_code", "province_code")
     located = counted.join(cities, "city_code")
     out = None

@@ -43,20 +43,22 @@ def share_block(cum: str, h: Column) -> dict[str, Column]:
     return out | {"pickup_3d_over_7d": came_in(cum, h, 3) / (came_in(cum, h, 7) + EPS)}
 
 
-def activity_block(daily: str, h: Column, slots: int = 60) -> dict[str, Column]:
-    """Days with any search: how many, how long ago the first and last, level and spread over them."""
-    window = F.slice(daily, h + 1, slots)
-    active = F.filter(F.transform(window, lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
-    n = F.size(active)
-    total = F.aggregate(window, F.lit(0.0), lambda a, x: a + x)
-    squares = F.aggregate(window, F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    mean = total / F.greatest(n, F.lit(1))
-    first, last = F.array_max(active), F.array_min(active)
+def activity_block(tail: str, h: Column, slots: int = 60) -> dict[str, Column]:
+    """Days with any search: how many, how long ago the first and last, level and spread over them.
+
+    The earliest lead time of a pair's searches is the one of its whole tail: lookups, no walks.
+    """
+    own = F.element_at(tail, F.least(h, F.lit(slots)) + 1)
+    n = own["days"]
+    mean = own["cum"].cast("double") / F.greatest(n, F.lit(1))
+    squares = own["squares"]
+    earliest = F.col("earliest")
+    first, last = F.when(n > 0, earliest - h), own["first"] - h
     return {
         "active_search_days": n,
         "days_since_first_search": first,
         "days_since_last_search": last,
-        "max_daily_search": F.array_max(window),
+        "max_daily_search": own["top"],
         "mean_daily_search": mean,
         "std_daily_search": F.sqrt(F.greatest(F.when(n > 0, squares / F.greatest(n, F.lit(1)) - mean * mean).otherwise(0.0), F.lit(0.0))),
         "search_span": first - last,
@@ -89,8 +91,9 @@ def with_context(grid: DataFrame, events: DataFrame, log: Log) -> DataFrame:
     market = lead_state(events, ["checkin"]).select("checkin", F.col("cum").alias("market_cum"))
     province = lead_state(located, ["province_code", "checkin"]).select("province_code", "checkin", F.col("cum").alias("province_cum"))
     zeros = F.array_repeat(F.lit(0).cast("long"), 61)
+    earliest = F.array_max(F.transform("daily", lambda x, i: F.when(x > 0, i)))
     state = pair_state(grid, events).join(market, "checkin", "left").join(province, ["province_code", "checkin"], "left")
-    return state.withColumns({"market_cum": F.coalesce("market_cum", zeros), "province_cum": F.coalesce("province_cum", zeros), FOLD: F.lit(log.cfg.cutoff)})
+    return state.withColumns({"market_cum": F.coalesce("market_cum", zeros), "province_cum": F.coalesce("province_cum", zeros), "earliest": earliest, FOLD: F.lit(log.cfg.cutoff)})
 
 
 def at_horizons(pairs: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
@@ -102,7 +105,7 @@ def with_features(rows: DataFrame, log: Log) -> DataFrame:
     """All features of rows with states and a horizon."""
     h = F.col("horizon")
     rows = with_zero_prior(with_fraction(rows, log, name="expected_completion_fraction", source=None), log, "_zero")
-    out = rows.withColumns({**pickup_block("cum", h), **velocity_block("cum", h), **share_block("cum", h), **activity_block("daily", h), **calendar_block(), **pickup_block("market_cum", h, "market_"), **velocity_block("market_cum", h, "market_"), **pickup_block("province_cum", h, "province_"), **velocity_block("province_cum", h, "province_")})
+    out = rows.withColumns({**pickup_block("cum", h), **velocity_block("cum", h), **share_block("cum", h), **activity_block("tail", h), **calendar_block(), **pickup_block("market_cum", h, "market_"), **velocity_block("market_cum", h, "market_"), **pickup_block("province_cum", h, "province_"), **velocity_block("province_cum", h, "province_")})
     fraction, observed = F.col("expected_completion_fraction"), F.col("observed_total")
     out = out.withColumns(
         {
@@ -114,7 +117,7 @@ def with_features(rows: DataFrame, log: Log) -> DataFrame:
             "city_share_of_market": observed / (F.col("market_observed_total") + EPS),
             "city_share_of_province": observed / (F.col("province_observed_total") + EPS),
         }
-    ).drop("_zero", "daily", "cum", "market_cum", "province_cum")
+    ).drop("_zero", "daily", "cum", "tail", "earliest", "market_cum", "province_cum")
     return with_place(out, log)
 
 
@@ -157,8 +160,9 @@ def quality_gate(frame: DataFrame, features: list[str]) -> DataFrame:
 def completed_history(log: Log, days: int | None) -> DataFrame:
     """city_code, checkin, n: each city's days up to the cutoff, days without events being 0."""
     cfg = log.cfg
-    sums = log.history.groupBy(*PAIR).agg(F.sum("search_count").alias("n"))
-    first = F.broadcast(log.history.agg(F.min("checkin").alias("_first")))  # one row
+    past = log.pairs.filter(F.col("checkin") <= F.lit(cfg.cutoff))
+    sums = past.select(*PAIR, F.col("final").alias("n"))
+    first = F.broadcast(past.agg(F.min("checkin").alias("_first")))  # one row
     start = F.greatest(F.col("_first"), F.lit(cfg.cutoff - timedelta(days=days - 1))) if days else F.col("_first")
     grid = log.cities.select("city_code").crossJoin(first).select("city_code", F.explode(F.sequence(start, F.lit(cfg.cutoff))).alias("checkin"))
     return grid.join(sums, PAIR, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))

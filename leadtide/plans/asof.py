@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadtide.config import DEFAULT as C
+from leadtide.config import TABLES as C
 from leadtide.operators import asof, curves
 from leadtide.plans.base import day, log, rounded, sql
 from leadtide.registry import query

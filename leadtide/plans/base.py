@@ -11,15 +11,15 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadtide.config import DEFAULT, Config
+from leadtide.config import TABLES, Config
 from leadtide.sources.tables import Log
 
 
-def log(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> Log:
+def log(spark: SparkSession, sf_dir: str, cfg: Config = TABLES) -> Log:
     return Log(spark, sf_dir, cfg)
 
 
-def folds(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> Log:
+def folds(spark: SparkSession, sf_dir: str, cfg: Config = TABLES) -> Log:
     """The log at all simulated cutoffs."""
     return Log(spark, sf_dir, cfg, cfg.fold_cutoffs)
 
@@ -51,11 +51,11 @@ CITIES = """ci AS (
     FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
-def buckets_sql(col: str, cfg: Config = DEFAULT, other: str = "NULL") -> str:
+def buckets_sql(col: str, cfg: Config = TABLES, other: str = "NULL") -> str:
     return "CASE " + " ".join(f"WHEN {col} BETWEEN {a} AND {b} THEN '{a}-{b}'" for a, b in cfg.horizon_buckets) + f" ELSE {other} END"
 
 
-def fold_sql(cfg: Config = DEFAULT, s: str = "") -> list[str]:
+def fold_sql(cfg: Config = TABLES, s: str = "") -> list[str]:
     """CTEs with suffix ``s``: hist, evl, grid (with observed, actual), the curves, zero, pred."""
     c = cfg.cutoff
     h, late = cfg.target_days, 0 if not cfg.strict_zero_prior else 1
@@ -88,7 +88,7 @@ def fold_sql(cfg: Config = DEFAULT, s: str = "") -> list[str]:
     ]
 
 
-def sql(body: str, *more: str, cfg: Config = DEFAULT, folds: bool = False) -> str:
+def sql(body: str, *more: str, cfg: Config = TABLES, folds: bool = False) -> str:
     """A statement over the CTEs above; ``more`` are further CTEs."""
     parts = [EVENTS, CITIES]
     if folds:

@@ -7,11 +7,12 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadtide.config import DEFAULT as C
+from leadtide.config import TABLES as C
 from leadtide.operators import backtest, calibration
 from leadtide.plans.backtest import _S, FOLDS, QUANTILES, SEGMENTS
 from leadtide.plans.base import buckets_sql, fold_sql, folds, log, rounded, sql
 from leadtide.registry import query
+from leadtide.sources.shared import written
 
 _OVERALL = "SELECT alpha, round(sum(abs(observed + alpha * greatest(predicted - observed, 0) - actual)), 6) AS err FROM folds, al GROUP BY alpha"
 AL = f"al AS (SELECT unnest({calibration.ALPHAS})::DOUBLE AS alpha)"
@@ -46,7 +47,7 @@ _FACTORS = {
 
 @query("calibration_factors", sql(" UNION ALL ".join(f"SELECT '{m}' AS method, bucket, round({f}, 6) AS factor FROM bu JOIN ba USING (bucket), ga" for m, f in _FACTORS.items()), FOLDS, AL, BA, BU, GA, folds=True))
 def calibration_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = _frame(spark, sf_dir).persist()  # every method reads it
+    frame = written(_frame(spark, sf_dir))  # every method reads it
     out = None
     for method in _FACTORS:
         own = calibration.calibrator(frame, C, method).withColumn("method", F.lit(method))
@@ -101,7 +102,7 @@ def _rank(by: str, name: str) -> str:
 )
 def residual_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands of the last fold from the errors of folds that had closed by then."""
-    frame = _frame(spark, sf_dir).withColumnRenamed("predicted_demand", "prediction").persist()  # every level reads it
+    frame = written(_frame(spark, sf_dir).withColumnRenamed("predicted_demand", "prediction"))  # every level reads it
     past = frame.filter(F.date_add("fold_cutoff", C.target_days) <= F.lit(C.fold_cutoffs[-1]))
     found = calibration.residual_bands(past, frame.filter(F.col("fold_cutoff") == F.lit(C.fold_cutoffs[-1])), min_support=20)
     return rounded(found.select("city_code", "checkin", "band_source", "support", "lower", "upper"))

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadtide.config import DEFAULT as C
+from leadtide.config import TABLES as C
 from leadtide.functions import calendar
 from leadtide.operators import asof, features
 from leadtide.plans.base import day, log, rounded, sql
@@ -72,7 +72,7 @@ def pickup_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def activity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.at_horizons(features.training_pairs(log(spark, sf_dir)), C.train_horizons)
-    blocks = features.activity_block("daily", F.col("horizon"))
+    blocks = features.activity_block("tail", F.col("horizon"))
     return rounded(rows.select("city_code", "checkin", "horizon", *(v.alias(k) for k, v in blocks.items())), std_daily_search=4)
 
 

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadtide.config import DEFAULT as C
+from leadtide.config import TABLES as C
 from leadtide.operators import marts
 from leadtide.plans.base import buckets_sql, log, rounded, sql
 from leadtide.registry import query

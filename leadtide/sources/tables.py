@@ -8,12 +8,14 @@ comes from the keys.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadtide.config import Config
+from leadtide.sources.shared import written
 
 EVENT_KEY = ("log_date", "city_code", "checkin")
 
@@ -59,8 +61,11 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Log:
     """The event log as a forecaster meets it at one or more cutoffs: the past whole, the target in part.
 
-    Every frame has the cutoff as `fold_cutoff`. Rows are dealt to folds by an explode, so the log is
-    read once however many folds there are. Sums need no unique keys, so line items stay as they are.
+    Two groupings of the log, each one scan with a pushed range of dates, are written when first asked
+    for, and curves, priors and grids of all folds are made of them: `pairs` and `sums`. `history`,
+    `target` and `evaluation` are the events themselves, with the cutoff as `fold_cutoff`: they are
+    dealt to folds by an explode, after the dates that no fold needs are filtered out. Sums need no
+    unique keys, so line items stay as they are.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config, folds: tuple[date, ...] | None = None) -> None:
@@ -77,15 +82,50 @@ class Log:
         """Events with the cutoff of each fold they belong to."""
         return events.withColumn("fold_cutoff", F.explode(F.filter(self.cutoffs, belongs)))
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """city_code, checkin, final (whole demand), lead (of the first search): check-ins up to the last cutoff, not dealt to folds."""
+        past = self.all.filter(F.col("checkin") <= F.lit(max(self.folds)))
+        return written(past.groupBy("city_code", "checkin").agg(F.sum("search_count").alias("final"), F.max("days_to_checkin").alias("lead")))
+
+    @property
+    def fold_pairs(self) -> DataFrame:
+        """The pairs with the cutoff of each fold that has them in its past."""
+        return self.dealt(self.pairs, lambda c: F.col("checkin") <= c)
+
+    @cached_property
+    def sums(self) -> DataFrame:
+        """fold_cutoff, city_code, past, step, total, known: demand of the past by lead time (step), and of
+        the target window by days ahead (step), with what of it was logged by the cutoff (known)."""
+        days = self.cfg.target_days
+        near = self.all.filter(F.col("checkin") <= F.lit(max(self.folds) + timedelta(days=days)))
+        rows = self.dealt(near, lambda c: F.col("checkin") <= F.date_add(c, days)).withColumn("_ahead", F.datediff("checkin", "fold_cutoff"))
+        past = F.col("_ahead") <= 0
+        step = F.when(past, F.col("days_to_checkin")).otherwise(F.col("_ahead"))
+        known = F.when(past | (F.col("log_date") <= F.col("fold_cutoff")), F.col("search_count"))
+        return written(rows.groupBy("fold_cutoff", "city_code", past.alias("past"), step.alias("step")).agg(F.sum("search_count").alias("total"), F.sum(known).alias("known")))
+
+    @property
+    def leads(self) -> DataFrame:
+        """fold_cutoff, city_code, days_to_checkin, search_count: demand of the past by lead time."""
+        return self.sums.filter("past").select("fold_cutoff", "city_code", F.col("step").alias("days_to_checkin"), F.col("total").alias("search_count"))
+
+    @property
+    def windows(self) -> DataFrame:
+        """fold_cutoff, city_code, checkin, observed (by the cutoff, null if nothing was), actual: pairs of the target windows."""
+        rows = self.sums.filter("NOT past")
+        return rows.select("fold_cutoff", "city_code", F.date_add("fold_cutoff", F.col("step")).alias("checkin"), F.col("known").alias("observed"), F.col("total").alias("actual"))
+
     @property
     def history(self) -> DataFrame:
-        return self.dealt(self.all, lambda c: F.col("checkin") <= c)
+        return self.dealt(self.all.filter(F.col("checkin") <= F.lit(max(self.folds))), lambda c: F.col("checkin") <= c)
 
     @property
     def target(self) -> DataFrame:
         """All events of the target windows, also those that come after the cutoff."""
         days = self.cfg.target_days
-        return self.dealt(self.all, lambda c: (F.col("checkin") > c) & (F.col("checkin") <= F.date_add(c, days)))
+        near = self.all.filter((F.col("checkin") > F.lit(min(self.folds))) & (F.col("checkin") <= F.lit(max(self.folds) + timedelta(days=days))))
+        return self.dealt(near, lambda c: (F.col("checkin") > c) & (F.col("checkin") <= F.date_add(c, days)))
 
     @property
     def evaluation(self) -> DataFrame:
