@@ -103,9 +103,16 @@ def nothing() -> Column:
     return F.struct(count.alias("cum"), F.lit(0).alias("days"), F.lit(None).cast("int").alias("first"), count.alias("top"), F.lit(0.0).alias("squares"))
 
 
-def lead_state(events: DataFrame, keys: list[str], slots: int = 60) -> DataFrame:
-    """keys, daily (array of ``slots`` counts by lead time), cum (slots + 1 sums from a lead time on), tail
-    (as many structs: days with any count from a lead time on, their least lead, greatest count, sum of squares).
+def sums_from(counts: str, slots: int = 60) -> Column:
+    """From a map of counts by lead time the array of slots + 1 sums from a lead time on."""
+    zero = F.lit(0).cast("long")
+    far_first = F.sequence(F.lit(slots - 1), F.lit(0), F.lit(-1))
+    return F.aggregate(far_first, F.array(zero), lambda acc, d: F.concat(F.array(F.coalesce(F.try_element_at(counts, d), zero) + acc[0]), acc))
+
+
+def lead_state(events: DataFrame, keys: list[str], slots: int = 60, tails: bool = False) -> DataFrame:
+    """keys, daily (array of ``slots`` counts by lead time), cum (slots + 1 sums from a lead time on); with tails
+    also tail (as many structs: days with any count from a lead time on, their least lead, greatest count, sum of squares).
 
     Lead times outside 0 .. slots - 1 are left out. A group's list has ``slots`` entries at most.
     """
@@ -113,6 +120,8 @@ def lead_state(events: DataFrame, keys: list[str], slots: int = 60) -> DataFrame
     grouped = long.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("days_to_checkin", "_n"))).alias("_m"))
     zero = F.lit(0).cast("long")
     daily = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda d: F.coalesce(F.try_element_at("_m", d), zero))
+    if not tails:
+        return grouped.select(*keys, daily.alias("daily"), sums_from("_m", slots).alias("cum"))
 
     def before(acc: Column, d: Column) -> Column:
         n, next_ = F.coalesce(F.try_element_at("_m", d), zero), acc[0]
@@ -132,7 +141,7 @@ def lead_state(events: DataFrame, keys: list[str], slots: int = 60) -> DataFrame
 def pair_state(grid: DataFrame, events: DataFrame, slots: int = 60) -> DataFrame:
     """The lead-time state of every pair of a grid; pairs without events have zeros."""
     zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
-    state = grid.join(lead_state(events, PAIR, slots), PAIR, "left")
+    state = grid.join(lead_state(events, PAIR, slots, tails=True), PAIR, "left")
     return state.withColumns({"daily": F.coalesce("daily", zeros(slots)), "cum": F.coalesce("cum", zeros(slots + 1)), "tail": F.coalesce("tail", F.array_repeat(nothing(), slots + 1))})
 
 

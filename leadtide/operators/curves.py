@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadtide.config import Config
-from leadtide.operators.asof import forecast_grid, lead_state
+from leadtide.operators.asof import forecast_grid, sums_from
 from leadtide.sources.tables import Log
 
 
@@ -18,14 +18,22 @@ def city_leads(log: Log) -> DataFrame:
     return log.leads.join(log.cities.select("city_code", "province_code"), "city_code", "left")
 
 
-def curves(leads: DataFrame, key: str | None, least_support: int, cfg: Config) -> DataFrame:
-    """fold_cutoff, key, days_to_checkin, completion_fraction, support: the share of a group's demand that
-    has come in so many days ahead. Groups with less demand than ``least_support`` have no curve."""
+def curve_sums(leads: DataFrame, key: str | None, least_support: int, cfg: Config) -> DataFrame:
+    """fold_cutoff, key, support, cum: a group's demand and its part from each lead time on, a row a group.
+    Groups with less demand than ``least_support`` have none."""
     slots = cfg.max_lead + 1
     keyed = leads.withColumn("key", F.col(key).cast("int") if key else F.lit(-1)).filter("key IS NOT NULL")
-    support = keyed.groupBy(FOLD, "key").agg(F.sum("search_count").alias("support"))
-    state = lead_state(keyed, [FOLD, "key"], slots).join(support, [FOLD, "key"]).filter((F.col("support") >= least_support) & (F.col("support") > 0))
-    steps = state.select(FOLD, "key", "support", F.posexplode(F.slice("cum", 1, slots)).alias("days_to_checkin", "n"))
+    by_lead = keyed.groupBy(FOLD, "key", "days_to_checkin").agg(F.sum("search_count").alias("_n"))
+    held = F.when(F.col("days_to_checkin").between(0, slots - 1), F.struct("days_to_checkin", "_n"))
+    groups = by_lead.groupBy(FOLD, "key").agg(F.map_from_entries(F.collect_list(held)).alias("_m"), F.sum("_n").alias("support"))
+    return groups.filter((F.col("support") >= least_support) & (F.col("support") > 0)).select(FOLD, "key", "support", sums_from("_m", slots).alias("cum"))
+
+
+def curves(leads: DataFrame, key: str | None, least_support: int, cfg: Config) -> DataFrame:
+    """fold_cutoff, key, days_to_checkin, completion_fraction, support: the share of a group's demand that
+    has come in so many days ahead."""
+    sums = curve_sums(leads, key, least_support, cfg)
+    steps = sums.select(FOLD, "key", "support", F.posexplode(F.slice("cum", 1, cfg.max_lead + 1)).alias("days_to_checkin", "n"))
     return steps.select(FOLD, "key", "days_to_checkin", (F.col("n") / F.col("support")).alias("completion_fraction"), "support")
 
 
@@ -40,18 +48,19 @@ def all_curves(log: Log) -> DataFrame:
 def with_fraction(rows: DataFrame, log: Log, horizon: Column | None = None, name: str = "completion_fraction", source: str | None = "curve_source") -> DataFrame:
     """Adds the completion fraction of (fold_cutoff, city_code, province_code, horizon): of the city's
     curve, else its province's, else that of all; horizons beyond the curve take its last step; between
-    min_fraction and 1. Every level is a left join on its key and the horizon."""
+    min_fraction and 1. A curve is one row, so every level is a left join on its key and a lookup."""
     cfg, leads = log.cfg, city_leads(log)
-    step = F.least(F.greatest(horizon if horizon is not None else F.col("horizon"), F.lit(0)), F.lit(cfg.max_lead))
-    part = lambda key, least, to: curves(leads, key, least, cfg).select(FOLD, F.col("key").alias(key or "_key"), F.col("days_to_checkin").alias("_h"), F.col("completion_fraction").alias(to))
+    step = F.least(F.greatest(horizon if horizon is not None else F.col("horizon"), F.lit(0)), F.lit(cfg.max_lead)) + 1
+    part = lambda key, least, to: curve_sums(leads, key, least, cfg).select(FOLD, F.col("key").alias(key or "_key"), F.transform("cum", lambda x: x / F.col("support")).alias(to))
     city = part("city_code", cfg.min_city_support, "_c")
     province = part("province_code", cfg.min_province_support, "_p")
-    world = F.broadcast(part(None, 0, "_g").drop("_key"))  # one row for each fold and step
-    out = rows.withColumn("_h", step).join(city, [FOLD, "city_code", "_h"], "left").join(province, [FOLD, "province_code", "_h"], "left").join(world, [FOLD, "_h"], "left")
-    out = out.withColumn(name, F.greatest(F.least(F.coalesce("_c", "_p", "_g"), F.lit(1.0)), F.lit(cfg.min_fraction)))
+    world = F.broadcast(part(None, 0, "_g").drop("_key"))  # one row for each fold
+    out = rows.join(city, [FOLD, "city_code"], "left").join(province, [FOLD, "province_code"], "left").join(world, FOLD, "left")
+    at = lambda x: F.element_at(x, step)
+    columns = {name: F.greatest(F.least(F.coalesce(at("_c"), at("_p"), at("_g")), F.lit(1.0)), F.lit(cfg.min_fraction))}
     if source:
-        out = out.withColumn(source, F.when(F.col("_c").isNotNull(), "city").when(F.col("_p").isNotNull(), "province").otherwise("global"))
-    return out.drop("_h", "_c", "_p", "_g")
+        columns[source] = F.when(F.col("_c").isNotNull(), "city").when(F.col("_p").isNotNull(), "province").otherwise("global")
+    return out.withColumns(columns).drop("_c", "_p", "_g")
 
 
 def demand_prior(log: Log) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -83,8 +92,8 @@ def with_demand_prior(rows: DataFrame, log: Log, name: str = "city_weekday_mean"
     return out.withColumn(name, F.greatest(F.coalesce("_w", "_c", "_p", "_g", F.lit(0.0)), F.lit(0.0))).drop("_w", "_c", "_p", "_g", *([] if "weekday" in rows.columns else ["weekday"]))
 
 
-def zero_prior(log: Log) -> DataFrame:
-    """fold_cutoff, level, key, horizon, expected: the mean final demand of pairs nothing was seen of.
+def zero_sums(log: Log, levels: tuple[str, ...] = ("city", "province", "global")) -> DataFrame:
+    """fold_cutoff, level, key, means: a row a group with an array over the horizons.
 
     Pairs without any event count too; how many there are follows from the numbers of cities and
     dates, so no grid is made.
@@ -94,30 +103,41 @@ def zero_prior(log: Log) -> DataFrame:
     counted = log.fold_pairs.filter("final > 0").groupBy(FOLD, "city_code", bucket.alias("bucket")).agg(F.sum("final").alias("total"), F.count(F.lit(1)).alias("n"))
     dates = F.broadcast(log.fold_pairs.groupBy(FOLD).agg((F.datediff(FOLD, F.min("checkin")) + 1).alias("_dates")))  # one row a fold
     cities = log.cities.select("city_code", "province_code")
-    located = counted.join(cities, "city_code")
+    keys = {"city": F.col("city_code"), "province": F.col("province_code"), "global": F.lit(-1)}
+    none = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("n"))
     out = None
-    for level, key in (("city", F.col("city_code")), ("province", F.col("province_code")), ("global", F.lit(-1))):
-        members = cities.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("_members")).withColumn(FOLD, F.explode(log.cutoffs))
-        own = located.groupBy(FOLD, key.alias("key"), "bucket").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-        present = own.groupBy(FOLD, "key").agg(F.sum("n").alias("_present"))
-        silent = members.join(present, [FOLD, "key"], "left").join(dates, FOLD).select(FOLD, "key", (F.col("_members") * F.col("_dates") - F.coalesce("_present", F.lit(0))).alias("_silent"))
-        steps = silent.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(cfg.target_days))))
-        # Sums up to bucket h - 1: buckets in order of a key, at most target_days + 1 of them.
-        running = Window.partitionBy(FOLD, "key").orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)
-        at = own.select(FOLD, "key", (F.col("bucket") + 1).alias("horizon"), "total", "n")
-        done = steps.join(at, [FOLD, "key", "horizon"], "left").withColumns({"_t": F.sum(F.coalesce("total", F.lit(0))).over(running), "_n": F.sum(F.coalesce("n", F.lit(0))).over(running)})
-        made = done.select(FOLD, F.lit(level).alias("level"), F.col("key").cast("int").alias("key"), "horizon", (F.col("_t") / F.greatest(F.col("_n") + F.col("_silent"), F.lit(1))).alias("expected"))
+    for level in levels:
+        key = keys[level].cast("int").alias("key")
+        located = counted if level == "city" else counted.join(cities, "city_code")
+        own = located.groupBy(FOLD, key, "bucket").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        own = own.groupBy(FOLD, "key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("total", "n")))).alias("_m"), F.sum("n").alias("_present"))
+        members = cities.groupBy(key).agg(F.count(F.lit(1)).alias("_members")).withColumn(FOLD, F.explode(log.cutoffs)).join(dates, FOLD).join(own, [FOLD, "key"], "left")
+        silent = F.col("_members") * F.col("_dates") - F.coalesce("_present", F.lit(0))
+
+        def through(acc: Column, h: Column) -> Column:
+            """Up to horizon h: sums over buckets up to h - 1."""
+            own = F.coalesce(F.try_element_at("_m", h - 1), none)
+            t, n = acc["t"] + own["total"], acc["n"] + own["n"]
+            return F.struct(t.alias("t"), n.alias("n"), F.concat(acc["v"], F.array(t / F.greatest(n + F.col("_silent"), F.lit(1)))).alias("v"))
+
+        start = F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("n"), F.array().cast("array<double>").alias("v"))
+        made = members.withColumn("_silent", silent).select(FOLD, F.lit(level).alias("level"), "key", F.aggregate(F.sequence(F.lit(1), F.lit(cfg.target_days)), start, through)["v"].alias("means"))
         out = made if out is None else out.unionByName(made)
     return out
 
 
+def zero_prior(log: Log) -> DataFrame:
+    """fold_cutoff, level, key, horizon, expected: the mean final demand of pairs nothing was seen of."""
+    steps = zero_sums(log).select(FOLD, "level", "key", F.posexplode("means").alias("_i", "expected"))
+    return steps.select(FOLD, "level", "key", (F.col("_i") + 1).alias("horizon"), "expected")
+
+
 def with_zero_prior(rows: DataFrame, log: Log, name: str = "zero_level") -> DataFrame:
     """Adds the zero prior of (fold_cutoff, city_code, horizon). Every city of the dimension has one of
     its own, so the levels above it are for cities that it does not list; they get 0 here."""
-    cfg = log.cfg
-    prior = zero_prior(log).filter("level = 'city'").select(FOLD, F.col("key").alias("city_code"), F.col("horizon").alias("_h"), F.col("expected").alias(name))
-    out = rows.withColumn("_h", F.greatest(F.least(F.col("horizon"), F.lit(cfg.target_days)), F.lit(1)))
-    return out.join(prior, [FOLD, "city_code", "_h"], "left").withColumn(name, F.greatest(F.coalesce(name, F.lit(0.0)), F.lit(0.0))).drop("_h")
+    prior = zero_sums(log, ("city",)).select(FOLD, F.col("key").alias("city_code"), F.col("means").alias("_z"))
+    at = F.greatest(F.least(F.col("horizon"), F.lit(log.cfg.target_days)), F.lit(1))
+    return rows.join(prior, [FOLD, "city_code"], "left").withColumn(name, F.greatest(F.coalesce(F.element_at("_z", at), F.lit(0.0)), F.lit(0.0))).drop("_z")
 
 
 def pickup_forecast(log: Log, grid: DataFrame | None = None, zero_policy: str = "prior") -> DataFrame:
