@@ -218,7 +218,7 @@ def snapshots(log: Log) -> DataFrame:
     start = cfg.cutoff - timedelta(days=cfg.target_days - 1)
     anchor = start - timedelta(days=max(cfg.snapshot_horizons))
     early = Log.__new__(Log)
-    early.__dict__ |= log.__dict__ | {"cfg": cfg.at(anchor), "folds": (anchor,)}
+    early.__dict__ |= {k: v for k, v in log.__dict__.items() if k not in ("pairs", "sums")} | {"cfg": cfg.at(anchor), "folds": (anchor,)}
     grid = complete_grid(log.cities.select("city_code", "province_code"), start, cfg.cutoff)
     state = pair_state(grid, log.all.filter(F.col("checkin").between(F.lit(start), F.lit(cfg.cutoff))))
     rows = state.withColumns({FOLD: F.lit(anchor), "horizon": F.explode(F.array(*map(F.lit, cfg.snapshot_horizons)))})

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import importlib.util
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leadtide.functions.metrics import score
+from leadtide.operators.features import inference_frame, training_frame
+from leadtide.sources.artifacts import digest, read_json, verify, write_json
+from leadtide.sources.shared import shared_top, written
+from leadtide.sources.tables import Log
+
 #: Features of the remaining-demand model.
 FEATURES = (
     "days_to_checkin", "observed_total", "pickup_1d", "pickup_3d", "pickup_7d", "pickup_14d", "pickup_velocity_7d", "pickup_acceleration_7d", "pickup_3d_over_7d",
@@ -30,7 +35,9 @@ def prepared(frame: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFram
 
 
 #: The source's model: 400 trees of 127 leaves, of which a full tree of depth 7 has one more.
+#: Queries fit fewer and smaller trees with a larger step: a tree costs Spark some ten jobs, so 400 of them take longer than an hour on one machine.
 PRODUCTION = {"trees": 400, "depth": 7, "step": 0.06, "least": 40, "rows": 0.9, "columns": "0.8"}
+FEW_TREES = PRODUCTION | {"trees": 20, "depth": 5, "step": 0.3}
 
 
 def remaining_model(log_target: bool = True, trees: int = 10, depth: int = 4, seed: int = 42, features: tuple[str, ...] = FEATURES, step: float = 0.1, least: int = 1, rows: float = 1.0, columns: str = "all") -> Pipeline:
@@ -76,7 +83,7 @@ def _checkpoints(df: DataFrame) -> None:
     """Hundreds of trees make a lineage too deep to serialise unless it is cut; on a cluster set a shared folder before."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="leadtide-"))
+        context.setCheckpointDir(shared_top(df.sparkSession))
 
 
 def fit_bands(training: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, log_target: bool = True, **params) -> BandedModel:
@@ -86,6 +93,64 @@ def fit_bands(training: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, l
     return BandedModel(bands, models, log_target)
 
 
+def save_bundle(model: BandedModel, training: DataFrame, path: str, **about) -> None:
+    """A fitted model below a path, with what it was fitted on: each band's pipeline, and a manifest that holds the data's digest."""
+    spark = training.sparkSession
+    for i, m in enumerate(model.models):
+        m.write().overwrite().save(f"{path}/band_{i}")
+    write_json(spark, {"bands": [list(b) for b in model.bands], "log_target": model.log_target, "features": list(FEATURES), "digest": digest(training), **about}, f"{path}/manifest.json")
+
+
+def load_bundle(spark: SparkSession, path: str, training: DataFrame | None = None) -> BandedModel:
+    """A saved model; with ``training`` only if it was fitted on these rows. Other features than this library's are refused."""
+    about = read_json(spark, f"{path}/manifest.json")
+    if about["features"] != list(FEATURES):
+        raise ValueError(f"{path} was fitted on other features")
+    if training is not None:
+        verify(training, about["digest"], "the training table")
+    bands = tuple(tuple(b) for b in about["bands"])
+    return BandedModel(bands, [PipelineModel.load(f"{path}/band_{i}") for i in range(len(bands))], about["log_target"])
+
+
+def model_backtest(logs: list[Log], specs: dict[str, Callable[[DataFrame, DataFrame], DataFrame]], actual: DataFrame) -> tuple[DataFrame, list[dict]]:
+    """model, fold_cutoff, city_code, checkin, horizon, observed, actual, prediction of every spec in every fold, and the failures.
+
+    A spec takes the fold's training and inference frames and returns the latter with `prediction`. Each
+    fold's frames are written once and read by all specs; one spec that fails doesn't end the run.
+    actual: fold_cutoff, city_code, checkin, actual.
+    """
+    out, failures = None, []
+    for log in logs:
+        lessons, ahead = written(training_frame(log)), written(inference_frame(log))
+        for name, spec in specs.items():
+            try:
+                own = spec(lessons, ahead)
+                own = own.select(F.lit(name).alias("model"), F.lit(log.cfg.cutoff).alias("fold_cutoff"), "city_code", "checkin", F.col("days_to_checkin").alias("horizon"), F.col("observed_total").alias("observed"), F.col("prediction").cast("double").alias("prediction"))
+                own = written(own)
+            except Exception as e:  # noqa: BLE001  what a model raises is its result here
+                failures.append({"model": name, "fold": str(log.cfg.cutoff), "reason": f"{type(e).__name__}: {e}"[:500]})
+                continue
+            out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise RuntimeError(f"every model failed: {failures[:5]}")
+    return out.join(actual, ["fold_cutoff", "city_code", "checkin"]), failures
+
+
+def suite_scores(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Scores of a suite by model (and fold, horizon bucket, ...), the least WAPE first in `rank`."""
+    out = predictions.groupBy("model", *by).agg(*score("actual", "prediction"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("wape", "model")))
+
+
+def baseline_spec(lessons: DataFrame, ahead: DataFrame) -> DataFrame:
+    """The pickup baseline: demand seen by its expected share; needs no fit."""
+    return ahead.withColumn("prediction", F.col("pickup_baseline_prediction"))
+
+
+def gbt_spec(**params) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    return lambda lessons, ahead: fit_bands(lessons, **params).predict(ahead).withColumnRenamed("model_demand", "prediction")
+
+
 def wants_log(df: DataFrame, target: str = "y") -> DataFrame:
     """Whether a target is better learned in logs: over 0.4 zeros, or spread over 1.5 times its mean."""
     d = F.col(target).cast("double")

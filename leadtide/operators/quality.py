@@ -38,8 +38,29 @@ def event_findings(events: DataFrame, cities: DataFrame, cfg: Config) -> DataFra
     out = rules(events, {"count_below_one": F.col("search_count") < 1, "checkin_before_log": lead < 0, "lead_too_long": lead > cfg.max_lead, "null_in_key": nulls})
     out = out.unionByName(duplicates(events, ["log_date", "city_code", "checkin"]))
     out = out.unionByName(missing(events, cities, ["city_code"], "unknown_city")).unionByName(missing(cities, events, ["city_code"], "silent_city"))
-    history, target = F.col("checkin") <= F.lit(cfg.cutoff), F.col("checkin") > F.lit(cfg.cutoff)
-    return out.unionByName(rules(events, {"overlap_of_files": history & target}))
+    # The two files of the log: what has passed at the cutoff, and what was logged by then of the target.
+    history = events.filter(F.col("checkin") <= F.lit(cfg.cutoff))
+    target = events.filter((F.col("checkin") > F.lit(cfg.cutoff)) & (F.col("log_date") <= F.lit(cfg.cutoff)))
+    found = overlap(history, target, ["log_date", "city_code", "checkin"], "checkin")
+    return out.unionByName(found.select(F.lit("overlap_of_files").alias("rule"), F.col("shared_keys").alias("count")))
+
+
+def overlap(earlier: DataFrame, later: DataFrame, keys: list[str], day: str) -> DataFrame:
+    """Whether the dates of two files that should follow each other overlap, and how many keys both have."""
+    last, first = earlier.agg(F.max(day).alias("_last")), later.agg(F.min(day).alias("_first"))  # one row each
+    shared = earlier.select(*keys).distinct().join(later.select(*keys).distinct(), keys).agg(F.count(F.lit(1)).alias("shared_keys"))
+    return last.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(shared)).select(F.coalesce(F.col("_last") >= F.col("_first"), F.lit(False)).alias("ranges_overlap"), "shared_keys")
+
+
+def column_findings(df: DataFrame, columns: list[str], most: int = 200) -> DataFrame:
+    """name, distinct_values, is_constant, high_cardinality (over ``most`` values and half of the rows).
+
+    Values are counted by (column, value), so a row is spread once over its columns and nothing is expanded again.
+    """
+    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in columns))).alias("x"))
+    counted = pairs.groupBy("x.name", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    out = counted.groupBy("name").agg(F.count("v").alias("distinct_values"), F.sum("n").alias("_rows"))
+    return out.select("name", "distinct_values", (F.col("distinct_values") <= 1).alias("is_constant"), ((F.col("distinct_values") > most) & (F.col("distinct_values") > 0.5 * F.col("_rows"))).alias("high_cardinality"))
 
 
 def event_summary(events: DataFrame) -> DataFrame:

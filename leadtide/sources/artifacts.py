@@ -23,11 +23,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 def _replace(spark: SparkSession, fresh: str, path: str) -> None:
     new, store = _path(spark, fresh)
     old, _ = _path(spark, path)
-    if store.exists(old):
-        store.delete(old, True)
     store.mkdirs(old.getParent())
+    # The table that was there steps aside first, so a crash in between leaves one of the two.
+    aside = None
+    if store.exists(old):
+        aside, _ = _path(spark, f"{path.rstrip('/')}.{uuid.uuid4().hex}.old")
+        if not store.rename(old, aside):
+            raise OSError(f"{path} could not be moved aside")
     if not store.rename(new, old):
+        if aside is not None:
+            store.rename(aside, old)
         raise OSError(f"{path} could not be replaced")
+    if aside is not None:
+        store.delete(aside, True)
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
@@ -101,6 +109,27 @@ def load_training(spark: SparkSession, path: str, about: dict) -> DataFrame:
     return verify(df, about["digest"], path)
 
 
+_read: dict[str, tuple[int, DataFrame]] = {}
+
+
+def changed(spark: SparkSession, path: str) -> int:
+    """The latest modification time below a path."""
+    at, store = _path(spark, path)
+    return max((x.getModificationTime() for x in store.listStatus(at)), default=0)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """A table that is read once and kept in memory until its files change."""
+    key, now = f"{spark.sparkContext.applicationId}:{path}", changed(spark, path)
+    held = _read.get(key)
+    if held is None or held[0] != now:
+        if held is not None:
+            held[1].unpersist()
+        spark.catalog.refreshByPath(path)
+        _read[key] = (now, spark.read.parquet(path).cache())
+    return _read[key][1]
+
+
 def once(spark: SparkSession, path: str, make) -> DataFrame:
     """A table that is made only where it is not there yet."""
     return spark.read.parquet(path) if exists(spark, path) else write_table(make(), path)
