@@ -60,7 +60,7 @@ LIST_COST = 6
 SIGNS = 24
 SIGN_COLUMNS = [f"s{i}" for i in range(SIGNS)]
 #: Keys and sets of a packed chunk; a set's place in it has 16 bits.
-CHUNK_KEYS, CHUNK_SETS = 1_500_000, 60_000
+CHUNK_KEYS, CHUNK_SETS = 700_000, 60_000
 #: Leaders are tried, in so many rounds at most, while comparing members outside the main components with all others
 #: would take more comparisons than so many for each row of a list.
 LEADER_ROUNDS, COMPARISONS = 6, 256
@@ -263,24 +263,53 @@ def pack_keys(keys: np.ndarray, units: np.ndarray, deals: int) -> pa.RecordBatch
 
 
 def count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a set's unit and how many of its keys other sets have too; kind 1: such a key and its count."""
-    key, own, n, known, known_n = [], [], [], [], []
+    """kind 0: a set's unit and how many of its keys other sets have too; kind 1: such a key and its count.
+
+    Rows come in order of their deal, and no key is in two of them: one is held at a time.
+    """
+    known: list[np.ndarray] = []
+    known_n: list[np.ndarray] = []
+    held: list[dict] = []
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        shared, units, counts = shared_of(held)
+        known.append(units)
+        known_n.append(counts)
+        if shared.num_rows:
+            yield shared
+        held.clear()
+
     for batch in batches:
-        for row in batch.to_pylist():
-            base = np.uint64(row["p"] << 40)
-            read = lambda high, low, row=row, base=base: np.frombuffer(row[high], np.uint32).astype(np.uint64) << np.uint64(8) | np.frombuffer(row[low], np.uint8) | base
-            k = read("high", "low")
-            key.append(k)
-            own.append(np.frombuffer(row["units"], np.uint64)[np.frombuffer(row["owner"], np.uint16)])
-            n.append(np.ones(len(k), np.int64))
-            k = read("again_high", "again_low")
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i] for name in batch.schema.names}
+            row["p"] = row["p"].as_py()
+            if held and held[0]["p"] != row["p"]:
+                yield from settle()
+            held.append({k: v if k == "p" else v.as_py() for k, v in row.items()})
+    yield from settle()
+    if known:
+        units, at = np.unique(np.concatenate(known), return_inverse=True)
+        if len(units):
+            yield pa.record_batch([pa.array(np.zeros(len(units), np.int32)), pa.array(units.view(np.int64)), pa.array(np.bincount(at, weights=np.concatenate(known_n)).astype(np.int64))], ["kind", "id", "n"])
+
+
+def shared_of(rows: list[dict]) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """Of the packages of one deal the keys of several sets with their numbers, and units with how many of these they have."""
+    key, own, n, known, known_n = [], [], [], [], []
+    base = np.uint64(rows[0]["p"] << 40)
+    for row in rows:
+        for high, low, many in (("high", "low", False), ("again_high", "again_low", True)):
+            k = np.frombuffer(row[high], np.uint32).astype(np.uint64)
+            k <<= np.uint64(8)
+            k |= np.frombuffer(row[low], np.uint8)
+            k |= base
             key.append(k)
-            own.append(np.zeros(len(k), np.uint64))
-            n.append(np.frombuffer(row["again_n"], np.uint32).astype(np.int64))
-            known.append(np.frombuffer(row["known_units"], np.uint64))
-            known_n.append(np.frombuffer(row["known_n"], np.uint32).astype(np.int64))
-    if not key:
-        return
+            own.append(np.zeros(len(k), np.uint64) if many else np.frombuffer(row["units"], np.uint64)[np.frombuffer(row["owner"], np.uint16)])
+            n.append(np.frombuffer(row["again_n"], np.uint32) if many else np.ones(len(k), np.uint32))
+        known.append(np.frombuffer(row["known_units"], np.uint64))
+        known_n.append(np.frombuffer(row["known_n"], np.uint32))
     key, own, n, known, known_n = (np.concatenate(x) for x in (key, own, n, known, known_n))
     order = np.lexsort((own, key))
     key, own, n = key[order], own[order], n[order]
@@ -289,16 +318,16 @@ def count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     once = fresh.copy()
     once[1:] |= own[1:] != own[:-1]
     first = np.flatnonzero(fresh)
+    ids = counts = np.zeros(0, np.int64)
     if len(first):
         sets = np.add.reduceat(once.astype(np.int64), first)
-        total = np.add.reduceat(n, first)
+        total = np.add.reduceat(n.astype(np.int64), first)
         many = (sets > 1) | (total > np.add.reduceat((own != 0).astype(np.int64), first))
-        yield pa.record_batch([pa.array(np.ones(int(many.sum()), np.int32)), pa.array(key[first[many]].view(np.int64)), pa.array(total[many])], ["kind", "id", "n"])
-        shared = np.repeat(many, np.diff(np.append(first, len(key)))) & once & (own != 0)
-        known, known_n = np.concatenate([known, own[shared]]), np.concatenate([known_n, np.ones(int(shared.sum()), np.int64)])
-    if len(known):
-        units, at = np.unique(known, return_inverse=True)
-        yield pa.record_batch([pa.array(np.zeros(len(units), np.int32)), pa.array(units.view(np.int64)), pa.array(np.bincount(at, weights=known_n).astype(np.int64))], ["kind", "id", "n"])
+        ids, counts = key[first[many]].view(np.int64), total[many]
+        mine = own[np.repeat(many, np.diff(np.append(first, len(key)))) & once & (own != 0)]
+        known, known_n = np.concatenate([known, mine]), np.concatenate([known_n.astype(np.int64), np.ones(len(mine), np.int64)])
+    units, at = np.unique(known, return_inverse=True)
+    return pa.record_batch([pa.array(np.ones(len(ids), np.int32)), pa.array(ids), pa.array(counts)], ["kind", "id", "n"]), units, np.bincount(at, weights=known_n, minlength=len(units)).astype(np.int64)
 
 
 def set_ids(hashes: np.ndarray, seed: int) -> tuple[int, int]:
@@ -394,7 +423,7 @@ class JaccardJoin:
                 yield pack_keys(np.concatenate(keys), np.repeat(np.array(units, np.uint64), list(map(len, keys))), deals)
 
         packed = self.texts.select("data").mapInArrow(run, PACKED)
-        found = packed.repartition(parallelism(self.texts), "p").mapInArrow(count_keys, "kind int, id long, n long")
+        found = packed.repartition(parallelism(self.texts), "p").sortWithinPartitions("p").mapInArrow(count_keys, "kind int, id long, n long")
         found = self.scratch.write(found)
         units = found.filter("kind = 0").groupBy(F.col("id").alias("unit")).agg(F.sum("n").alias("n_shared"))
         return units, found.filter("kind = 1").select(F.col("id").alias("key"), F.col("n").alias("n_sets"))

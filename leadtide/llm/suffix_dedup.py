@@ -46,7 +46,7 @@ CLASSES = 4
 #: Ranges with one core that a task may index; cores with more are counted by hash.
 HOT = 4096
 #: Bytes that are indexed at once.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 
 _RANDOM = np.random.default_rng(20240101)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
