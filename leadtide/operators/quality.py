@@ -38,7 +38,8 @@ def event_findings(events: DataFrame, cities: DataFrame, cfg: Config) -> DataFra
     out = rules(events, {"count_below_one": F.col("search_count") < 1, "checkin_before_log": lead < 0, "lead_too_long": lead > cfg.max_lead, "null_in_key": nulls})
     out = out.unionByName(duplicates(events, ["log_date", "city_code", "checkin"]))
     out = out.unionByName(missing(events, cities, ["city_code"], "unknown_city")).unionByName(missing(cities, events, ["city_code"], "silent_city"))
-    # The two files of the log: what has passed at the cutoff, and what was logged by then of the target.
+    # The two files of the log: what has passed at the cutoff, and what was logged by then of the target. Cut from one
+    # log they can't overlap; files that come apart are compared by overlap() itself.
     history = events.filter(F.col("checkin") <= F.lit(cfg.cutoff))
     target = events.filter((F.col("checkin") > F.lit(cfg.cutoff)) & (F.col("log_date") <= F.lit(cfg.cutoff)))
     found = overlap(history, target, ["log_date", "city_code", "checkin"], "checkin")
