@@ -185,17 +185,18 @@ def pooled_panel(panel: DataFrame, mapping: DataFrame, columns: tuple[str, ...]
     return panel.join(mapping, "city_code").groupBy("cluster_code", "checkin").agg(*(F.sum(c).alias(c) for c in columns))
 
 
-def blended(city: DataFrame, cluster: DataFrame, profiles: DataFrame, mapping: DataFrame, shrinkage: float) -> DataFrame:
+def blended(city: DataFrame, cluster: DataFrame, profiles: DataFrame, mapping: DataFrame, shrinkage: float | str) -> DataFrame:
     """City forecasts drawn to their cluster's remaining demand by how little volume they have.
 
-    Cities alone in their cluster keep their own forecast.
+    Cities alone in their cluster keep their own forecast. shrinkage: a number, or the column of ``city`` that has it.
     """
     shares = member_shares(profiles, mapping)
     sizes = mapping.groupBy("cluster_code").agg(F.count(F.lit(1)).alias("_n"))
     rows = city.join(shares, "city_code").join(sizes, "cluster_code")
     pooled = cluster.select("cluster_code", "checkin", (F.col("predicted_demand") - F.col("observed")).alias("_pool"))
     rows = rows.join(pooled, ["cluster_code", "checkin"], "left")
-    own = F.when((F.col("_n") <= 1) | F.lit(shrinkage <= 0), 1.0).otherwise(F.col("volume") / (F.col("volume") + shrinkage))
+    least = F.col(shrinkage) if isinstance(shrinkage, str) else F.lit(float(shrinkage))
+    own = F.when((F.col("_n") <= 1) | (least <= 0), 1.0).otherwise(F.col("volume") / (F.col("volume") + least))
     rows = rows.withColumns({"blend_weight": own, "allocated": F.col("member_share") * F.col("_pool")})
     mixed = F.col("observed") + F.col("blend_weight") * (F.col("predicted_demand") - F.col("observed")) + (1 - F.col("blend_weight")) * F.coalesce("allocated", F.lit(0.0))
     return rows.withColumn("blended_demand", F.greatest(mixed, F.col("observed").cast("double"))).drop("_n", "_pool")

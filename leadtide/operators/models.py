@@ -58,12 +58,16 @@ class BandedModel:
     models: list[PipelineModel]
     log_target: bool = True
 
+    @property
+    def features(self) -> tuple[str, ...]:
+        return tuple(c for c in self.models[0].stages[0].getInputCols() if not c.endswith("_missing"))
+
     def predict(self, frame: DataFrame) -> DataFrame:
         """Adds model_demand: what is seen and what the band's model expects on top, never less."""
         covered = F.lit(False)
         for a, b in self.bands:
             covered = covered | F.col("days_to_checkin").between(a, b)
-        rows = prepared(frame)
+        rows = prepared(frame, self.features)
         more = F.expm1("_p") if self.log_target else F.col("_p")
         out = rows.filter(~covered).withColumn("model_demand", F.raise_error(F.lit("a horizon lies in no band")).cast("double"))
         for (a, b), model in zip(self.bands, self.models, strict=True):
@@ -86,10 +90,10 @@ def _checkpoints(df: DataFrame) -> None:
         context.setCheckpointDir(shared_top(df.sparkSession))
 
 
-def fit_bands(training: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, log_target: bool = True, **params) -> BandedModel:
-    rows = prepared(training).withColumn("_label", F.log1p(F.col("remaining_demand").cast("double")) if log_target else F.col("remaining_demand").cast("double"))
+def fit_bands(training: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, log_target: bool = True, features: tuple[str, ...] = FEATURES, **params) -> BandedModel:
+    rows = prepared(training, features).withColumn("_label", F.log1p(F.col("remaining_demand").cast("double")) if log_target else F.col("remaining_demand").cast("double"))
     _checkpoints(training)
-    models = [remaining_model(log_target, **params).fit(rows.filter(F.col("days_to_checkin").between(a, b))) for a, b in bands]
+    models = [remaining_model(log_target, features=features, **params).fit(rows.filter(F.col("days_to_checkin").between(a, b))) for a, b in bands]
     return BandedModel(bands, models, log_target)
 
 

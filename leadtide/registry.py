@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-PLANS = ("asof", "backtest", "features", "marts", "calibration", "clusters", "panel", "signals", "quality", "models", "serving", "choices")
+PLANS = ("asof", "backtest", "features", "marts", "calibration", "clusters", "pooling", "panel", "signals", "quality", "models", "serving", "choices")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
