@@ -35,7 +35,7 @@ def prepared(frame: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFram
 
 
 #: The source's model: 400 trees of 127 leaves, of which a full tree of depth 7 has one more.
-#: Queries fit fewer and smaller trees with a larger step: a tree costs Spark some ten jobs, so 400 of them take longer than an hour on one machine.
+#: What comparisons over folds and clusters fit: a tree costs Spark some ten jobs, so 400 of them take long on one machine.
 PRODUCTION = {"trees": 400, "depth": 7, "step": 0.06, "least": 40, "rows": 0.9, "columns": "0.8"}
 FEW_TREES = PRODUCTION | {"trees": 20, "depth": 5, "step": 0.3}
 
