@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import alone, current_scratch, materialise, parallelism
 
 #: Bytes of text in a shard, and bits of the table of frequent words or pairs (a power of two).
-SHARD_BYTES, BITS = 12 << 20, 1 << 26
+SHARD_BYTES, BITS = 8 << 20, 1 << 26
 #: Upper to lower case; tabs are spaces; delimiters end a piece.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 #: Between pieces; no byte of UTF-8.
@@ -47,15 +47,15 @@ class Shard:
         by_lang: dict[str, list[bytes]] = defaultdict(list)
         for lang, text in zip(langs, texts, strict=True):
             by_lang[lang].append(text)
-        parts, self.words, of = [np.zeros(1, np.int64)], [""], [0]
+        parts, self.words, of = [np.zeros(1, np.int32)], [""], [0]
         self.langs = list(by_lang)
         for number, own in enumerate(by_lang.values()):
             ids: dict[bytes, int] = defaultdict(count(len(self.words)).__next__)
-            ids[BREAK] = 0
-            tokens = b"\n".join(own).translate(FOLD).replace(b"\n", b" " + BREAK + b" ").split(b" ")
-            ids[b""] = -1  # between spaces
-            found = np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
-            parts += [found[found >= 0], np.zeros(1, np.int64)]
+            ids[BREAK], ids[b""] = 0, -1  # nothing stands between two spaces
+            for text in chunks(own):
+                tokens = text.translate(FOLD).replace(b"\n", b" " + BREAK + b" ").split(b" ")
+                found = np.fromiter(map(ids.__getitem__, tokens), np.int32, len(tokens))
+                parts += [found[found >= 0], np.zeros(1, np.int32)]
             new = [w for w, i in ids.items() if i > 0]
             self.words += [w.decode() for w in new]
             of += [number] * len(new)
@@ -78,17 +78,33 @@ class Shard:
         return pa.record_batch([langs, pa.array(np.full(len(at), n, np.int32)), joined, pa.array(counts)], ["lang", "size", "phrase", "f"])
 
 
+def chunks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[bytes]:
+    """The texts, a line break between them, in pieces of about ``limit`` bytes: words of so many at a time are Python objects."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= limit:
+            yield b"\n".join(held)
+            held, size = [], 0
+    if held:
+        yield b"\n".join(held)
+
+
 def suffix_order(ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     """The places ``starts`` in the order of the ``depth`` ids from them on, by doubling the length that ranks compare."""
     ranks, length = ids, 1
     while 2 * length < depth:
-        ahead = np.concatenate([ranks[length:], np.zeros(length, ranks.dtype)])
-        ranks = np.unique(ranks * (ranks.max() + 1) + ahead, return_inverse=True)[1]
+        ranks = np.unique(pairs_at(ranks, length), return_inverse=True)[1].astype(np.int32)
         length *= 2
-    if length >= depth:
-        return starts[np.argsort(ranks[starts], kind="stable")]
-    ahead = np.concatenate([ranks[length:], np.zeros(length, ranks.dtype)])
-    return starts[np.argsort(ranks[starts] * (ranks.max() + 1) + ahead[starts], kind="stable")]
+    return starts[np.argsort((pairs_at(ranks, length) if length < depth else ranks)[starts], kind="stable")]
+
+
+def pairs_at(ranks: np.ndarray, length: int) -> np.ndarray:
+    """The rank of each place and that of ``length`` places on, as one number."""
+    out = ranks.astype(np.int64) * (int(ranks.max()) + 1)
+    out[:-length] += ranks[length:]
+    return out
 
 
 def intervals(ids: np.ndarray, reach: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -102,7 +118,7 @@ def intervals(ids: np.ndarray, reach: np.ndarray, sizes: tuple[int, ...]) -> Ite
         return
     order = suffix_order(ids, starts, max(sizes))
     padded = np.concatenate([ids, np.zeros(max(sizes), ids.dtype)])
-    lcp, same = np.zeros(len(order), np.int64), np.ones(max(len(order) - 1, 0), bool)
+    lcp, same = np.zeros(len(order), np.int32), np.ones(max(len(order) - 1, 0), bool)
     for k in range(max(sizes)):
         same &= padded[order[1:] + k] == padded[order[:-1] + k]
         lcp[1:] += same
@@ -115,7 +131,7 @@ def intervals(ids: np.ndarray, reach: np.ndarray, sizes: tuple[int, ...]) -> Ite
 
 def reaches(linked: np.ndarray, most: int) -> np.ndarray:
     """From flags that an id belongs with the next one: how many ids from each on belong together, ``most`` at most."""
-    out = np.ones(len(linked), np.int64)
+    out = np.ones(len(linked), np.int32)
     run = linked.copy()
     for k in range(1, most):
         out += run
