@@ -63,6 +63,17 @@ def with_fraction(rows: DataFrame, log: Log, horizon: Column | None = None, name
     return out.withColumns(columns).drop("_c", "_p", "_g")
 
 
+def city_curves(log: Log) -> DataFrame:
+    """fold_cutoff, city_code, _curve: for every city of the dimension the shares of its curve by days ahead, else those of
+    its province's curve, else of all."""
+    cfg, leads = log.cfg, city_leads(log)
+    part = lambda key, least, to: curve_sums(leads, key, least, cfg).select(FOLD, F.col("key").alias(key or "_key"), F.transform("cum", lambda x: x / F.col("support")).alias(to))
+    cities = log.cities.select("city_code", "province_code").withColumn(FOLD, F.explode(log.cutoffs))
+    out = cities.join(part("city_code", cfg.min_city_support, "_c"), [FOLD, "city_code"], "left").join(part("province_code", cfg.min_province_support, "_p"), [FOLD, "province_code"], "left")
+    out = out.join(F.broadcast(part(None, 0, "_g").drop("_key")), FOLD, "left")  # one row for each fold
+    return out.select(FOLD, "city_code", F.coalesce("_c", "_p", "_g").alias("_curve"))
+
+
 def demand_prior(log: Log) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Mean demand a day in the window before the cutoff by (city, weekday), city, province and overall.
 

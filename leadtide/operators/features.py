@@ -1,18 +1,25 @@
-"""Features of a pair as it was seen some days ahead: all array lookups in its lead-time state."""
+"""Features of a pair as it was seen some days ahead, read from matrices of demand by lead time."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadtide.config import EPS
 from leadtide.functions.calendar import WEEKEND, is_weekend, jalali_parts
-from leadtide.operators.asof import PAIR, came_in, complete_grid, lead_state, pair_state, seen
-from leadtide.operators.curves import FOLD, with_fraction, with_zero_prior
+from leadtide.operators.asof import PAIR, complete_grid
+from leadtide.operators.curves import FOLD, city_curves, zero_sums
 from leadtide.sources.tables import Log
 
+#: Lead times that a state tells apart.
+SLOTS = 60
 NULLABLE = ("days_since_first_search", "days_since_last_search", "search_span")
 # The features of the compact set.
 COMPACT = (
@@ -23,108 +30,169 @@ COMPACT = (
 )
 HISTORY = ("city_hist_mean", "city_hist_median", "city_hist_p75", "city_hist_p90", "city_hist_std", "city_volatility", "city_weekend_ratio")
 
+# All features of a row, in order.
+FEATURES = (
+    "observed_total", "days_to_checkin", "pickup_1d", "pickup_3d", "pickup_7d", "pickup_14d",
+    "pickup_velocity_3d", "pickup_velocity_7d", "pickup_velocity_14d", "pickup_acceleration_3d", "pickup_acceleration_7d",
+    "pickup_1d_share", "pickup_3d_share", "pickup_7d_share", "pickup_3d_over_7d",
+    "active_search_days", "days_since_first_search", "days_since_last_search", "max_daily_search", "mean_daily_search", "std_daily_search", "search_span",
+    "expected_completion_fraction", "expected_remaining_fraction", "pickup_baseline_prediction", "pickup_baseline_remaining", "pickup_surprise",
+    "checkin_weekday", "is_weekend", "checkin_day_of_month", "jalali_month", "jalali_day",
+    "city_code", "province_code", "lat", "long", *HISTORY, "city_weekday_mean",
+    *(f"market_{x}" for x in ("observed_total", "pickup_1d", "pickup_3d", "pickup_7d", "pickup_14d", "pickup_velocity_3d", "pickup_velocity_7d", "pickup_velocity_14d", "pickup_acceleration_3d", "pickup_acceleration_7d")), "city_share_of_market",
+    *(f"province_{x}" for x in ("observed_total", "pickup_1d", "pickup_3d", "pickup_7d", "pickup_14d", "pickup_velocity_3d", "pickup_velocity_7d", "pickup_velocity_14d", "pickup_acceleration_3d", "pickup_acceleration_7d")), "city_share_of_province",
+)
 # The block of virtual cities.
 CLUSTER = ("n_cities_in_cluster", "cluster_min_member_volume", "cluster_max_member_share")
 
 
-def pickup_block(cum: str, h: Column, prefix: str = "") -> dict[str, Column]:
-    out = {f"{prefix}observed_total": seen(cum, h)}
-    return out | {f"{prefix}pickup_{w}d": came_in(cum, h, w) for w in (1, 3, 7, 14)}
-
-
-def velocity_block(cum: str, h: Column, prefix: str = "") -> dict[str, Column]:
-    """A window's mean a day, and what it is above the same window before it."""
-    out = {f"{prefix}pickup_velocity_{w}d": came_in(cum, h, w) / w for w in (3, 7, 14)}
-    return out | {f"{prefix}pickup_acceleration_{w}d": came_in(cum, h, w) / w - came_in(cum, h + w, w) / w for w in (3, 7)}
+def calendar_block() -> dict[str, Column]:
+    _, month, number = jalali_parts("checkin")
+    return {"checkin_weekday": F.weekday("checkin"), "is_weekend": is_weekend("checkin"), "checkin_day_of_month": F.dayofmonth("checkin"), "jalali_month": month, "jalali_day": number}
 
 
-def share_block(cum: str, h: Column) -> dict[str, Column]:
-    out = {f"pickup_{w}d_share": came_in(cum, h, w) / (seen(cum, h) + EPS) for w in (1, 3, 7)}
-    return out | {"pickup_3d_over_7d": came_in(cum, h, 3) / (came_in(cum, h, 7) + EPS)}
+def lead_counts(log: Log, events: DataFrame) -> DataFrame:
+    """city_code, province_code, checkin, days_to_checkin, n: demand by lead time within the slots of a state."""
+    long = events.filter(F.col("days_to_checkin").between(0, SLOTS - 1)).groupBy(*PAIR, "days_to_checkin").agg(F.sum("search_count").alias("n"))
+    return long.join(log.cities.select("city_code", "province_code"), "city_code", "left")
+
+
+def entries(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, entries: a group's counts by lead time, ``SLOTS`` of them at most."""
+    own = counts.groupBy(*keys, "days_to_checkin").agg(F.sum("n").alias("n"))
+    return own.groupBy(*keys).agg(F.collect_list(F.struct("days_to_checkin", "n")).alias("entries"))
+
+
+def dense(column: pa.Array) -> np.ndarray:
+    """rows x slots of counts from lists of (lead time, count)."""
+    out = np.zeros((len(column), SLOTS), np.int64)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(column)
+    out[np.repeat(np.arange(len(column)), lengths), flat.field(0).to_numpy(zero_copy_only=False)] = flat.field(1).to_numpy(zero_copy_only=False)
+    return out
+
+
+def from_lead(values: np.ndarray, way: np.ufunc = np.add) -> np.ndarray:
+    """Running sums (or maxima, ...) from the last slot down, with nothing after it."""
+    return np.concatenate([way.accumulate(values[:, ::-1], axis=1)[:, ::-1], np.zeros((len(values), 1), values.dtype)], 1)
+
+
+def numbers_seen(daily: np.ndarray, h: np.ndarray, prefix: str, more: bool) -> dict[str, pa.Array]:
+    """What is known ``h`` days ahead of each row: demand, what came in last, speed; with ``more`` also shares and activity."""
+    cum, rows = from_lead(daily), np.arange(len(daily))
+    at = lambda table, k: table[rows, np.minimum(k, SLOTS)]
+    came = lambda k, w: at(cum, k) - at(cum, k + w)
+    out = {f"{prefix}observed_total": at(cum, h)} | {f"{prefix}pickup_{w}d": came(h, w) for w in (1, 3, 7, 14)}
+    out |= {f"{prefix}pickup_velocity_{w}d": came(h, w) / w for w in (3, 7, 14)}
+    out |= {f"{prefix}pickup_acceleration_{w}d": came(h, w) / w - came(h + w, w) / w for w in (3, 7)}
+    if not more:
+        return {k: pa.array(v) for k, v in out.items()}
+    out |= {f"pickup_{w}d_share": came(h, w) / (at(cum, h) + EPS) for w in (1, 3, 7)}
+    out["pickup_3d_over_7d"] = came(h, 3) / (came(h, 7) + EPS)
+    active = daily > 0
+    n, squares = at(from_lead(active.astype(np.int64)), h), at(from_lead(daily.astype(np.float64) ** 2), h)
+    lead = np.where(active, np.arange(SLOTS), SLOTS)
+    nearest = np.concatenate([np.minimum.accumulate(lead[:, ::-1], axis=1)[:, ::-1], np.full((len(daily), 1), SLOTS)], 1)
+    earliest = np.where(active, np.arange(SLOTS), -1).max(1)
+    none = n == 0
+    mean = at(cum, h) / np.maximum(n, 1)
+    first, last = earliest - h, at(nearest, h) - h
+    spread = np.where(none, 0.0, squares / np.maximum(n, 1) - mean * mean)
+    whole = lambda v, nulls=None: pa.array(v, pa.int32(), mask=nulls)
+    return {k: pa.array(v) for k, v in out.items()} | {
+        "active_search_days": whole(n),
+        "days_since_first_search": whole(first, none),
+        "days_since_last_search": whole(last, none),
+        "max_daily_search": pa.array(at(from_lead(daily, np.maximum), h)),
+        "mean_daily_search": pa.array(mean),
+        "std_daily_search": pa.array(np.sqrt(np.maximum(spread, 0.0))),
+        "search_span": whole(first - last, none),
+        "final": pa.array(cum[:, 0]),
+    }
 
 
-def activity_block(tail: str, h: Column, slots: int = 60) -> dict[str, Column]:
-    """Days with any search: how many, how long ago the first and last, level and spread over them.
+def seen_features(frame: DataFrame, keys: list[str], horizons: tuple[int, ...] | None, prefix: str = "", more: bool = False) -> DataFrame:
+    """keys, horizon and features of a frame with `entries`: a row for each of ``horizons``, or for the row's own `horizon`.
 
-    The earliest lead time of a pair's searches is the one of its whole tail: lookups, no walks.
+    States are matrices of a batch, so a feature of a horizon is one step for all its rows.
     """
-    own = F.element_at(tail, F.least(h, F.lit(slots)) + 1)
-    n = own["days"]
-    mean = own["cum"].cast("double") / F.greatest(n, F.lit(1))
-    squares = own["squares"]
-    earliest = F.col("earliest")
-    first, last = F.when(n > 0, earliest - h), own["first"] - h
-    return {
-        "active_search_days": n,
-        "days_since_first_search": first,
-        "days_since_last_search": last,
-        "max_daily_search": own["top"],
-        "mean_daily_search": mean,
-        "std_daily_search": F.sqrt(F.greatest(F.when(n > 0, squares / F.greatest(n, F.lit(1)) - mean * mean).otherwise(0.0), F.lit(0.0))),
-        "search_span": first - last,
-    }
+    probe = numbers_seen(np.zeros((0, SLOTS), np.int64), np.zeros(0, np.int64), prefix, more)
+    names = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double"}
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            daily = dense(batch.column("entries"))
+            for h in horizons or (None,):
+                at = batch.column("horizon").to_numpy(zero_copy_only=False).astype(np.int64) if h is None else np.full(batch.num_rows, h, np.int64)
+                own = numbers_seen(daily, at, prefix, more)
+                yield pa.record_batch([*(batch.column(k) for k in keys), pa.array(at, pa.int32()), *own.values()], [*keys, "horizon", *own])
 
-def calendar_block() -> dict[str, Column]:
-    _, month, number = jalali_parts("checkin")
-    return {"checkin_weekday": F.weekday("checkin"), "is_weekend": is_weekend("checkin"), "checkin_day_of_month": F.dayofmonth("checkin"), "jalali_month": month, "jalali_day": number}
+    kinds = dict(frame.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "horizon int", *(f"{k} {names[v.type]}" for k, v in probe.items())])
+    return frame.select(*keys, *([] if horizons else ["horizon"]), "entries").mapInArrow(task, schema)
 
 
-def training_pairs(log: Log) -> DataFrame:
-    """The complete grid of the training window up to the cutoff, with the state of pair, market, province."""
+def training_counts(log: Log) -> tuple[DataFrame, DataFrame]:
+    """The complete grid of the training window up to the cutoff, and the counts of its check-ins."""
     cfg = log.cfg
     start = cfg.cutoff - timedelta(days=cfg.train_window_days - 1)
     events = log.all.filter(F.col("checkin").between(F.lit(start), F.lit(cfg.cutoff)))
-    return with_context(complete_grid(log.cities.select("city_code", "province_code"), start, cfg.cutoff), events, log)
+    return complete_grid(log.cities.select("city_code", "province_code"), start, cfg.cutoff), lead_counts(log, events)
 
 
-def target_pairs(log: Log) -> DataFrame:
-    """The same for the target window; only what was logged by the cutoff counts."""
-    cfg = log.cfg
-    grid = complete_grid(log.cities.select("city_code", "province_code"), cfg.target_start, cfg.target_end)
-    return with_context(grid, log.evaluation.drop(FOLD), log)
+def pair_features(grid: DataFrame, counts: DataFrame, horizons: tuple[int, ...] | None) -> DataFrame:
+    """Features of the grid's pairs alone, with `final`, their whole demand."""
+    keys = ["city_code", "province_code", "checkin"]
+    return seen_features(spread(grid, *PAIR).join(entries(counts, PAIR), PAIR, "left"), keys, horizons, more=True)
 
 
-def with_context(grid: DataFrame, events: DataFrame, log: Log) -> DataFrame:
-    """Pair, market and province states. Market and province are sums of the pairs' long form."""
-    located = events.join(log.cities.select("city_code", "province_code"), "city_code")
-    market = lead_state(events, ["checkin"]).select("checkin", F.col("cum").alias("market_cum"))
-    province = lead_state(located, ["province_code", "checkin"]).select("province_code", "checkin", F.col("cum").alias("province_cum"))
-    zeros = F.array_repeat(F.lit(0).cast("long"), 61)
-    earliest = F.array_max(F.transform("daily", lambda x, i: F.when(x > 0, i)))
-    state = pair_state(grid, events).join(market, "checkin", "left").join(province, ["province_code", "checkin"], "left")
-    return state.withColumns({"market_cum": F.coalesce("market_cum", zeros), "province_cum": F.coalesce("province_cum", zeros), "earliest": earliest, FOLD: F.lit(log.cfg.cutoff)})
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many tasks as a shuffle has: small rows that cost much work each would else be put together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def at_horizons(pairs: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
-    """Each pair as it was seen at each horizon, from the one state."""
-    return pairs.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
+def around_features(grid: DataFrame, counts: DataFrame, keys: list[str], prefix: str, horizons: tuple[int, ...] | None) -> DataFrame:
+    """The same of the market (keys: checkin) or of provinces, at the horizons of the grid."""
+    own = [*keys, *([] if horizons else ["horizon"])]
+    return seen_features(grid.select(*own).distinct().join(entries(counts, keys), keys, "left"), keys, horizons, prefix)
 
 
-def with_features(rows: DataFrame, log: Log) -> DataFrame:
-    """All features of rows with states and a horizon."""
+def with_features(grid: DataFrame, counts: DataFrame, log: Log, horizons: tuple[int, ...] | None = None) -> DataFrame:
+    """All features of a grid's pairs at ``horizons``, or each at its own `horizon`. Only narrow rows are joined."""
+    pairs = pair_features(grid, counts, horizons)
+    # Dates x horizons, and provinces of which there are few: bounded by the window.
+    market = F.broadcast(around_features(grid, counts, ["checkin"], "market_", horizons))
+    province = F.broadcast(around_features(grid, counts, ["province_code", "checkin"], "province_", horizons))
+    out = pairs.join(market, ["checkin", "horizon"]).join(province, ["province_code", "checkin", "horizon"])
     h = F.col("horizon")
-    rows = with_zero_prior(with_fraction(rows, log, name="expected_completion_fraction", source=None), log, "_zero")
-    out = rows.withColumns({**pickup_block("cum", h), **velocity_block("cum", h), **share_block("cum", h), **activity_block("tail", h), **calendar_block(), **pickup_block("market_cum", h, "market_"), **velocity_block("market_cum", h, "market_"), **pickup_block("province_cum", h, "province_"), **velocity_block("province_cum", h, "province_")})
+    out = out.withColumns({FOLD: F.lit(log.cfg.cutoff), **calendar_block()}).join(city_side(log), [FOLD, "city_code"], "left")
+    step, near = F.least(F.greatest(h, F.lit(0)), F.lit(log.cfg.max_lead)) + 1, F.greatest(F.least(h, F.lit(log.cfg.target_days)), F.lit(1))
     fraction, observed = F.col("expected_completion_fraction"), F.col("observed_total")
+    out = out.withColumn("expected_completion_fraction", F.greatest(F.least(F.element_at("_curve", step), F.lit(1.0)), F.lit(log.cfg.min_fraction)))
     out = out.withColumns(
         {
             "days_to_checkin": h,
             "expected_remaining_fraction": 1 - fraction,
             "pickup_baseline_prediction": F.greatest(observed / fraction, observed.cast("double")),
             "pickup_baseline_remaining": F.greatest(observed / fraction - observed, F.lit(0.0)),
-            "pickup_surprise": observed / (F.col("_zero") * fraction + EPS),
+            "pickup_surprise": observed / (F.greatest(F.coalesce(F.element_at("_means", near), F.lit(0.0)), F.lit(0.0)) * fraction + EPS),
             "city_share_of_market": observed / (F.col("market_observed_total") + EPS),
             "city_share_of_province": observed / (F.col("province_observed_total") + EPS),
         }
-    ).drop("_zero", "daily", "cum", "tail", "earliest", "market_cum", "province_cum")
-    return with_place(out, log)
+    ).drop("_curve", "_means")
+    return with_history(out, log)
+
 
+def city_side(log: Log) -> DataFrame:
+    """fold_cutoff, city_code, lat, long, _curve (its completion curve by days ahead, else its province's, else that of all), _means (its zero prior by horizon): a row a city."""
+    cities = log.cities.select("city_code", "province_code", "lat", "long").withColumn(FOLD, F.lit(log.cfg.cutoff))
+    return cities.join(city_curves(log), [FOLD, "city_code"]).join(zero_sums(log, ("city",)).select(FOLD, F.col("key").alias("city_code"), F.col("means").alias("_means")), [FOLD, "city_code"], "left").drop("province_code")
 
-def with_place(rows: DataFrame, log: Log) -> DataFrame:
-    """A row's place, and its city's statistics as of the row's own origin, min(checkin - horizon, cutoff); 0 before any."""
+
+def with_history(rows: DataFrame, log: Log) -> DataFrame:
+    """A row's city statistics as of the row's own origin, min(checkin - horizon, cutoff); 0 before any."""
     at = rows.withColumn("origin", F.least(F.date_sub("checkin", F.col("horizon")), F.lit(log.cfg.cutoff)))
-    out = at.join(log.cities.select("city_code", "lat", "long"), "city_code", "left").join(origin_history(log), ["city_code", "origin"], "left")
+    out = at.join(origin_history(log), ["city_code", "origin"], "left")
     out = out.withColumn("city_weekday_mean", F.coalesce(F.col("weekday_means")[F.weekday("checkin")], F.lit(0.0)))
     return out.fillna(0.0, list(HISTORY)).drop("weekday_means", "origin")
 
@@ -140,14 +208,16 @@ def with_clusters(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 def training_frame(log: Log) -> DataFrame:
     """Features of every pair and horizon of the training window, and the demand still to come."""
-    rows = training_pairs(log).withColumn("final", F.element_at("cum", 1))
-    out = with_features(at_horizons(rows, log.cfg.train_horizons), log)
+    grid, counts = training_counts(log)
+    out = with_features(grid, counts, log, log.cfg.train_horizons)
     return out.withColumn("remaining_demand", F.greatest(F.col("final") - F.col("observed_total"), F.lit(0).cast("long")))
 
 
 def inference_frame(log: Log) -> DataFrame:
-    """Features of the target window, each check-in at its own horizon."""
-    return with_features(target_pairs(log).withColumn("horizon", F.datediff("checkin", FOLD)), log)
+    """Features of the target window, each check-in at its own horizon; only what was logged by the cutoff counts."""
+    cfg = log.cfg
+    grid = complete_grid(log.cities.select("city_code", "province_code"), cfg.target_start, cfg.target_end).withColumn("horizon", F.datediff("checkin", F.lit(cfg.cutoff)))
+    return with_features(grid, lead_counts(log, log.evaluation.drop(FOLD)), log).drop("final")
 
 
 def quality_gate(frame: DataFrame, features: list[str]) -> DataFrame:
@@ -187,24 +257,46 @@ def city_history(log: Log) -> DataFrame:
 def origin_history(log: Log) -> DataFrame:
     """The same statistics as of every date: rolling over the rows of the last ``history_days`` dates.
 
-    Windows are partitioned by city; a city's rows are its dates, which time bounds.
+    A city's days are one sorted group, which time bounds. Its window is kept as a sorted list and as whole sums: a day
+    comes in, one goes out, and quantiles are read by their rank.
     """
+    days, eps = log.cfg.history_days, EPS
     rows = completed_history(log, None)
-    frame = Window.partitionBy("city_code").orderBy("checkin").rowsBetween(1 - log.cfg.history_days, 0)
-    weekend = F.weekday("checkin").isin(*WEEKEND)
-    n = F.col("n")
-    out = rows.withColumns(
-        {
-            "city_hist_mean": F.avg(n).over(frame),
-            "_q": F.percentile(n, F.array(*map(F.lit, (0.5, 0.75, 0.9)))).over(frame),
-            "city_hist_std": F.coalesce(F.stddev_samp(n).over(frame), F.lit(0.0)),
-            "_end": F.avg(F.when(weekend, n)).over(frame),
-            "_work": F.avg(F.when(~weekend, n)).over(frame),
-            "_weekday": F.array(*(F.coalesce(F.avg(F.when(F.weekday("checkin") == d, n)).over(frame), F.lit(0.0)) for d in range(7))),
-        }
-    )
-    out = out.withColumns({name: F.col("_q")[i] for i, name in enumerate(("city_hist_median", "city_hist_p75", "city_hist_p90"))})
-    return out.select("city_code", F.col("checkin").alias("origin"), "city_hist_mean", "city_hist_median", "city_hist_p75", "city_hist_p90", "city_hist_std", (F.col("city_hist_std") / (F.col("city_hist_mean") + EPS)).alias("city_volatility"), F.coalesce(F.col("_end") / (F.col("_work") + EPS), F.lit(1.0)).alias("city_weekend_ratio"), F.col("_weekday").alias("weekday_means"))
+
+    def rolled(table: pa.Table) -> pa.Table:
+        table = table.sort_by("checkin")
+        values, weekdays = table.column("n").to_pylist(), table.column("weekday").to_pylist()
+        out: dict[str, list] = {c: [] for c in (*HISTORY, "weekday_means")}
+        held, total, squares, sums, counts = [], 0, 0, [0] * 7, [0] * 7
+        for i, (n, d) in enumerate(zip(values, weekdays, strict=True)):
+            insort(held, n)
+            total, squares = total + n, squares + n * n
+            sums[d] += n
+            counts[d] += 1
+            if i >= days:
+                gone, w = values[i - days], weekdays[i - days]
+                del held[bisect_left(held, gone)]
+                total, squares = total - gone, squares - gone * gone
+                sums[w] -= gone
+                counts[w] -= 1
+            size = len(held)
+            mean = total / size
+            std = ((squares * size - total * total) / (size * (size - 1))) ** 0.5 if size > 1 else 0.0
+            out["city_hist_mean"].append(mean)
+            for name, q in (("city_hist_median", 0.5), ("city_hist_p75", 0.75), ("city_hist_p90", 0.9)):
+                low, part = divmod(q * (size - 1), 1)
+                below = held[int(low)]
+                out[name].append(below + part * (held[min(int(low) + 1, size - 1)] - below))
+            out["city_hist_std"].append(std)
+            out["city_volatility"].append(std / (mean + eps))
+            ends, rest = sum(counts[w] for w in WEEKEND), size - sum(counts[w] for w in WEEKEND)
+            end_total = sum(sums[w] for w in WEEKEND)
+            out["city_weekend_ratio"].append((end_total / ends) / ((total - end_total) / rest + eps) if ends and rest else 1.0)
+            out["weekday_means"].append([s / c if c else 0.0 for s, c in zip(sums, counts, strict=True)])
+        return pa.table({"city_code": table.column("city_code"), "origin": table.column("checkin"), **{c: pa.array(v, pa.list_(pa.float64()) if c == "weekday_means" else pa.float64()) for c, v in out.items()}})
+
+    schema = "city_code int, origin date, " + ", ".join(f"{c} double" for c in HISTORY) + ", weekday_means array<double>"
+    return spread(rows.select("city_code", "checkin", "n", F.weekday("checkin").alias("weekday")), "city_code").groupBy("city_code").applyInArrow(rolled, schema)
 
 
 def with_origin_history(rows: DataFrame, log: Log) -> DataFrame:

@@ -40,6 +40,14 @@ MB = f"mb AS ({_block('checkin', 'pw', 'market_')})"
 VB = f"vb AS ({_block('province_code, checkin', 'pw', 'province_')})"
 
 
+AROUND = ("observed_total", "pickup_1d", "pickup_3d", "pickup_7d", "pickup_14d", "pickup_velocity_3d", "pickup_velocity_7d", "pickup_velocity_14d", "pickup_acceleration_3d", "pickup_acceleration_7d")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the training window's pairs alone."""
+    return features.pair_features(*features.training_counts(log(spark, sf_dir)), C.train_horizons)
+
+
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.training_frame(log(spark, sf_dir))
 
@@ -54,10 +62,8 @@ def pair_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pickup_features", sql(f"SELECT city_code, {_KEY}, horizon, observed_total, pickup_1d, pickup_3d, pickup_7d, pickup_14d, pickup_velocity_3d, pickup_velocity_7d, pickup_velocity_14d, pickup_acceleration_3d, pickup_acceleration_7d, round(pickup_1d / (observed_total + 1e-6), 6) AS pickup_1d_share, round(pickup_3d / (observed_total + 1e-6), 6) AS pickup_3d_share, round(pickup_7d / (observed_total + 1e-6), 6) AS pickup_7d_share, round(pickup_3d / (pickup_7d + 1e-6), 6) AS pickup_3d_over_7d FROM pb", PAIRS, HORIZONS, WINDOW, PB))
 def pickup_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.col("horizon")
-    rows = features.at_horizons(features.training_pairs(log(spark, sf_dir)), C.train_horizons)
-    blocks = {**features.pickup_block("cum", h), **features.velocity_block("cum", h), **features.share_block("cum", h)}
-    return rounded(rows.select("city_code", "checkin", "horizon", *(v.alias(k) for k, v in blocks.items())))
+    shares = ("pickup_1d_share", "pickup_3d_share", "pickup_7d_share", "pickup_3d_over_7d")
+    return rounded(_pairs(spark, sf_dir).select("city_code", "checkin", "horizon", *AROUND, *shares))
 
 
 @query(
@@ -71,9 +77,8 @@ def pickup_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def activity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.at_horizons(features.training_pairs(log(spark, sf_dir)), C.train_horizons)
-    blocks = features.activity_block("tail", F.col("horizon"))
-    return rounded(rows.select("city_code", "checkin", "horizon", *(v.alias(k) for k, v in blocks.items())), std_daily_search=4)
+    names = ("active_search_days", "days_since_first_search", "days_since_last_search", "max_daily_search", "mean_daily_search", "std_daily_search", "search_span")
+    return rounded(_pairs(spark, sf_dir).select("city_code", "checkin", "horizon", *names), std_daily_search=4)
 
 
 @query(
@@ -94,18 +99,12 @@ def curve_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("market_features", sql("SELECT strftime(checkin, '%Y-%m-%d') AS checkin, * EXCLUDE (checkin) FROM mb", PAIRS, HORIZONS, WINDOW, MB))
 def market_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.col("horizon")
-    rows = features.training_pairs(log(spark, sf_dir)).groupBy("checkin").agg(F.first("market_cum").alias("market_cum"))
-    blocks = {**features.pickup_block("market_cum", h, "market_"), **features.velocity_block("market_cum", h, "market_")}
-    return rounded(features.at_horizons(rows, C.train_horizons).select("checkin", "horizon", *(v.alias(k) for k, v in blocks.items())))
+    return rounded(features.around_features(*features.training_counts(log(spark, sf_dir)), ["checkin"], "market_", C.train_horizons))
 
 
 @query("province_features", sql("SELECT strftime(checkin, '%Y-%m-%d') AS checkin, * EXCLUDE (checkin) FROM vb", PAIRS, HORIZONS, WINDOW, VB))
 def province_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.col("horizon")
-    rows = features.training_pairs(log(spark, sf_dir)).groupBy("province_code", "checkin").agg(F.first("province_cum").alias("province_cum"))
-    blocks = {**features.pickup_block("province_cum", h, "province_"), **features.velocity_block("province_cum", h, "province_")}
-    return rounded(features.at_horizons(rows, C.train_horizons).select("province_code", "checkin", "horizon", *(v.alias(k) for k, v in blocks.items())))
+    return rounded(features.around_features(*features.training_counts(log(spark, sf_dir)), ["province_code", "checkin"], "province_", C.train_horizons))
 
 
 @query("training_frame", sql(f"SELECT pb.city_code, strftime(pb.checkin, '%Y-%m-%d') AS checkin, pb.horizon, observed_total, greatest(CAST(coalesce(f.n, 0) AS BIGINT) - observed_total, 0) AS remaining_demand, round(observed_total / (market_observed_total + 1e-6), 6) AS city_share_of_market, round(observed_total / (province_observed_total + 1e-6), 6) AS city_share_of_province FROM pb JOIN ci USING (city_code) JOIN mb USING (checkin, horizon) JOIN vb USING (province_code, checkin, horizon) LEFT JOIN (SELECT city_code, checkin, sum(n) AS n FROM pe GROUP BY ALL) f USING (city_code, checkin)", PAIRS, HORIZONS, WINDOW, PB, MB, VB))
