@@ -1,53 +1,38 @@
-"""Models of the remaining demand on Spark ML, and the registry of what can be fitted."""
+"""Models of the remaining demand, and the registry of what can be fitted."""
 
 from __future__ import annotations
 
 import importlib.util
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadtide.functions.metrics import score
-from leadtide.operators.features import inference_frame, training_frame
-from leadtide.sources.artifacts import digest, read_json, verify, write_json
-from leadtide.sources.shared import shared_top, written
+from leadtide.operators import boosting
+from leadtide.operators.features import FEATURES, inference_frame, training_frame
+from leadtide.sources.artifacts import digest, read_json, verify, write_json, write_table
+from leadtide.sources.shared import written
 from leadtide.sources.tables import Log
 
-#: Features of the remaining-demand model.
-FEATURES = (
-    "days_to_checkin", "observed_total", "pickup_1d", "pickup_3d", "pickup_7d", "pickup_14d", "pickup_velocity_7d", "pickup_acceleration_7d", "pickup_3d_over_7d",
-    "active_search_days", "days_since_first_search", "days_since_last_search", "mean_daily_search", "expected_completion_fraction", "pickup_baseline_remaining",
-    "checkin_weekday", "is_weekend", "jalali_month", "market_observed_total", "province_observed_total", "city_share_of_market",
-    "lat", "long", "city_hist_mean", "city_hist_median", "city_hist_p75", "city_hist_p90", "city_hist_std", "city_volatility", "city_weekend_ratio", "city_weekday_mean",
-)
-BANDS = ((1, 7), (8, 30))
+#: The source's bands of horizons; fixed values.
+BANDS = ((1, 14), (15, 30))
+#: The source's model: 400 trees of 127 leaves, 40 rows a leaf, step 0.06, 0.9 of the rows and 0.8 of the features a tree; fixed values.
+PRODUCTION = {"trees": 400, "leaves": 127, "step": 0.06, "least": 40, "rows": 0.9, "columns": 0.8}
 
 
-def prepared(frame: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
-    """Features as doubles; where a value can be missing, 0 and a mark that it was."""
-    marks = {f"{c}_missing": F.col(c).isNull().cast("double") for c in features if c.startswith("days_since")}
-    return frame.withColumns(marks).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
-
-
-#: The source's model: 400 trees of 127 leaves, of which a full tree of depth 7 has one more.
-#: What comparisons over folds and clusters fit: a tree costs Spark some ten jobs, so 400 of them take long on one machine.
-PRODUCTION = {"trees": 400, "depth": 7, "step": 0.06, "least": 40, "rows": 0.9, "columns": "0.8"}
-FEW_TREES = PRODUCTION | {"trees": 20, "depth": 5, "step": 0.3}
-
-
-def remaining_model(log_target: bool = True, trees: int = 10, depth: int = 4, seed: int = 42, features: tuple[str, ...] = FEATURES, step: float = 0.1, least: int = 1, rows: float = 1.0, columns: str = "all") -> Pipeline:
-    """Boosted trees with absolute loss, on log1p of the target if wanted.
-
-    ``step`` is the learning rate, ``least`` the rows a leaf needs, ``rows`` and ``columns`` what a tree sees.
-    """
-    inputs = [*features, *(f"{c}_missing" for c in features if c.startswith("days_since"))]
-    label = "_label"
-    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="_x"), GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="_p", lossType="absolute", maxIter=trees, maxDepth=depth, maxBins=64, seed=seed, stepSize=step, minInstancesPerNode=least, subsamplingRate=rows, featureSubsetStrategy=columns)])
+def in_band(bands: tuple[tuple[int, int], ...]) -> Column:
+    """The place of the band that holds a row's horizon."""
+    out = F.lit(None).cast("int")
+    for i, (a, b) in enumerate(bands):
+        out = F.when(F.col("days_to_checkin").between(a, b), i).otherwise(out)
+    return out
 
 
 @dataclass
@@ -55,86 +40,102 @@ class BandedModel:
     """One model for each band of horizons; a horizon outside of all is an error."""
 
     bands: tuple[tuple[int, int], ...]
-    models: list[PipelineModel]
+    models: list[boosting.Model]
     log_target: bool = True
 
     @property
     def features(self) -> tuple[str, ...]:
-        return tuple(c for c in self.models[0].stages[0].getInputCols() if not c.endswith("_missing"))
+        return self.models[0].features
 
     def predict(self, frame: DataFrame) -> DataFrame:
         """Adds model_demand: what is seen and what the band's model expects on top, never less."""
-        covered = F.lit(False)
-        for a, b in self.bands:
-            covered = covered | F.col("days_to_checkin").between(a, b)
-        rows = prepared(frame, self.features)
-        more = F.expm1("_p") if self.log_target else F.col("_p")
-        out = rows.filter(~covered).withColumn("model_demand", F.raise_error(F.lit("a horizon lies in no band")).cast("double"))
-        for (a, b), model in zip(self.bands, self.models, strict=True):
-            own = model.transform(rows.filter(F.col("days_to_checkin").between(a, b)))
-            out = out.unionByName(own.withColumn("model_demand", F.col("observed_total") + F.greatest(more, F.lit(0.0))).drop("_x", "_p"))
-        return out
+        return demanded({0: self}, frame, F.lit(0))
 
     def importances(self) -> list[tuple[str, float]]:
-        """Mean share of each feature over the bands."""
-        names = self.models[0].stages[0].getInputCols()
-        shares = [m.stages[-1].featureImportances.toArray() for m in self.models]
+        """Mean share of each feature in the gains of the bands."""
+        shares = [m.gains() for m in self.models]
         mean = sum(s / max(s.sum(), 1e-12) for s in shares) / len(shares)
-        return sorted(zip(names, map(float, mean), strict=True), key=lambda x: (-x[1], x[0]))
+        return sorted(zip(self.features, map(float, mean), strict=True), key=lambda x: (-x[1], x[0]))
+
+    def drivers(self, frame: DataFrame, keys: list[str]) -> DataFrame:
+        """keys, base, contributions: the parts of the raw prediction by feature; they and the base add up to it."""
+        return boosting.explained(frame.withColumn("_band", in_band(self.bands)), dict(enumerate(self.models)), "_band", keys)
 
 
-def _checkpoints(df: DataFrame) -> None:
-    """Hundreds of trees make a lineage too deep to serialise unless it is cut; on a cluster set a shared folder before."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_top(df.sparkSession))
+def demanded(models: dict[int, BandedModel], frame: DataFrame, which: Column, name: str = "model_demand") -> DataFrame:
+    """Adds the demand that the row's model (``which``: its number) expects."""
+    any_model = next(iter(models.values()))
+    width = len(any_model.bands)
+    flat = {k * width + i: m for k, x in models.items() for i, m in enumerate(x.models)}
+    band = F.coalesce(in_band(any_model.bands), F.raise_error(F.lit("a horizon lies in no band")).cast("int"))
+    out = boosting.predicted(frame.withColumn("_number", which * width + band), flat, "_number", "_raw")
+    more = F.expm1("_raw") if any_model.log_target else F.col("_raw")
+    return out.withColumn(name, F.col("observed_total") + F.greatest(more, F.lit(0.0))).drop("_raw", "_number")
+
+
+def fit_groups(training: DataFrame, group: Column, groups: int, bands: tuple[tuple[int, int], ...] = BANDS, log_target: bool = True, features: tuple[str, ...] = FEATURES, alphas: tuple[float, ...] = (0.5,), **params) -> dict[float, list[BandedModel]]:
+    """By quantile the models of ``groups`` groups of rows (folds, say), whose trees all grow in the same jobs."""
+    target = F.col("remaining_demand").cast("double")
+    rows = training.withColumn("_band", in_band(bands)).filter("_band IS NOT NULL")
+    rows = rows.select((group * len(bands) + F.col("_band")).cast("int").alias("model"), (F.log1p(target) if log_target else target).alias("label"), *features)
+    found = boosting.fit(rows, features, groups * len(bands), boosting.with_params(**params), alphas)
+    return {a: [BandedModel(bands, [found[g * len(bands) + i, a] for i in range(len(bands))], log_target) for g in range(groups)] for a in alphas}
 
 
 def fit_bands(training: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, log_target: bool = True, features: tuple[str, ...] = FEATURES, **params) -> BandedModel:
-    rows = prepared(training, features).withColumn("_label", F.log1p(F.col("remaining_demand").cast("double")) if log_target else F.col("remaining_demand").cast("double"))
-    _checkpoints(training)
-    models = [remaining_model(log_target, features=features, **params).fit(rows.filter(F.col("days_to_checkin").between(a, b))) for a, b in bands]
-    return BandedModel(bands, models, log_target)
+    return fit_groups(training, F.lit(0), 1, bands, log_target, features, **params)[0.5][0]
 
 
 def save_bundle(model: BandedModel, training: DataFrame, path: str, **about) -> None:
-    """A fitted model below a path, with what it was fitted on: each band's pipeline, and a manifest that holds the data's digest."""
+    """A fitted model below a path, with what it was fitted on: its trees as a table, and a manifest with its features, bins and the data's digest."""
     spark = training.sparkSession
-    for i, m in enumerate(model.models):
-        m.write().overwrite().save(f"{path}/band_{i}")
-    write_json(spark, {"bands": [list(b) for b in model.bands], "log_target": model.log_target, "features": list(FEATURES), "digest": digest(training), **about}, f"{path}/manifest.json")
+    rows = [(i, k, *([x.item() for x in getattr(t, c)] for c in boosting.NODE)) for i, m in enumerate(model.models) for k, t in enumerate(m.trees)]
+    kinds = ", ".join(f"{c} array<{'double' if boosting.KINDS[c] is np.float64 else 'long'}>" for c in boosting.NODE)
+    write_table(spark.createDataFrame(rows, f"band int, tree int, {kinds}"), f"{path}/trees")
+    bins = [{"base": m.base, "alpha": m.alpha, "edges": [[float(x) for x in e if np.isfinite(x)] for e in m.edges], "width": m.edges.shape[1]} for m in model.models]
+    write_json(spark, {"bands": [list(b) for b in model.bands], "log_target": model.log_target, "features": list(model.features), "bins": bins, "digest": digest(training), **about}, f"{path}/manifest.json")
 
 
-def load_bundle(spark: SparkSession, path: str, training: DataFrame | None = None) -> BandedModel:
-    """A saved model; with ``training`` only if it was fitted on these rows. Other features than this library's are refused."""
+def load_bundle(spark: SparkSession, path: str, training: DataFrame | None = None, features: tuple[str, ...] = FEATURES) -> BandedModel:
+    """A saved model; with ``training`` only if it was fitted on these rows. Other features than those asked for are refused."""
     about = read_json(spark, f"{path}/manifest.json")
-    if about["features"] != list(FEATURES):
+    if about["features"] != list(features):
         raise ValueError(f"{path} was fitted on other features")
     if training is not None:
         verify(training, about["digest"], "the training table")
-    bands = tuple(tuple(b) for b in about["bands"])
-    return BandedModel(bands, [PipelineModel.load(f"{path}/band_{i}") for i in range(len(bands))], about["log_target"])
+    trees: dict[int, list[boosting.Tree]] = {}
+    for r in spark.read.parquet(f"{path}/trees").orderBy("band", "tree").collect():
+        trees.setdefault(r.band, []).append(boosting.Tree(**{c: np.array(r[c], boosting.KINDS[c]) for c in boosting.NODE}))
+    models = []
+    for i, x in enumerate(about["bins"]):
+        edges = np.full((len(features), x["width"]), np.inf)
+        for j, e in enumerate(x["edges"]):
+            edges[j, : len(e)] = e
+        models.append(boosting.Model(tuple(features), edges, x["base"], x["alpha"], trees.get(i, [])))
+    return BandedModel(tuple(tuple(b) for b in about["bands"]), models, about["log_target"])
+
+
+Spec = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def model_backtest(logs: list[Log], specs: dict[str, Callable[[DataFrame, DataFrame], DataFrame]], actual: DataFrame) -> tuple[DataFrame, list[dict]]:
+def model_backtest(logs: list[Log], specs: dict[str, Spec], actual: DataFrame) -> tuple[DataFrame, list[dict]]:
     """model, fold_cutoff, city_code, checkin, horizon, observed, actual, prediction of every spec in every fold, and the failures.
 
-    A spec takes the fold's training and inference frames and returns the latter with `prediction`. Each
-    fold's frames are written once and read by all specs; one spec that fails doesn't end the run.
-    actual: fold_cutoff, city_code, checkin, actual.
+    A spec takes the training and inference frames of all folds, told apart by fold_cutoff, and returns the latter with
+    `prediction`; it must learn a fold's model from that fold's lessons only. The frames are written once and read by all
+    specs; one spec that fails doesn't end the run. actual: fold_cutoff, city_code, checkin, actual.
     """
+    united = lambda frames: written(reduce(DataFrame.unionByName, frames))
+    lessons, ahead = united([training_frame(x) for x in logs]), united([inference_frame(x) for x in logs])
     out, failures = None, []
-    for log in logs:
-        lessons, ahead = written(training_frame(log)), written(inference_frame(log))
-        for name, spec in specs.items():
-            try:
-                own = spec(lessons, ahead)
-                own = own.select(F.lit(name).alias("model"), F.lit(log.cfg.cutoff).alias("fold_cutoff"), "city_code", "checkin", F.col("days_to_checkin").alias("horizon"), F.col("observed_total").alias("observed"), F.col("prediction").cast("double").alias("prediction"))
-                own = written(own)
-            except Exception as e:  # noqa: BLE001  what a model raises is its result here
-                failures.append({"model": name, "fold": str(log.cfg.cutoff), "reason": f"{type(e).__name__}: {e}"[:500]})
-                continue
-            out = own if out is None else out.unionByName(own)
+    for name, spec in specs.items():
+        try:
+            own = spec(lessons, ahead)
+            own = written(own.select(F.lit(name).alias("model"), "fold_cutoff", "city_code", "checkin", F.col("days_to_checkin").alias("horizon"), F.col("observed_total").alias("observed"), F.col("prediction").cast("double").alias("prediction")))
+        except Exception as e:  # noqa: BLE001  what a model raises is its result here
+            failures.append({"model": name, "reason": f"{type(e).__name__}: {e}"[:500]})
+            continue
+        out = own if out is None else out.unionByName(own)
     if out is None:
         raise RuntimeError(f"every model failed: {failures[:5]}")
     return out.join(actual, ["fold_cutoff", "city_code", "checkin"]), failures
@@ -151,8 +152,18 @@ def baseline_spec(lessons: DataFrame, ahead: DataFrame) -> DataFrame:
     return ahead.withColumn("prediction", F.col("pickup_baseline_prediction"))
 
 
-def gbt_spec(**params) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    return lambda lessons, ahead: fit_bands(lessons, **params).predict(ahead).withColumnRenamed("model_demand", "prediction")
+def gbt_spec(**params) -> Spec:
+    """Boosted trees, a model for each fold and band; all grow in the same jobs."""
+
+    def spec(lessons: DataFrame, ahead: DataFrame) -> DataFrame:
+        folds = [r[0] for r in ahead.select("fold_cutoff").distinct().orderBy("fold_cutoff").collect()]  # a few dates
+        number = F.lit(None).cast("int")
+        for i, cutoff in enumerate(folds):
+            number = F.when(F.col("fold_cutoff") == F.lit(cutoff), i).otherwise(number)
+        found = fit_groups(lessons, number, len(folds), **params)[0.5]
+        return demanded(dict(enumerate(found)), ahead, number, "prediction")
+
+    return spec
 
 
 def wants_log(df: DataFrame, target: str = "y") -> DataFrame:
@@ -186,7 +197,7 @@ def dependence(frame: DataFrame, feature: str, value: str, bins: int = 10) -> Da
     return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("rows"), F.avg(feature).alias("feature_mean"), F.avg(value).alias("value_mean"))
 
 
-DRIVERS = (("market_", "market"), ("province_", "province"), ("pickup_", "pickup"), ("days_", "lead time"), ("observed", "pickup"), ("active", "activity"), ("mean_daily", "activity"), ("jalali", "calendar"), ("checkin_weekday", "calendar"), ("is_weekend", "calendar"), ("city_", "city"), ("lat", "city"), ("long", "city"), ("expected", "curve"))
+DRIVERS = (("market_", "market"), ("province_", "province"), ("pickup_", "pickup"), ("days_", "lead time"), ("observed", "pickup"), ("active", "activity"), ("mean_daily", "activity"), ("jalali", "calendar"), ("checkin_weekday", "calendar"), ("is_weekend", "calendar"), ("city_", "city"), ("lat", "city"), ("long", "city"), ("expected", "curve"), ("checkin_day", "calendar"), ("max_daily", "activity"), ("std_daily", "activity"), ("search_span", "activity"))
 
 
 def driver(feature: str) -> str:
@@ -194,6 +205,13 @@ def driver(feature: str) -> str:
     return next((group for start, group in DRIVERS if feature.startswith(start)), "other")
 
 
+def rolled_up(parts: DataFrame, features: tuple[str, ...], keys: list[str]) -> DataFrame:
+    """keys, driver, up, down, contribution: sums of a row's contributions by group of drivers, above and below 0 and together."""
+    groups = F.array(*(F.lit(driver(c)) for c in features))
+    long = parts.select(*keys, F.inline(F.arrays_zip(groups.alias("driver"), F.col("contributions").alias("part"))))
+    return long.groupBy(*keys, "driver").agg(F.sum(F.greatest("part", F.lit(0.0))).alias("up"), F.sum(F.least("part", F.lit(0.0))).alias("down"), F.sum("part").alias("contribution"))
+
+
 @dataclass
 class Entry:
     name: str
@@ -212,7 +230,7 @@ REGISTRY = {
     e.name: e
     for e in (
         *(Entry(n, True, None) for n in ("naive", "seasonal_naive", "moving_average", "historical_mean", "seasonal_mean")),
-        Entry("gbt", False, remaining_model),
+        Entry("gbt", False, fit_bands),
         Entry("tweedie", False, tweedie),
         Entry("lightgbm", False, None, ("lightgbm",)),
         Entry("catboost", False, None, ("catboost",)),

@@ -8,25 +8,20 @@ from pyspark.sql import functions as F
 
 from leadtide.config import DEFAULT
 from leadtide.operators import calibration, clusters, features, marts, models
-from leadtide.plans import models as plans
 from leadtide.plans.base import log
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_training_window_is_the_references(spark):
-    got = features.training_pairs(log(spark, SF)).agg(F.countDistinct("checkin").alias("n"), F.min("checkin").alias("first"), F.max("checkin").alias("last")).first()
+    got = features.training_counts(log(spark, SF))[0].agg(F.countDistinct("checkin").alias("n"), F.min("checkin").alias("first"), F.max("checkin").alias("last")).first()
     assert got.n == 752 and got.last == DEFAULT.cutoff
     assert (got.last - got.first).days == 751
 
 
-def test_queries_fit_the_production_model(spark, monkeypatch):
-    asked = {}
-    monkeypatch.setattr(models, "fit_bands", lambda frame, **params: asked.update(params))
-    plans._fitted(spark, SF)
-    stage = models.remaining_model(**asked).getStages()[-1]
-    got = {p: stage.getOrDefault(p) for p in ("maxIter", "maxDepth", "stepSize", "minInstancesPerNode", "subsamplingRate", "featureSubsetStrategy")}
-    assert got == {"maxIter": 400, "maxDepth": 7, "stepSize": 0.06, "minInstancesPerNode": 40, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.8"}
+def test_the_model_is_the_references():
+    assert models.PRODUCTION == {"trees": 400, "leaves": 127, "step": 0.06, "least": 40, "rows": 0.9, "columns": 0.8}
+    assert len(models.FEATURES) == 66 and models.BANDS == ((1, 14), (15, 30))
 
 
 def test_frames_have_place_and_origin_history(spark):

@@ -147,7 +147,7 @@ def test_ensemble_weights():
 
 def test_models_floor_and_bands(spark):
     log = small_log(spark)
-    model = models.fit_bands(features.training_frame(log), ((1, 10), (11, 30)), trees=2, depth=2)
+    model = models.fit_bands(features.training_frame(log), ((1, 10), (11, 30)), trees=2, leaves=4, least=5)
     found = model.predict(features.inference_frame(log))
     assert found.count() == 25 and found.filter("model_demand < observed_total").count() == 0
     assert abs(sum(x for _, x in model.importances()) - 1) < 1e-6

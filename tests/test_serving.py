@@ -15,7 +15,7 @@ def lessons(spark):
 
 
 def test_bundles_are_refused_for_other_rows(spark, lessons, tmp_path):
-    model = models.fit_bands(lessons, trees=1, depth=1)
+    model = models.fit_bands(lessons, trees=2, leaves=4, least=5)
     path = f"file://{tmp_path}/bundle"
     models.save_bundle(model, lessons, path)
     again = models.load_bundle(spark, path, lessons)
@@ -23,6 +23,11 @@ def test_bundles_are_refused_for_other_rows(spark, lessons, tmp_path):
     assert first(again) == first(model)
     with pytest.raises(ValueError, match="training table"):
         models.load_bundle(spark, path, lessons.limit(199))
+    other = models.fit_bands(lessons, features=models.FEATURES[:5], trees=1, leaves=4, least=5)
+    models.save_bundle(other, lessons, path)
+    with pytest.raises(ValueError, match="other features"):
+        models.load_bundle(spark, path, lessons)
+    assert models.load_bundle(spark, path, lessons, models.FEATURES[:5]).features == models.FEATURES[:5]
 
 
 def test_kept_tables_follow_their_files(spark, tmp_path):
