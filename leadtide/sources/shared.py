@@ -44,6 +44,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the table that ``written`` returned, when nothing reads it any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables of this application, when no frame that reads them is needed any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
