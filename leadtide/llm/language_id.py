@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes
 
+#: Letters and what looks like them to the expression: signs such as ² and Ⅷ, which are numbers.
 LETTER = re.compile(r"[^\W\d_]")
 #: Characters that are hashed at once.
 PIECE = 1 << 18
@@ -34,6 +35,10 @@ MAX_LANGUAGES = 1024
 LABEL_DOCS = 500
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def held_out(id_col: str, folds: int = 5) -> Column:
     """Whether crc32 of the id as text is divisible by ``folds``."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
@@ -117,7 +122,7 @@ def scorer(model, sizes: tuple[int, ...], buckets: int):
         # Short texts go together: n-grams over the border of two texts are not made.
         hashed, owner = [], []
         for i, text in enumerate(texts):
-            if text is None or not LETTER.search(text) or not names:
+            if text is None or not has_letter(text) or not names:
                 continue
             for piece, seen in pieces(text, sizes):
                 hashed.append(grams(piece, sizes, buckets, seen))
