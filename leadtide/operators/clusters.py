@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leadtide.functions.calendar import WEEKEND
 from leadtide.operators.features import completed_history
+from leadtide.sources.shared import drop, written
 from leadtide.sources.tables import Log
 
 TINY = 1e-6
@@ -69,15 +72,17 @@ def hubs(profiles: DataFrame, share: float) -> DataFrame:
     return profiles.filter(F.col("demand_share") >= share)
 
 
-def ward(points: np.ndarray) -> list[tuple[int, int, float]]:
+def ward(points: np.ndarray, mass: np.ndarray | None = None, top: np.ndarray | None = None) -> list[tuple[int, int, float]]:
     """Merges (cluster, cluster, height) by Ward's criterion; new clusters are numbered on from the points.
 
     Chains of nearest neighbours: memory is in proportion to the points, time to their square. A new
     cluster is never nearer to others than its parts were, so the merges are those of the greedy rule,
-    found in another order and sorted at the end.
+    found in another order and sorted at the end. Points may be clusters already, of a mass and a height.
     """
     n = len(points)
-    centre, mass, height = points.astype(float), np.ones(n), np.zeros(n)
+    mass = np.ones(n) if mass is None else mass.astype(float)
+    height = np.zeros(n) if top is None else top.astype(float)
+    centre = points.astype(float)
     alive, found, chain, first = np.ones(n, bool), [], [], 0
     while len(found) < n - 1:
         if not chain:
@@ -100,32 +105,124 @@ def ward(points: np.ndarray) -> list[tuple[int, int, float]]:
         alive[b] = False
     # A cluster stands at its smallest point; sorting keeps the order of equal heights, so parts come first.
     name, out = list(range(n)), []
-    for new, (top, a, b) in enumerate(sorted(found, key=lambda x: x[0]), n):
-        out.append((min(name[a], name[b]), max(name[a], name[b]), top))
+    for new, (top_, a, b) in enumerate(sorted(found, key=lambda x: x[0]), n):
+        out.append((min(name[a], name[b]), max(name[a], name[b]), top_))
         name[a] = new
     return out
 
 
-MERGES = "province_code int, step int, members array<int>, height double"
-
-
-def dendrograms(scaled: DataFrame, hub_share: float) -> DataFrame:
-    """Of each province its merges: the members of the merged cluster and its height.
-
-    A province's cities go to one task, whose memory grows with them and with the members of the merges.
+#: A cluster is named by its smallest city: the cluster of city_code goes into that of the smaller city ``into``.
+MERGES = "province_code int, city_code int, into int, height double, n_cities long"
+#: Clusters that one task finishes alone, and the side of the squares of distances.
+BLOCK = 2048
+_NAMES = [c for block in BLOCKS.values() for c in block]
+_NEAREST = "city_code int, gap double, tie long, near int"
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair of codes, the same both ways round, in no order of theirs."""
+    low, high = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
+    x = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(2)).astype(np.int64)
+
+
+def _nearest(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    """Of a square of two blocks each cluster's nearest one in the other block."""
+    rows = [group[group["_own"] == k] for k in (keys[1], keys[2])]
+    code = [r["city_code"].to_numpy(np.int64) for r in rows]
+    mass = [r["_n"].to_numpy(float) for r in rows]
+    at = [r[_NAMES].to_numpy(float) for r in rows]
+    if not len(code[0]) or not len(code[1]):
+        return pd.DataFrame({"city_code": [], "gap": [], "tie": [], "near": []}).astype({"city_code": "int32", "tie": "int64", "near": "int32"})
+    # Dimensions are added one after another, so both ways round a pair has the very same gap.
+    gap = np.zeros((len(code[0]), len(code[1])))
+    for d in range(len(_NAMES)):
+        gap += (at[0][:, d, None] - at[1][None, :, d]) ** 2
+    gap *= 2 * mass[0][:, None] * mass[1] / (mass[0][:, None] + mass[1])
+    gap[code[0][:, None] == code[1]] = np.inf
+    out = []
+    for mine, other, g in ((code[0], code[1], gap), (code[1], code[0], gap.T)):
+        least = g.min(1)
+        i, j = np.nonzero((g == least[:, None]) & np.isfinite(g))
+        found = pd.DataFrame({"city_code": mine[i].astype(np.int32), "gap": least[i], "tie": _mixed(mine[i], other[j]), "near": other[j].astype(np.int32)})
+        out.append(found.sort_values(["tie", "near"]).drop_duplicates("city_code"))
+    return pd.concat(out if keys[1] != keys[2] else out[:1])
+
+
+def _joined(state: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The clusters after merges (city_code goes into ``into``): mass, height and centre of the two."""
+    rows = state.join(pairs.select("city_code", "into", F.col("height").alias("_h")), "city_code", "left")
+    mean = [(F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(c) for c in _NAMES]
+    return rows.groupBy("province_code", F.coalesce("into", "city_code").alias("city_code")).agg(F.sum("_n").alias("_n"), F.greatest(F.max("_top"), F.coalesce(F.max("_h"), F.lit(0.0))).alias("_top"), *mean)
+
+
+def dendrograms(scaled: DataFrame, hub_share: float, block: int = BLOCK) -> DataFrame:
+    """Of each province its merges (MERGES), one row less than cities.
+
+    Cities at one place are merged first, at height 0. While a province has more than ``block`` clusters,
+    a round finds each one's nearest by squares of blocks spread over all tasks and merges all pairs that are each
+    other's nearest. As a new cluster is never nearer to others than its parts were, such merges are
+    those of the greedy rule. What is left of a province is merged in one task, of ``block`` clusters at most. Of pairs with
+    equal gaps a hash of their names decides, and the first chain in the last task; so where gaps tie other
+    clusters of the same heights may come out. Cities with a coordinate that is null, NaN or infinite take
+    no part, those without a province are merged among themselves. A round merges a tenth to a third of the clusters;
+    places whose gaps grow from each to the next (only one pair a round) would need one for each city.
     """
-    names = [c for block in BLOCKS.values() for c in block]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("city_code", ignore_index=True)
-        members = {i: [int(c)] for i, c in enumerate(group["city_code"])}
-        rows = []
-        for step, (a, b, height) in enumerate(ward(group[names].to_numpy(float))):
-            members[len(group) + step] = sorted(members[a] + members[b])
-            rows.append((int(group["province_code"].iloc[0]), step, members[len(group) + step], height))
-        return pd.DataFrame(rows, columns=["province_code", "step", "members", "height"])
-
-    return scaled.filter(F.col("demand_share") < hub_share).groupBy("province_code").applyInPandas(run, MERGES)
+    finite = lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)) & ~F.isnan(c)
+    rows = scaled.filter(F.col("demand_share") < hub_share).filter(reduce(lambda x, y: x & y, map(finite, _NAMES)))
+    rows = written(rows.select(F.col("province_code").cast("int").alias("province_code"), F.col("city_code").cast("int").alias("city_code"), *(F.col(c).cast("double").alias(c) for c in _NAMES)))
+    # -0.0 and 0.0 are one place.
+    place = ["province_code", *(F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)).alias(c) for c in _NAMES)]
+    first = rows.groupBy(*place).agg(F.min("city_code").alias("city_code"), F.count(F.lit(1)).cast("double").alias("_n"))
+    state = places = written(first.select("province_code", "city_code", "_n", F.lit(0.0).alias("_top"), *_NAMES))
+    same = [F.col("r.province_code").eqNullSafe(F.col("f.province_code")), *(F.col(f"r.{c}") == F.col(f"f.{c}") for c in _NAMES)]
+    equal = rows.alias("r").join(places.alias("f"), reduce(lambda x, y: x & y, same)).filter(F.col("r.city_code") > F.col("f.city_code"))
+    done = [equal.select("r.province_code", "r.city_code", F.col("f.city_code").alias("into"), F.lit(0.0).alias("height"), F.row_number().over(Window.partitionBy("f.city_code").orderBy("r.city_code")).cast("long").alias("_i")).withColumn("n_cities", F.col("_i") + 1).drop("_i")]
+    while True:
+        sizes = state.groupBy("province_code").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks")).filter("_blocks > 1")
+        squares = sizes.agg(F.sum(F.col("_blocks").cast("long") * (F.col("_blocks") + 1) / 2)).first()[0]
+        if not squares:
+            break
+        pairs = written(_mutual(state, sizes, int(squares)))
+        after = written(_joined(state, pairs))
+        if state is not places:
+            drop(state)
+        state = after
+        done.append(pairs)
+    return reduce(DataFrame.unionByName, [*done, state.groupBy("province_code").applyInPandas(_finish, MERGES)])
+
+
+def _mutual(state: DataFrame, sizes: DataFrame, squares: int) -> DataFrame:
+    """Merges of the clusters that are each other's nearest, in provinces of more than one block."""
+    large = state.join(sizes, state["province_code"].eqNullSafe(sizes["province_code"])).drop(sizes["province_code"])
+    large = large.withColumn("_own", F.pmod(F.xxhash64("city_code"), F.col("_blocks")).cast("int"))
+    squared = large.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    squared = squared.withColumns({"_low": F.least("_own", "_other"), "_high": F.greatest("_own", "_other")}).drop("_other", "_blocks", "_top")
+    key = ["province_code", "_low", "_high"]
+    tasks = min(squares, 4 * state.sparkSession.sparkContext.defaultParallelism)
+    near = squared.repartition(tasks, *key).groupBy(*key).applyInPandas(_nearest, _NEAREST)
+    best = written(near.groupBy("city_code").agg(F.min(F.struct("gap", "tie", "near")).alias("_b")).select("city_code", "_b.gap", "_b.near"))
+    back = best.select(F.col("city_code").alias("near"), F.col("near").alias("_back"))
+    pairs = best.join(back, "near").filter((F.col("_back") == F.col("city_code")) & (F.col("near") < F.col("city_code")))
+    own, other = (state.select(F.col("city_code").alias(k), F.col("_n").alias(f"_n{k}"), F.col("_top").alias(f"_t{k}"), *(["province_code"] if k == "near" else [])) for k in ("city_code", "near"))
+    found = pairs.join(own, "city_code").join(other, "near")
+    height = F.greatest(F.sqrt("gap"), "_tcity_code", "_tnear")
+    return found.select("province_code", "city_code", F.col("near").alias("into"), height.alias("height"), (F.col("_ncity_code") + F.col("_nnear")).cast("long").alias("n_cities"))
+
+
+def _finish(group: pd.DataFrame) -> pd.DataFrame:
+    """All merges of one province's clusters."""
+    group = group.sort_values("city_code", ignore_index=True)
+    name, size, rows = list(group["city_code"].astype(int)), list(group["_n"]), []
+    province = group["province_code"].iloc[0]
+    for a, b, height in ward(group[_NAMES].to_numpy(float), group["_n"].to_numpy(), group["_top"].to_numpy()):
+        low, high = min(name[a], name[b]), max(name[a], name[b])
+        name.append(low)
+        size.append(size[a] + size[b])
+        rows.append((None if pd.isna(province) else int(province), high, low, height, int(size[-1])))
+    return pd.DataFrame(rows, columns=["province_code", "city_code", "into", "height", "n_cities"])
 
 
 def height_ladder(merges: DataFrame, levels: int) -> DataFrame:
@@ -135,11 +232,19 @@ def height_ladder(merges: DataFrame, levels: int) -> DataFrame:
 
 
 def cut(cities: DataFrame, merges: DataFrame, height: float) -> DataFrame:
-    """city_code, cluster_code: the smallest member of the largest cluster below the height, else itself."""
-    # A later merge holds the earlier ones, so of a city the cluster with the most members counts.
-    inside = merges.filter(F.col("height") <= height).select(F.explode("members").alias("city_code"), F.array_min("members").alias("_c"), F.size("members").alias("_n"))
-    best = inside.groupBy("city_code").agg(F.max_by("_c", "_n").alias("_c"))
-    return cities.select("city_code").join(best, "city_code", "left").select("city_code", F.coalesce("_c", "city_code").alias("cluster_code"))
+    """city_code, cluster_code: the smallest member of the largest cluster below the height, else itself.
+
+    Merges up to the height are pointers from a cluster to the one it went into. Each round every
+    pointer is replaced by its target's, so rounds are as many as the logarithm of the longest chain.
+    """
+    to = written(merges.filter(F.col("height") <= height).select("city_code", F.col("into").alias("cluster_code"), F.lit(True).alias("_moved")))
+    while not to.filter("_moved").isEmpty():
+        far = to.select(F.col("city_code").alias("cluster_code"), F.col("cluster_code").alias("_far"))
+        jumped = to.join(far, "cluster_code", "left")
+        after = written(jumped.select("city_code", F.coalesce("_far", "cluster_code").alias("cluster_code"), F.col("_far").isNotNull().alias("_moved")))
+        drop(to)
+        to = after
+    return cities.select("city_code").join(to.drop("_moved"), "city_code", "left").select("city_code", F.coalesce("cluster_code", "city_code").alias("cluster_code"))
 
 
 def cluster_table(profiles: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def test_ward_cuts(spark):
     assert {frozenset(m[:2]) for m in merges[:2]} == {frozenset((0, 1)), frozenset((2, 3))}
     assert [m[2] for m in merges] == sorted(m[2] for m in merges)
     cities = spark.createDataFrame([(i,) for i in range(5)], "city_code int")
-    tree = spark.createDataFrame([(0, 0, [0, 1], 0.1), (0, 1, [2, 3], 0.1), (0, 2, [0, 1, 2, 3], 9.0)], clusters.MERGES)
+    tree = spark.createDataFrame([(0, 1, 0, 0.1, 2), (0, 3, 2, 0.1, 2), (0, 2, 0, 9.0, 4)], clusters.MERGES)
     assert {r.city_code: r.cluster_code for r in clusters.cut(cities, tree, 1.0).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
     assert {r.cluster_code for r in clusters.cut(cities, tree, 10.0).collect()} == {0, 4}
 
