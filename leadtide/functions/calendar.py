@@ -39,6 +39,14 @@ def from_jalali(year: Column, month: Column, number: Column) -> Column:
     return F.date_add(F.lit("1600-01-01").cast("date"), days.cast("int") + 79)
 
 
+def prior_jalali(day: str) -> Column:
+    """The same Jalali day a year before; of the 30th of the last month the 29th, where that year has no 30th."""
+    year, month, number = jalali_parts(day)
+    first = lambda y: from_jalali(y, F.lit(1), F.lit(1))
+    longest = F.when(month < 12, number).otherwise(F.least(number, 29 + F.datediff(first(year), first(year - 1)) - 365))
+    return from_jalali(year - 1, month, longest)
+
+
 def is_weekend(day: str) -> Column:
     return F.weekday(day).isin(*WEEKEND).cast("int")
 

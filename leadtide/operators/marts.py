@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadtide.functions.calendar import prior_jalali
 from leadtide.operators.asof import FOLD_PAIR, PAIR, bucket_label, complete_grid, final_demand, forecast_grid
 from leadtide.operators.curves import FOLD, all_curves, pickup_forecast, with_fraction
 from leadtide.sources.tables import Log
@@ -193,3 +194,17 @@ def period_study(rows: DataFrame, clock: str, periods: dict[str, Column]) -> Dat
     usual = daily.filter("period = 'other'").groupBy(F.weekday("day").alias("weekday")).agg(F.avg("n").alias("usual"))
     joined = daily.withColumn("weekday", F.weekday("day")).join(F.broadcast(usual), "weekday", "left")  # seven rows
     return joined.groupBy(F.lit(clock).alias("clock"), "period").agg(F.count(F.lit(1)).alias("days"), F.avg("n").alias("mean"), (F.sum("n") / F.sum("usual")).alias("weekday_adjusted_ratio"))
+
+
+def jalali_year_study(rows: DataFrame, clock: str, periods: dict[str, Column]) -> DataFrame:
+    """Demand of each period by one of the clocks against that of the same Jalali days a year before.
+
+    Days without events count neither way; a day before that has none adds nothing below, and a period of
+    which no day has one has no ratio. A row a day is joined, however many events there are.
+    """
+    daily = rows.groupBy(F.col(clock).alias("day")).agg(F.sum("search_count").alias("n"))
+    label = F.coalesce(*(F.when(cond, name) for name, cond in periods.items()), F.lit("other"))
+    before = daily.select(F.col("day").alias("_day"), F.col("n").alias("_before"))
+    joined = daily.select("n", label.alias("period"), prior_jalali("day").alias("_day")).join(before, "_day", "left")
+    ratio = F.try_divide(F.sum("n").cast("double"), F.sum("_before"))
+    return joined.groupBy(F.lit(clock).alias("clock"), "period").agg(F.count(F.lit(1)).alias("days"), F.count("_before").alias("days_before"), ratio.alias("jalali_year_ratio"))

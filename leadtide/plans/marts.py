@@ -169,6 +169,28 @@ def period_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(marts.period_study(rows, "checkin", periods).unionByName(marts.period_study(rows, "log_date", periods)))
 
 
+_YEAR_START = "(DATE '1600-01-01' + CAST(79 + 365 * ({y} - 979) + 8 * (({y} - 979) // 33) + (({y} - 979) % 33 + 3) // 4 AS INTEGER))"
+
+
+def _year_sql(clock: str) -> str:
+    """The year before is as long as its two first days are apart; only the 366th day of a year may have no counterpart."""
+    c4 = f"(date_diff('day', DATE '1600-01-01', {clock}) - 79) % 12053 % 1461"
+    year = f"979 + 33 * ((date_diff('day', DATE '1600-01-01', {clock}) - 79) // 12053) + 4 * ((date_diff('day', DATE '1600-01-01', {clock}) - 79) % 12053 // 1461) + CASE WHEN {c4} >= 366 THEN ({c4} - 1) // 365 ELSE 0 END"
+    start, before = _YEAR_START.format(y="y"), _YEAR_START.format(y="(y - 1)")
+    daily = f"SELECT {clock} AS day, CAST(sum(n) AS BIGINT) AS n, {year} AS y FROM hist GROUP BY {clock}"
+    return f"""SELECT '{clock}' AS clock, period, CAST(count(*) AS BIGINT) AS days, count(b.n) AS days_before, round(sum(d.n) / sum(b.n)::DOUBLE, 6) AS jalali_year_ratio FROM (
+        SELECT n, CASE WHEN day BETWEEN DATE '1998-12-20' AND DATE '1999-01-05' THEN 'turn of the year' WHEN day BETWEEN DATE '1999-03-15' AND DATE '1999-04-05' THEN 'spring' ELSE 'other' END AS period,
+            CAST(CASE WHEN day - {start} = 365 THEN day - 366 ELSE day - CAST({start} - {before} AS INTEGER) END AS DATE) AS prior FROM ({daily})) d LEFT JOIN ({daily}) b ON b.day = d.prior GROUP BY period"""
+
+
+@query("jalali_year_study", sql(_year_sql("checkin") + " UNION ALL " + _year_sql("log_date")))
+def jalali_year_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = log(spark, sf_dir).history
+    between = lambda a, b: F.col("day").between(F.lit(a).cast("date"), F.lit(b).cast("date"))
+    periods = {"turn of the year": between("1998-12-20", "1999-01-05"), "spring": between("1999-03-15", "1999-04-05")}
+    return rounded(marts.jalali_year_study(rows, "checkin", periods).unionByName(marts.jalali_year_study(rows, "log_date", periods)))
+
+
 @query("finite_values", "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN NULL ELSE round(sqrt(greatest(s_acctbal, 0)), 6) END AS root FROM supplier")
 def finite_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "supplier").select("s_suppkey", F.sqrt("s_acctbal").alias("root"))  # NaN below 0

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import json
 import math
 import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,3 +146,85 @@ def write_run(spark: SparkSession, path: str, tables: dict[str, DataFrame], docu
         write_table(df, f"{path}/{name}")
     for name, value in documents.items():
         write_json(spark, value, f"{path}/{name}.json")
+
+
+#: Bytes of a file that one row of ``file_digests`` stands for.
+CHUNK = 64 << 20
+
+
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow.fs import FileSystem
+
+    for batch in batches:
+        out = []
+        for path, start, size in zip(batch["path"], batch["start"], batch["size"], strict=True):
+            store, name = FileSystem.from_uri(path)
+            own, left = hashlib.sha256(), int(size)
+            with store.open_input_file(name) as file:
+                file.seek(int(start))
+                while left and (block := file.read(min(left, 1 << 20))):
+                    own.update(block)
+                    left -= len(block)
+            if left:
+                raise OSError(f"{path} is shorter than it was when listed")
+            out.append(own.hexdigest())
+        yield pd.DataFrame({"path": batch["path"], "start": batch["start"], "size": batch["size"], "own": out})
+
+
+def file_digests(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """path, bytes, sha256 of each file at or below a path.
+
+    Files are cut into chunks that tasks read in blocks, so no file is held whole; the digest is that of the chunks' digests
+    in order (of a file of one chunk too). Files without a byte have no row, as Spark passes them over.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").filter("length > 0")
+    parts = listed.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(chunk).cast("long"))).alias("start"), "length")
+    parts = parts.select("path", "start", F.least(F.lit(chunk), F.col("length") - F.col("start")).cast("long").alias("size"))
+    hashed = parts.repartition(4 * spark.sparkContext.defaultParallelism, "path", "start").mapInPandas(_hashed, "path string, start long, size long, own string")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("start", "own"))), lambda x: x["own"])
+    return hashed.groupBy("path").agg(F.sum("size").alias("bytes"), F.sha2(F.concat_ws("", ordered), 256).alias("sha256"))
+
+
+def input_digest(spark: SparkSession, *paths: str) -> str:
+    """One digest of all files at some paths: of their names below the path, sizes and digests."""
+    whole = hashlib.sha256()
+    for path in paths:
+        top = F.lit(path.rstrip("/").rsplit("/", 1)[-1])
+        named = file_digests(spark, path).select(F.concat(top, F.substring_index("path", path.rstrip("/").rsplit("/", 1)[-1], -1)).alias("name"), "bytes", "sha256")
+        row = F.sha2(F.concat_ws("|", "name", "bytes", "sha256"), 256)
+        # A digest for each of 4,096 groups of files, so what the driver gets is bounded.
+        groups = named.groupBy(F.pmod(F.xxhash64("name"), F.lit(4096)).alias("g")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list(row))), 256).alias("s"))
+        whole.update("".join(r.s for r in groups.orderBy("g").collect()).encode())
+    return whole.hexdigest()
+
+
+def _sealed(value) -> str:
+    return hashlib.sha256(json.dumps(strict(value), sort_keys=True, default=str).encode()).hexdigest()
+
+
+def run_arms(spark: SparkSession, path: str, contract: dict, arms: dict[str, Callable[[], DataFrame]], versions: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The tables of a run's arms below a path; an arm that is there from a run that broke off is not made again.
+
+    contract: what all arms rest on (the digest of the input, cutoffs, parameters). A path that holds a
+    run under another contract is refused. Beside each table stand the contract's digest and the arm's
+    version (by default the digest of the module that defines it); an arm of another version, without
+    that note or without its table is made anew. The note is written after the table, so a
+    crash in between costs that arm only.
+    """
+    sealed = _sealed(contract)
+    at = f"{path.rstrip('/')}/contract.json"
+    if exists(spark, at):
+        if read_json(spark, at)["digest"] != sealed:
+            raise ValueError(f"{path} holds a run under another contract: take a new folder")
+    else:
+        write_json(spark, {"digest": sealed, "contract": json.loads(json.dumps(strict(contract), default=str))}, at)
+    out = {}
+    for name, make in arms.items():
+        table, note = f"{path.rstrip('/')}/{name}", f"{path.rstrip('/')}/{name}.json"
+        version = (versions or {}).get(name) or _sealed(inspect.getsource(inspect.getmodule(make)))
+        want = {"contract": sealed, "version": version}
+        if not (exists(spark, note) and exists(spark, table) and read_json(spark, note) == want):
+            write_table(make(), table)
+            write_json(spark, want, note)
+        out[name] = spark.read.parquet(table)
+    return out
