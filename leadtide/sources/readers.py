@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadtide.functions.text import column_name, lenient_date
+from leadtide.sources.sheets import read_sheet
 
 EVENTS = T.StructType([T.StructField("log_date", T.DateType()), T.StructField("city_code", T.IntegerType()), T.StructField("checkin", T.DateType()), T.StructField("search_count", T.LongType())])
 CITIES = T.StructType([T.StructField("city_code", T.IntegerType()), T.StructField("province_code", T.IntegerType()), T.StructField("lat", T.DoubleType()), T.StructField("long", T.DoubleType())])
@@ -56,7 +57,7 @@ def delimiter(spark: SparkSession, path: str) -> str:
 
 
 def read_tabular(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """A table by the ending of its name: csv, tsv, txt, parquet, json, jsonl."""
+    """A table by the ending of its name: csv, tsv, txt, parquet, json, jsonl, xlsx (the first sheet)."""
     end = PurePosixPath(path).suffix.lower()
     if end == ".parquet":
         df = spark.read.parquet(path)
@@ -64,8 +65,10 @@ def read_tabular(spark: SparkSession, path: str, rows: int | None = None) -> Dat
         df = spark.read.option("multiLine", end == ".json").json(path)
     elif end in (".csv", ".tsv", ".txt"):
         df = spark.read.options(header=True, sep="\t" if end == ".tsv" else delimiter(spark, path), inferSchema=True).csv(path)
-    elif end in (".xlsx", ".xls"):
-        raise ValueError("spreadsheets need openpyxl, which is not installed: save the sheet as CSV")
+    elif end in (".xlsx", ".xlsm"):
+        df = read_sheet(spark, path)
+    elif end == ".xls":
+        raise ValueError("binary spreadsheets can't be read: save the sheet as xlsx or CSV")
     else:
         raise ValueError(f"no reader for {end or 'a name without an ending'}")
     return df if rows is None else df.limit(rows)

@@ -174,7 +174,7 @@ def test_readers_and_artifacts(spark, tmp_path):
     df = readers.read_tabular(spark, str(tmp_path / "semi.csv"))
     assert df.columns == ["date", "n"] and readers.Contract("date", target="n").canonical(df).columns == ["ds", "y", "entity_id"]
     with pytest.raises(ValueError):
-        readers.read_tabular(spark, str(tmp_path / "x.xlsx"))
+        readers.read_tabular(spark, str(tmp_path / "x.xls"))
     assert readers.read_holidays(df).count() == 3
     path = f"file://{tmp_path}/run"
     artifacts.write_run(spark, path, {"panel": df}, {"info": {"x": float("nan"), "y": [1.5]}})
