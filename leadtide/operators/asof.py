@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadtide.config import Config
+from leadtide.operators.order import quantiles as exact_quantiles
 from leadtide.sources.tables import Log
 
 PAIR = ["city_code", "checkin"]
@@ -77,7 +78,7 @@ def demand_bucket(frame: DataFrame, value: str, quantiles: tuple[float, ...], by
     value belongs to the first. With fewer than two edges left all rows are "all".
     """
     by = by or []
-    edges = frame.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile(value, F.array(*map(F.lit, quantiles))))).alias("_edges"))
+    edges = exact_quantiles(frame, by, value, quantiles).select(*by, F.array_sort(F.array_distinct("q")).alias("_edges"))
     labels = F.array(*(F.lit(f"q{a:.2f}-{b:.2f}") for a, b in zip(quantiles, quantiles[1:], strict=False)))
     joined = frame.join(edges, by) if by else frame.crossJoin(F.broadcast(edges))  # one row
     above = F.size(F.filter("_edges", lambda e: e < F.col(value)))

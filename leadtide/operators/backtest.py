@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadtide.functions.metrics import score
 from leadtide.operators.asof import FOLD_PAIR, annotate, fold_frame
 from leadtide.operators.curves import pickup_forecast, with_demand_prior
+from leadtide.operators.order import quantiles as exact_quantiles
 from leadtide.sources.tables import Log
 
 
@@ -59,7 +60,7 @@ def city_wape_quantiles(frame: DataFrame) -> DataFrame:
 
 def top_demand_scores(frame: DataFrame, shares: tuple[float, ...] = (0.01, 0.05, 0.10)) -> DataFrame:
     """Scores of the rows at or above the quantiles of actual demand, within each fold."""
-    edges = frame.groupBy("fold_cutoff").agg(F.percentile("actual", F.array(*(F.lit(1 - s) for s in shares))).alias("_edges"))
+    edges = exact_quantiles(frame, ["fold_cutoff"], "actual", tuple(1 - s for s in shares)).select("fold_cutoff", F.col("q").alias("_edges"))
     labels = F.array(*(F.struct(F.lit(f"top_{s * 100:g}_pct").alias("slice"), F.lit(i).alias("i")) for i, s in enumerate(shares)))
     rows = frame.join(edges, "fold_cutoff").withColumn("_s", F.explode(labels))
     return rows.filter(F.col("actual") >= F.col("_edges")[F.col("_s.i")]).withColumn("slice", F.col("_s.slice")).groupBy("fold_cutoff", "slice").agg(*score())

@@ -12,6 +12,9 @@ from leadtide.config import Config
 from leadtide.functions.metrics import score
 from leadtide.operators.asof import bucket_label, complete_grid, pair_state, seen
 from leadtide.operators.curves import FOLD, with_fraction, with_zero_prior
+from leadtide.operators.order import order_statistics
+from leadtide.operators.order import quantiles as exact_quantiles
+from leadtide.sources.shared import drop, written
 from leadtide.sources.tables import Log
 
 #: The grid of scale factors and the guards.
@@ -130,26 +133,9 @@ def fold_bootstrap(scores: DataFrame, folds: int, confidence: float = 0.95, seed
 
 
 def ranked(rows: DataFrame, by: list[str], value: str, want: Callable[[Column], Column], n: str, name: str) -> DataFrame:
-    """by, the number of rows as ``n``, and as ``name`` the value of rank want(n), counted from the least.
-
-    Values, which aren't negative, are counted in bins first, 128 to each power of two, and only rows of
-    the bin that holds the rank are ordered: no task sees a whole group, even if all rows are one.
-    """
-    at = F.floor(F.log2(F.col(value) + 1e-9) * 128).alias("_bin")
-    keys = [F.col(x) for x in by]
-    counts = rows.select(*keys, at, F.col(value).alias("_v")).groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"))
-    bins = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bin")
-    placed = counts.withColumn("_upto", F.sum("_c").over(bins)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*(by or [F.lit(0)]))))
-    placed = placed.withColumn("_want", want(F.col("_n")))
-    # A row for each group: the bin that holds the rank; null where the rank is beyond the last.
-    hit = F.when(F.col("_upto") >= F.col("_want"), F.struct("_bin", (F.col("_want") - F.col("_upto") + F.col("_c")).alias("_left")))
-    chosen = placed.groupBy(*by).agg(F.max("_n").alias(n), F.min(hit).alias("_hit"))
-    inside = chosen.select(*keys, F.col("_hit._bin").alias("_bin"), F.col("_hit._left").alias("_left")).filter("_bin IS NOT NULL")
-    few = rows.select(*keys, at, F.col(value).alias("_v")).join(inside, [*by, "_bin"]).groupBy(*by, "_left", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    within = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_v")
-    found = few.withColumn("_upto", F.sum("_c").over(within)).filter("_upto >= _left").groupBy(*by).agg(F.min("_v").alias(name))
-    sizes = chosen.select(*keys, n)
-    return sizes.join(found, by, "left") if by else sizes.join(F.broadcast(found), F.lit(True), "left")  # one row
+    """by, the number of values as ``n``, and as ``name`` the value of rank want(n), counted from the least."""
+    found = order_statistics(rows, by, value, lambda size: F.array(want(size)))
+    return found.select(*by, F.col("n").alias(n), F.col("values")[0].alias(name))
 
 
 def residual_bands(history: DataFrame, current: DataFrame, coverage: float = 0.8, min_support: int = 100) -> DataFrame:
@@ -182,9 +168,10 @@ def conformal_offsets(frame: DataFrame, buckets: tuple[tuple[int, int], ...], qu
     residual = (F.col("actual") - F.col("predicted_demand")).alias("_r")
     last = f"{buckets[-1][0]}-{buckets[-1][1]}"
     rows = frame.filter("actual IS NOT NULL AND predicted_demand IS NOT NULL").select(F.coalesce(bucket_label(F.col("horizon"), buckets, None), F.lit(last)).alias("bucket"), residual)
-    q = F.percentile("_r", F.array(*map(F.lit, quantiles)))
-    own = rows.groupBy("bucket").agg(q.alias("_q"), F.count(F.lit(1)).alias("n"))
-    pooled = F.broadcast(rows.agg(q.alias("_all")))
+    rows = written(rows)
+    own = exact_quantiles(rows, ["bucket"], "_r", quantiles).select("bucket", "n", F.col("q").alias("_q"))
+    pooled = F.broadcast(exact_quantiles(rows, [], "_r", quantiles).select(F.col("q").alias("_all")))  # one row
+    drop(rows)
     labels = pooled.select("_all", F.explode(F.array(*(F.lit(f"{a}-{b}") for a, b in buckets))).alias("bucket"))
     chosen = labels.join(own, "bucket", "left").withColumn("_q", F.when(F.col("n") >= least, F.col("_q")).otherwise(F.col("_all")))
     return chosen.select("bucket", F.coalesce("n", F.lit(0)).alias("n"), *(F.col("_q")[i].alias(f"q{int(100 * x)}") for i, x in enumerate(quantiles)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leadtide.functions.calendar import WEEKEND
 from leadtide.operators.features import completed_history
+from leadtide.operators.order import quantiles as exact_quantiles
 from leadtide.sources.shared import drop, written
 from leadtide.sources.tables import Log
 
@@ -227,8 +228,8 @@ def _finish(group: pd.DataFrame) -> pd.DataFrame:
 
 def height_ladder(merges: DataFrame, levels: int) -> DataFrame:
     """Cut heights at equal quantiles of all merge heights."""
-    points = [i / (levels - 1) for i in range(levels)]
-    return merges.agg(F.percentile("height", F.array(*map(F.lit, points))).alias("q")).select(F.posexplode("q").alias("level", "height"))
+    points = tuple(i / (levels - 1) for i in range(levels))
+    return exact_quantiles(merges, [], "height", points).select(F.posexplode("q").alias("level", "height"))
 
 
 def cut(cities: DataFrame, merges: DataFrame, height: float) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from leadtide.functions.metrics import score
 from leadtide.operators import boosting
 from leadtide.operators.features import FEATURES, inference_frame, training_frame
+from leadtide.operators.order import quantiles as exact_quantiles
 from leadtide.sources.artifacts import digest, read_json, verify, write_json, write_table
 from leadtide.sources.shared import written
 from leadtide.sources.tables import Log
@@ -191,8 +192,8 @@ def tweedie(features: list[str], label: str, power: float = 1.2) -> Pipeline:
 
 def dependence(frame: DataFrame, feature: str, value: str, bins: int = 10) -> DataFrame:
     """Mean of a value by quantile bin of a feature."""
-    points = [i / bins for i in range(1, bins)]
-    edges = F.broadcast(frame.agg(F.percentile(feature, F.array(*map(F.lit, points))).alias("_e")))
+    points = tuple(i / bins for i in range(1, bins))
+    edges = F.broadcast(exact_quantiles(frame, [], feature, points).select(F.col("q").alias("_e")))  # one row
     rows = frame.crossJoin(edges).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(feature))))
     return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("rows"), F.avg(feature).alias("feature_mean"), F.avg(value).alias("value_mean"))
 

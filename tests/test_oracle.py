@@ -6,7 +6,6 @@ from oracle import compare, duck
 from leadtide import registry
 
 SF = "/root/testdata/sf0.001"
-SLOW = ("origin_history",)
 
 
 @pytest.fixture(scope="module")
