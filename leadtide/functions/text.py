@@ -67,9 +67,10 @@ def is_price_like(name: str) -> bool:
 
 # Words by which columns are known for their roles.
 ROLES = {
-    "timestamp": ("date", "ds", "day", "time", "timestamp", "checkin", "تاریخ"),
-    "entity_id": ("listing", "entity", "city", "store", "item", "product", "code", "id"),
-    "target": ("bookings", "demand", "count", "quantity", "sales", "y", "searches"),
+    "timestamp": ("date", "ds", "ts", "day", "time", "timestamp", "checkin", "تاریخ"),
+    "entity_id": ("listing", "entity", "city", "store", "item", "product", "code", "key", "id"),
+    "target": ("bookings", "demand", "count", "quantity", "sales", "y", "searches", "totalprice", "value"),
+    "category": ("category", "type", "status", "priority", "segment", "flag", "kind", "class"),
     "price": PRICE_WORDS,
     "event": EVENT_WORDS,
 }

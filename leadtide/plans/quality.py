@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadtide.config import TABLES as C
-from leadtide.operators import asof, curves, quality
+from leadtide.functions.text import ROLES
+from leadtide.operators import asof, curves, quality, roles
 from leadtide.plans.base import day, log, rounded, sql
 from leadtide.plans.panel import dense
 from leadtide.plans.panel import sql as panel_sql
@@ -116,3 +119,37 @@ def panel_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("short_histories", "SELECT user_id AS entity_id, CAST(count(*) AS BIGINT) AS rows FROM events GROUP BY user_id HAVING count(*) < 60")
 def short_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.short_histories(tables.activity(spark, sf_dir), "entity_id", 60)
+
+
+#: Tables whose columns are taken as unknown, with the kinds of their columns.
+_UNKNOWN = {
+    "orders": {"o_orderkey": "whole", "o_custkey": "whole", "o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "time", "o_orderpriority": "text"},
+    "events": {"event_id": "whole", "ts": "time", "user_id": "whole", "event_type": "text", "value": "number", "props": "text"},
+    "lineitem": {"l_orderkey": "whole", "l_partkey": "whole", "l_suppkey": "whole", "l_linenumber": "whole", "l_quantity": "number", "l_extendedprice": "number", "l_discount": "number", "l_tax": "number", "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "time"},
+}
+_ASKED = ("category", "entity_id", "price", "target", "timestamp")
+_WORDS = ", ".join(f"('{r}', '{w}')" for r in _ASKED for w in ROLES[r])
+_FACTS = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, {i} AS p, '{c}' AS c, '{k}' AS kind, count({c}) AS n, count(DISTINCT {c}) AS d, {f'min({c}) < 0' if k in ('whole', 'number') else 'false'} AS neg, {f'coalesce(avg(CASE WHEN regexp_matches({c}, ' + chr(39) + r'^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}' + chr(39) + ') THEN 1.0 ELSE 0.0 END), 0)' if k == 'text' else '0.0'} AS ds FROM {t}"
+    for t, columns in _UNKNOWN.items()
+    for i, (c, k) in enumerate(columns.items())
+)
+_ROLES_SQL = f"""WITH words(role, w) AS (VALUES {_WORDS}), facts AS ({_FACTS}),
+named AS (SELECT t, p, c, kind, n, d, neg, ds, role, max(CASE WHEN list_contains(string_split(c, '_'), w) THEN 1000 WHEN length(w) > 1 AND c LIKE '%' || replace(w, '_', '\\_') ESCAPE '\\' THEN 800 WHEN length(w) > 3 AND contains(c, w) THEN 500 WHEN role = 'price' THEN 0 ELSE 200 END) AS m FROM facts, words GROUP BY ALL),
+ided AS (SELECT *, max(CASE WHEN role = 'entity_id' THEN m END) OVER (PARTITION BY t, c) >= 800 AS isid FROM named),
+fits AS (SELECT t, p, c, role, CAST(floor(m * CASE WHEN role = 'timestamp' THEN CASE WHEN kind = 'time' THEN 10 WHEN ds >= 0.8 THEN 9 ELSE 0 END WHEN d < 2 THEN 0
+ WHEN role = 'entity_id' THEN CASE WHEN kind NOT IN ('whole', 'text') OR ds >= 0.8 THEN 0 WHEN d > 0.9 * n THEN 3 WHEN n < 8 * d THEN 8 ELSE 10 END
+ WHEN role = 'category' THEN CASE WHEN d > 50 THEN 0 WHEN kind = 'text' THEN 10 WHEN kind = 'whole' THEN 5 ELSE 0 END
+ WHEN kind NOT IN ('whole', 'number') OR isid THEN 0 WHEN NOT neg THEN 10 WHEN role = 'target' THEN 7 ELSE 0 END / 10) AS INTEGER) AS x FROM ided),
+ok AS (SELECT t, p, c, role, x FROM fits WHERE x >= 150 UNION ALL SELECT DISTINCT t, 999, NULL, role, 0 FROM fits),
+a AS (SELECT * FROM ok WHERE role = 'category'), b AS (SELECT * FROM ok WHERE role = 'entity_id'), d AS (SELECT * FROM ok WHERE role = 'price'), e AS (SELECT * FROM ok WHERE role = 'target'), f AS (SELECT * FROM ok WHERE role = 'timestamp'),
+ways AS (SELECT a.t, [a.c, b.c, d.c, e.c, f.c] AS cs, [a.x, b.x, d.x, e.x, f.x] AS xs, [a.p, b.p, d.p, e.p, f.p] AS ps, a.x + b.x + d.x + e.x + f.x AS total FROM a JOIN b ON a.t = b.t AND (a.c IS NULL OR a.c IS DISTINCT FROM b.c) JOIN d ON a.t = d.t AND (d.c IS NULL OR d.c IS DISTINCT FROM a.c AND d.c IS DISTINCT FROM b.c) JOIN e ON a.t = e.t AND (e.c IS NULL OR e.c IS DISTINCT FROM a.c AND e.c IS DISTINCT FROM b.c AND e.c IS DISTINCT FROM d.c) JOIN f ON a.t = f.t AND (f.c IS NULL OR f.c IS DISTINCT FROM a.c AND f.c IS DISTINCT FROM b.c AND f.c IS DISTINCT FROM d.c AND f.c IS DISTINCT FROM e.c)),
+won AS (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY t ORDER BY total DESC, ps) = 1)
+SELECT "table", role, "column", points FROM (SELECT t AS "table", unnest({list(_ASKED)}) AS role, unnest(cs) AS "column", unnest(xs) AS points FROM won) WHERE "column" IS NOT NULL"""
+
+
+@query("suggested_roles", _ROLES_SQL)
+def suggested_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the columns of three tables are most likely for, all roles of a table chosen together."""
+    found = [roles.suggested_roles(tables.table(spark, sf_dir, t)).withColumn("table", F.lit(t)) for t in _UNKNOWN]
+    return reduce(DataFrame.unionByName, found).select("table", "role", "column", "points")
