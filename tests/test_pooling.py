@@ -96,3 +96,30 @@ def test_blend_takes_its_shrinkage_from_a_column(data, profiles):
     pooled = clusters.pooled_panel(city, mapping).withColumn("predicted_demand", F.col("predicted_demand") * 1.1)
     pick = lambda x: sorted(map(tuple, x.select("city_code", "checkin", "blended_demand").collect()))
     assert pick(clusters.blended(city.withColumn("s", F.lit(500.0)), pooled, profiles, mapping, "s")) == pick(clusters.blended(city, pooled, profiles, mapping, 500.0))
+
+
+def test_the_sweep_scans_the_events_once_and_drops_what_it_wrote(spark, data, monkeypatch):
+    """All cutoffs share one log, and no plan holds more than a level, so the driver's memory doesn't grow with levels and cutoffs."""
+    from pathlib import Path
+
+    from leadtide.plans import pooling as plans
+    from leadtide.sources import shared
+
+    made, kept = [], len(list(Path(shared._folder(spark).removeprefix("file:")).glob("*")))
+    monkeypatch.setattr(pooling, "written", lambda df: made.append(df) or shared.written(df))
+    rows = pooling.sweep([plans.folds(spark, SF)], {b: plans._by_code(b) for b in (1, 5)}, (0.0, 10.0), clusters.city_volumes)
+    found = {(r.fold_cutoff, r.level, r.shrinkage): r for r in rows.collect()}
+    assert set(found) == {(str(c), b, s) for c in C.fold_cutoffs for b in (1, 5) for s in (0.0, 10.0)} and all(r.conserved for r in found.values())
+    assert all(r.single == r.blended for (_, b, s), r in found.items() if b == 1 or s == 0)
+    assert rows._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+    assert not any("lineitem" in f for df in made for f in df.inputFiles())
+    # The whole log's two groupings and the errors of two levels stay.
+    assert len(list(Path(shared._folder(spark).removeprefix("file:")).glob("*"))) - kept == 4
+
+
+def test_the_panel_forecast_is_the_pickup_forecast(spark):
+    from leadtide.plans.base import folds
+
+    data, names = folds(spark, SF), ("fold_cutoff", "city_code", "checkin", "horizon", "observed", "predicted_demand", "actual")
+    pick = lambda x: sorted(map(tuple, x.select(*names).collect()))
+    assert pick(curves.panel_forecast(data)) == pick(curves.pickup_forecast(data, asof.fold_frame(data)))
