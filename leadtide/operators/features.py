@@ -208,6 +208,13 @@ def with_clusters(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 def training_frame(log: Log) -> DataFrame:
     """Features of every pair and horizon of the training window, and the demand still to come."""
+    from leadtide.operators import frames
+
+    return frames.training_frame(log)
+
+
+def joined_training_frame(log: Log) -> DataFrame:
+    """The same by joins of narrow rows; what `training_frame` is tested against."""
     grid, counts = training_counts(log)
     out = with_features(grid, counts, log, log.cfg.train_horizons)
     return out.withColumn("remaining_demand", F.greatest(F.col("final") - F.col("observed_total"), F.lit(0).cast("long")))
@@ -223,8 +230,11 @@ def inference_frame(log: Log) -> DataFrame:
 def quality_gate(frame: DataFrame, features: list[str]) -> DataFrame:
     """feature, nulls, infinite, allowed: nulls only where a pair without searches has no value; one pass."""
     sums = [F.struct(F.lit(c).alias("feature"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_if(F.abs(F.col(c).cast("double")) == float("inf")).alias("infinite")).alias(c) for c in features]
-    long = frame.agg(*sums).select(F.explode(F.array(*features)).alias("f")).select("f.*")
-    return long.withColumn("allowed", (F.col("infinite") == 0) & ((F.col("nulls") == 0) | F.col("feature").isin(*NULLABLE)))
+    return allowed(frame.agg(*sums).select(F.explode(F.array(*features)).alias("f")).select("f.*"))
+
+
+def allowed(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("allowed", (F.col("infinite") == 0) & ((F.col("nulls") == 0) | F.col("feature").isin(*NULLABLE)))
 
 
 def completed_history(log: Log, days: int | None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadtide.config import TABLES as C
 from leadtide.functions import calendar
-from leadtide.operators import asof, features
+from leadtide.operators import asof, features, frames
 from leadtide.plans.base import day, log, rounded, sql
 from leadtide.registry import query
 from leadtide.sources import tables
@@ -43,13 +43,9 @@ VB = f"vb AS ({_block('province_code, checkin', 'pw', 'province_')})"
 AROUND = ("observed_total", "pickup_1d", "pickup_3d", "pickup_7d", "pickup_14d", "pickup_velocity_3d", "pickup_velocity_7d", "pickup_velocity_14d", "pickup_acceleration_3d", "pickup_acceleration_7d")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of the training window's pairs alone."""
-    return features.pair_features(*features.training_counts(log(spark, sf_dir)), C.train_horizons)
-
-
-def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.training_frame(log(spark, sf_dir))
+def _training(spark: SparkSession, sf_dir: str, *columns: str, **digits: int) -> DataFrame:
+    """Columns of the training frame as `rounded` gives them."""
+    return frames.training_frame(log(spark, sf_dir), columns, digits)
 
 
 @query("pair_state", sql(f"SELECT city_code, {_KEY}, list(coalesce(n, 0) ORDER BY h) AS daily, CAST(sum(n) AS BIGINT) AS final FROM (SELECT pw.city_code, pw.checkin, h, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM pw CROSS JOIN steps LEFT JOIN pe ON pe.city_code = pw.city_code AND pe.checkin = pw.checkin AND pe.lead = h GROUP BY ALL) GROUP BY ALL", PAIRS, WINDOW))
@@ -63,7 +59,7 @@ def pair_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pickup_features", sql(f"SELECT city_code, {_KEY}, horizon, observed_total, pickup_1d, pickup_3d, pickup_7d, pickup_14d, pickup_velocity_3d, pickup_velocity_7d, pickup_velocity_14d, pickup_acceleration_3d, pickup_acceleration_7d, round(pickup_1d / (observed_total + 1e-6), 6) AS pickup_1d_share, round(pickup_3d / (observed_total + 1e-6), 6) AS pickup_3d_share, round(pickup_7d / (observed_total + 1e-6), 6) AS pickup_7d_share, round(pickup_3d / (pickup_7d + 1e-6), 6) AS pickup_3d_over_7d FROM pb", PAIRS, HORIZONS, WINDOW, PB))
 def pickup_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = ("pickup_1d_share", "pickup_3d_share", "pickup_7d_share", "pickup_3d_over_7d")
-    return rounded(_pairs(spark, sf_dir).select("city_code", "checkin", "horizon", *AROUND, *shares))
+    return _training(spark, sf_dir, "city_code", "checkin", "horizon", *AROUND, *shares)
 
 
 @query(
@@ -78,7 +74,7 @@ def pickup_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def activity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("active_search_days", "days_since_first_search", "days_since_last_search", "max_daily_search", "mean_daily_search", "std_daily_search", "search_span")
-    return rounded(_pairs(spark, sf_dir).select("city_code", "checkin", "horizon", *names), std_daily_search=4)
+    return _training(spark, sf_dir, "city_code", "checkin", "horizon", *names, std_daily_search=4)
 
 
 @query(
@@ -94,7 +90,7 @@ def activity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def curve_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("expected_completion_fraction", "expected_remaining_fraction", "pickup_baseline_prediction", "pickup_baseline_remaining", "pickup_surprise")
-    return rounded(_training(spark, sf_dir).select("city_code", "checkin", "horizon", *names), pickup_surprise=4)
+    return _training(spark, sf_dir, "city_code", "checkin", "horizon", *names, pickup_surprise=4)
 
 
 @query("market_features", sql("SELECT strftime(checkin, '%Y-%m-%d') AS checkin, * EXCLUDE (checkin) FROM mb", PAIRS, HORIZONS, WINDOW, MB))
@@ -110,7 +106,7 @@ def province_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("training_frame", sql(f"SELECT pb.city_code, strftime(pb.checkin, '%Y-%m-%d') AS checkin, pb.horizon, observed_total, greatest(CAST(coalesce(f.n, 0) AS BIGINT) - observed_total, 0) AS remaining_demand, round(observed_total / (market_observed_total + 1e-6), 6) AS city_share_of_market, round(observed_total / (province_observed_total + 1e-6), 6) AS city_share_of_province FROM pb JOIN ci USING (city_code) JOIN mb USING (checkin, horizon) JOIN vb USING (province_code, checkin, horizon) LEFT JOIN (SELECT city_code, checkin, sum(n) AS n FROM pe GROUP BY ALL) f USING (city_code, checkin)", PAIRS, HORIZONS, WINDOW, PB, MB, VB))
 def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("observed_total", "remaining_demand", "city_share_of_market", "city_share_of_province")
-    return rounded(_training(spark, sf_dir).select("city_code", "checkin", "horizon", *names))
+    return _training(spark, sf_dir, "city_code", "checkin", "horizon", *names)
 
 
 _IE = "ie AS (SELECT g.city_code, g.province_code, g.checkin, g.horizon, CAST(coalesce(sum(n), 0) AS BIGINT) AS observed_total, CAST(coalesce(sum(n) FILTER (lead < g.horizon + 7), 0) AS BIGINT) AS pickup_7d, CAST(count(DISTINCT lead) AS INTEGER) AS active_search_days FROM grid g LEFT JOIN evl e ON e.city_code = g.city_code AND e.checkin = g.checkin AND lead >= g.horizon GROUP BY ALL)"
@@ -123,13 +119,12 @@ def inference_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("compact_features")
 def compact_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_training(spark, sf_dir).select("checkin", *features.COMPACT))
+    return _training(spark, sf_dir, "checkin", *features.COMPACT)
 
 
 @query("feature_gate")
 def feature_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = _training(spark, sf_dir)
-    return features.quality_gate(frame, [c for c in frame.columns if c not in ("checkin", "fold_cutoff")])
+    return features.allowed(frames.gate_counts(log(spark, sf_dir), tuple(c for c in frames.COLUMNS if c not in ("checkin", "fold_cutoff"))))
 
 
 _HD = f"hd AS (SELECT g.city_code, g.d AS checkin, isodow(g.d) - 1 AS wd, CAST(coalesce(p.n, 0) AS BIGINT) AS n FROM (SELECT city_code, CAST(d AS DATE) AS d FROM ci, generate_series(greatest(DATE '{C.cutoff - timedelta(days=C.history_days - 1)}', (SELECT min(checkin) FROM hist)), DATE '{C.cutoff}', INTERVAL 1 DAY) t(d)) g LEFT JOIN (SELECT city_code, checkin, sum(n) AS n FROM hist GROUP BY ALL) p ON p.city_code = g.city_code AND p.checkin = g.d)"
@@ -163,7 +158,7 @@ _RH = f"rh AS (SELECT city_code, checkin AS origin, {_ROLLED} FROM fu WINDOW w A
     ),
 )
 def history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_training(spark, sf_dir).select("city_code", "checkin", "horizon", "lat", "long", *features.HISTORY, "city_weekday_mean"), city_weekend_ratio=5)
+    return _training(spark, sf_dir, "city_code", "checkin", "horizon", "lat", "long", *features.HISTORY, "city_weekday_mean", city_weekend_ratio=5)
 
 
 _J = "(date_diff('day', DATE '1600-01-01', d) - 79)"
